@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import free_name
 
+#: For demonstrations and tests; production passes its own.
+DEMO_KEY = "xsfactor-demo-key"
 ROUNDS = 8
 #: What each kind looks like. Each begins and ends at a token's edge.
 KINDS = {

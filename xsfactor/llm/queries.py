@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality_rules, toxicity
+from . import jaccard_join, packing, pii, quality_rules, toxicity
 from .common import table
 
-#: A demonstration key; production passes its own.
-PII_KEY = "xsfactor-demo-key"
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), k=3, p=90, q=100)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, PII_KEY, found="n_replaced").select("doc_id", "n_replaced", "text")
+    return pii.pseudonymise(docs, pii.DEMO_KEY, found="n_replaced").select("doc_id", "n_replaced", "text")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,13 +35,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_pii, op4_toxicity, op8_quality_rules, op10_packing)
+    f.__name__: f for f in (pipeline, op2_jaccard_join, op3_pii, op4_toxicity, op8_quality_rules, op10_packing)
 }
 
 ORACLES: dict[str, str] = {

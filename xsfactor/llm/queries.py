@@ -9,10 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, packing, pii, quality_rules, toxicity
+from . import cover_tree, jaccard_join, packing, piece_encoding, pii, quality_classifier, quality_rules, sharding, toxicity, warc
 from .common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_encoding.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ids=False)
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), k=3, p=90, q=100)
 
@@ -30,11 +34,43 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The layout before: 16 shards by a hash of the source, so that a hot source makes one far too large.
+OLD_SHARDS, NEW_SHARDS = 16, 24
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    before = F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS))
+    placed, touched = sharding.reshard(docs.select("doc_id", "source", "text"), before, OLD_SHARDS, NEW_SHARDS)
+    rows = sharding.rewrite(placed, touched, NEW_SHARDS)
+    return rows.select(
+        "doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
+        F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = quality_classifier.held_out()
+    model, scale = quality_classifier.fit(docs, labels, ~out)
+    scored = quality_classifier.score(docs, model, scale, ["doc_id"]).select("row.doc_id", "score")
+    return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.join(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -45,7 +81,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (pipeline, op2_jaccard_join, op3_pii, op4_toxicity, op8_quality_rules, op10_packing)
+    f.__name__: f for f in (
+        pipeline, op1_sentencepiece, op2_jaccard_join, op3_pii, op4_toxicity, op5_warc, op6_sharding, op7_quality_classifier,
+        op8_quality_rules, op9_cover_tree, op10_packing,
+    )
 }
 
 ORACLES: dict[str, str] = {

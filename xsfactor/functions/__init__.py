@@ -1 +1 @@
-"""See the package README."""
+"""Column-level building blocks: frames, ranks, guarded moments, special functions."""

@@ -1 +1 @@
-"""See the package README."""
+"""Queries over the operators, each with its SQL."""

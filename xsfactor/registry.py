@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import catalog, factor_queries
+
+QUERIES = catalog.QUERIES
+ORACLES = catalog.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_suppkey").count()
+    return QUERIES["x1_zscore"](spark, sf_dir)

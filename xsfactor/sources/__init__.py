@@ -1 +1 @@
-"""See the package README."""
+"""Where panels come from: bar files, the driver's tables, mappings, lists; and where results go."""

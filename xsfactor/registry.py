@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalog, factor_queries, ic_queries, portfolio_queries  # noqa: F401
+from .plans import catalog, factor_queries, ic_queries, model_queries, portfolio_queries, relational_queries  # noqa: F401
 
 QUERIES = catalog.QUERIES
 ORACLES = catalog.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["x1_zscore"](spark, sf_dir)
+    return QUERIES["i3_ic_summary"](spark, sf_dir)

@@ -1 +1 @@
-"""See the package README."""
+"""Optional streams: the batch operators' nearest relatives in Structured Streaming."""

@@ -10,7 +10,7 @@ rows are written anew.
 
 Defined cases: null text has no bytes; a null doc_id or source is a value like others; repeated rows are placed each;
 texts of any length stay whole, so a shard can miss its size by part of a block; an empty table gives empty shards; other
-columns are written along.
+columns are written along, but for those named size, old_shard, shard or slot, which are replaced.
 """
 
 from __future__ import annotations
@@ -108,24 +108,24 @@ def row_bytes(text: str = "text") -> Column:
 
 
 def reshard(docs: DataFrame, old_shard: Column, old: int, new: int, room: list[int] | None = None, blocks: int = BLOCKS) -> tuple[DataFrame, set[int]]:
-    """(docs with columns size, old_shard, shard, slot; the shards that must be written).
+    """(docs with columns size, old_shard, shard, slot; the shards that must be written). old_shard: a condition on docs.
 
     The counts of blocks and the plan have `old * blocks` rows at most, so the plan may be broadcast. Rows move once, to
     where their shard's part is written.
     """
-    o, b, s, at = (free_name(docs.columns, x) for x in ("_old", "_block", "_size", "_part"))
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("size", "old_shard", "shard", "slot")))
+    o, b, s, at, start = (free_name(docs.columns, x) for x in ("_old", "_block", "_size", "_part", "_first"))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     rows = docs.withColumns({o: old_shard.cast("int"), b: block, s: row_bytes()})
     counted = rows.groupBy(o, b).agg(F.count(F.lit(1)).alias("n"), F.sum(s).alias("bytes")).collect()
     plan = assign(pd.DataFrame([tuple(r) for r in counted], columns=["old", "block", "n", "bytes"]).astype("int64"), old, new, room)
     moved = plan[plan["old"] != plan["shard"]]
     touched = set(moved["shard"].tolist()) | set(moved["old"].tolist())
-    frame = docs.sparkSession.createDataFrame(plan[["old", "block", "shard", "first"]].itertuples(index=False, name=None), f"{o} int, {b} int, shard int, first long") if len(plan) else docs.sparkSession.createDataFrame([], f"{o} int, {b} int, shard int, first long")
+    frame = docs.sparkSession.createDataFrame(plan[["old", "block", "shard", "first"]].itertuples(index=False, name=None), f"{o} int, {b} int, shard int, {start} long") if len(plan) else docs.sparkSession.createDataFrame([], f"{o} int, {b} int, shard int, {start} long")
     placed = rows.join(F.broadcast(frame), [o, b]).withColumn(at, F.col(b) % 64)
     place = Window.partitionBy("shard", at, o, b).orderBy("doc_id", F.xxhash64("text"))
-    placed = placed.repartition("shard", at).withColumn("slot", F.col("first") + F.row_number().over(place) - 1)
-    names = [F.col(c) for c in docs.columns if c.lower() not in ("size", "old_shard", "shard", "slot")]
-    return placed.select(*names, F.col(s).alias("size"), F.col(o).alias("old_shard"), "shard", F.col("slot").cast("long").alias("slot")), touched
+    placed = placed.repartition("shard", at).withColumn("slot", F.col(start) + F.row_number().over(place) - 1)
+    return placed.select(*docs.columns, F.col(s).alias("size"), F.col(o).alias("old_shard"), "shard", F.col("slot").cast("long").alias("slot")), touched
 
 
 def rewrite(placed: DataFrame, touched: set[int], shards: int, folder: str | None = None) -> DataFrame:

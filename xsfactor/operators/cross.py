@@ -65,7 +65,7 @@ def daily_ic(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ("date",), lea
     """Rank correlation by date, over rows with both values; dates with few rows or a constant side are left out."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = rows.withColumn("_rx", average_rank(x, *by)).withColumn("_ry", average_rank(y, *by))
-    ic = ranked.groupBy(*by).agg(guarded_corr("_rx", "_ry").alias("ic"), F.count(F.lit(1)).alias("n"))
+    ic = ranked.groupBy(*by).agg(F.round(guarded_corr("_rx", "_ry"), 12).alias("ic"), F.count(F.lit(1)).alias("n"))
     return ic.where((F.col("n") >= least) & F.col("ic").isNotNull())
 
 

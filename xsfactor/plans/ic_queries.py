@@ -25,7 +25,7 @@ FL = f"{F0}, fl AS (SELECT entity, date, fwd, unnest(['mom3', 'mom6', 'vol6', 'v
 def ic_sql(source: str, keys: str, y: str = "fwd", least: int = 5, name: str = "ic", more: str = "") -> str:
     return f"""{name}_k AS (SELECT {keys}, rank() OVER (PARTITION BY {keys} ORDER BY x) + (count(*) OVER (PARTITION BY {keys}, x) - 1) / 2.0 AS rx,
   rank() OVER (PARTITION BY {keys} ORDER BY {y}) + (count(*) OVER (PARTITION BY {keys}, {y}) - 1) / 2.0 AS ry FROM {source} WHERE x IS NOT NULL AND {y} IS NOT NULL{more}),
-{name}_g AS (SELECT {keys}, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) AS ic, count(*) AS n FROM {name}_k GROUP BY ALL),
+{name}_g AS (SELECT {keys}, round(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 12) AS ic, count(*) AS n FROM {name}_k GROUP BY ALL),
 {name} AS (SELECT * FROM {name}_g WHERE n >= {least} AND ic IS NOT NULL)"""
 
 

@@ -73,6 +73,36 @@ def schema_ddl(df: DataFrame, extra: str) -> str:
     return f"{own}, {extra}" if own else extra
 
 
+def _marked(df: DataFrame, key: str, ids: DataFrame, bits: int) -> tuple[DataFrame, str]:
+    """df with a flag that holds for every row whose key is among ids (one column of longs), and for few others.
+
+    ids become a bitmap of 2^bits hash values, a row for each 64 of them: its size is fixed, so it may be broadcast.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << bits))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast({c} & 63 as int))")
+    id_, flag = ids.columns[0], free_name(df.columns, "_marked")
+    spots = ids.where(F.col(id_).isNotNull()).select(spot(id_).alias("_spot")).groupBy(F.shiftright("_spot", 6).alias("_word"))
+    words = F.broadcast(spots.agg(F.bit_or(bit("_spot")).alias("_mask")))
+    at = free_name(df.columns, "_at")
+    found = df.withColumn(at, spot(key)).join(words, F.shiftright(at, 6) == F.col("_word"), "left")
+    hit = F.coalesce(F.col("_mask").bitwiseAND(bit(at)) != 0, F.lit(False))
+    return found.withColumn(flag, hit).select(*df.columns, flag), flag
+
+
+def with_ids(df: DataFrame, key: str, ids: DataFrame, bits: int = 24) -> DataFrame:
+    """Rows of df whose key is among ids. A bitmap lets the others go first, so only candidates move to the exact join."""
+    marked, flag = _marked(df, key, ids, bits)
+    id_ = ids.columns[0]
+    return marked.where(flag).drop(flag).join(ids.withColumnRenamed(id_, key), key, "left_semi").select(*df.columns)
+
+
+def without_ids(df: DataFrame, key: str, ids: DataFrame, bits: int = 24) -> DataFrame:
+    """Rows of df whose key isn't among ids, or null. Only rows that the bitmap can't clear move to the exact join."""
+    marked, flag = _marked(df, key, ids, bits)
+    rest = marked.where(flag).drop(flag).join(ids.withColumnRenamed(ids.columns[0], key), key, "left_anti")
+    return marked.where(~F.col(flag)).drop(flag).unionByName(rest.select(*df.columns))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (v, root), root the smallest vertex; only vertices with an edge.
 

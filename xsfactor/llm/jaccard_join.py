@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER_ASCII, WORDS, components, durable, texts
+from .common import UPPER_ASCII, WORDS, components, durable, texts, with_ids, without_ids
 
 GROUPS, COARSE, LEAF, TILE, LISTED = 256, 16, 32, 256, 64
 U = np.uint64
@@ -334,7 +334,7 @@ def set_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             sets = [make(t).view(np.int64) for t in texts(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
 
-    few = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    few = with_ids(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", ids)
     return few.mapInArrow(run, "id long, set array<long>")
 
 
@@ -383,7 +383,7 @@ def one_of_each(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataF
     """docs with one document of each component, that of the smallest doc_id; rows that repeat a doc_id count once."""
     classes = durable(join(docs, k, p, q), "classes")
     gone = classes.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = without_ids(docs, "doc_id", gone)
     if not classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
     return kept

@@ -86,6 +86,14 @@ def j9(s: SparkSession, d: str) -> DataFrame:
     return U.as_of_join(left, supplier_month(s, d).where("entity < 10").select(*KEY, "ticks"), "ticks")
 
 
+@query("j9_asof_join_whole", f"WITH {SM}, l AS (SELECT DISTINCT l_suppkey AS entity, CAST(o_orderdate AS DATE) AS date FROM lineitem JOIN orders ON o_orderkey = l_orderkey) SELECT l.entity, l.date, b.ticks FROM l ASOF LEFT JOIN b ON l.entity = b.entity AND l.date >= b.date", dates=("date",))
+def j9_whole(s: SparkSession, d: str) -> DataFrame:
+    """All suppliers: each day on which one was ordered from, with its last bar at that day."""
+    lines, orders = table(s, d, "lineitem").select("l_orderkey", "l_suppkey"), table(s, d, "orders").select("o_orderkey", "o_orderdate")
+    left = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("entity"), F.to_date("o_orderdate").alias("date")).distinct()
+    return U.as_of_join(left, supplier_month(s, d).select(*KEY, "ticks"), "ticks")
+
+
 @query("j11_range_window_join", f"WITH {PRED}, g AS (SELECT date, count(*) AS n, sum(y_true) AS s FROM pd GROUP BY date) SELECT a.date, sum(b.n)::BIGINT AS n, round(sum(b.s) / sum(b.n), 6) AS mean FROM g a JOIN g b ON b.date >= a.date - 365 AND b.date < a.date GROUP BY a.date", dates=("date",))
 def j11(s: SparkSession, d: str) -> DataFrame:
     g = predictions(s, d).groupBy("date").agg(count().alias("n"), F.sum("y_true").alias("s"))

@@ -2,10 +2,58 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from xsfactor import registry
+from xsfactor.functions import special
+from xsfactor.operators import stats
+from xsfactor.plans import ic_queries
 
 
 def test_as_of_join_has_all_suppliers(spark, sf):
     got = registry.QUERIES["j9_asof_join_whole"](spark, sf)
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey").distinct()
     assert got.select("entity").distinct().count() == lines.count() and got.where("ticks is not null").count()
+
+
+def test_regime_factors_are_screened_and_decorrelated_by_regime(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(180):
+        g = "NORMAL" if i < 80 else "HIGH" if i < 160 else "EXTREME"  # EXTREME has 20 days
+        y, noise = rng.normal(size=12), rng.normal(size=(5, 12))
+        mom3 = y + noise[0]
+        mom6 = mom3 + 0.1 * noise[1] if g == "NORMAL" else y + 1.5 * noise[1]  # like mom3 in NORMAL only
+        x = np.array([mom3, mom6, noise[2], -y + 2 * noise[3], noise[4]])
+        rows += [(g, dt.date(2020, 1, 1) + dt.timedelta(days=i), j, *map(float, x[:, j]), float(y[j])) for j in range(12)]
+    wide = spark.createDataFrame(rows, "regime string, date date, entity long, mom3 double, mom6 double, vol6 double, vr double, amp double, fwd double").cache()
+    monkeypatch.setattr(ic_queries, "regime_panel", lambda s, d: wide)
+    got = registry.QUERIES["i17_regime_factors"](spark, "").collect()
+
+    frame = wide.toPandas()
+    want = []
+    for g, part in frame.groupby("regime"):
+        found = []
+        for f in ic_queries.FACTORS:
+            ic = np.array([day[f].rank().corr(day["fwd"].rank()) for _, day in part.groupby("date")])
+            t = ic.mean() / (ic.std(ddof=1) / math.sqrt(len(ic)))
+            if len(ic) >= 60 and abs(ic.mean()) >= 0.01 and special.t_two_sided(t, len(ic) - 1) < 0.05:
+                found.append((-abs(ic.mean()), f))
+        kept = []
+        for _, f in sorted(found):
+            if all(abs(part[f].corr(part[k])) < 0.8 for k in kept):
+                kept.append(f)
+        want += [(g, i, f) for i, f in enumerate(kept)]
+    assert sorted(tuple(r) for r in got) == want
+    assert {r["regime"] for r in got} == {"NORMAL", "HIGH"} and sum(r["factor"] in ("mom3", "mom6") for r in got) == 3
+
+
+def test_screen_uses_p_values(spark, sf, monkeypatch):
+    rows = [(f, m + s * (-1) ** i) for f, m, s, n in [("a", 0.2, 0.3, 80), ("b", 0.05, 0.3, 80), ("c", 0.2, 0.3, 50), ("d", 0.005, 0.001, 80)] for i in range(n)]
+    monkeypatch.setattr(ic_queries, "ics", lambda s, d: spark.createDataFrame(rows, "factor string, ic double"))
+    assert [r["factor"] for r in registry.QUERIES["i15_screen_p"](spark, sf).collect()] == ["a"]

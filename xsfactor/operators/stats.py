@@ -184,3 +184,15 @@ def decorrelated(ordered: list[str], corr: dict[tuple[str, str], float], limit:
         if all((corr.get((f, g), corr.get((g, f))) or 0.0) < limit for g in kept):
             kept.append(f)
     return kept
+
+
+def selected(ics: DataFrame, rows: DataFrame, g: str, limit: float = 0.8, ic: float = 0.01, p: float = 0.05, days: int = 60) -> list[tuple[str, int, str]]:
+    """(group, place, factor) of the factors that pass the group's screen, de-correlated by the group's own complete rows."""
+    passed: dict[str, list[str]] = {}
+    for r in screened(with_p(ic_summary(ics, g, "factor")), ic, p, days).collect():
+        passed.setdefault(r[g], []).append(r["factor"])
+    out = []
+    for k, names in sorted(passed.items()):
+        corr = {(r["a"], r["b"]): r["c"] for r in correlations(rows.where(F.col(g) == k), names).collect()} if len(names) > 1 else {}
+        out += [(k, i, f) for i, f in enumerate(decorrelated(names, corr, limit))]
+    return out

@@ -157,6 +157,7 @@ query("a16_corr_matrix", f"WITH {F0}, c AS (SELECT * FROM f0 WHERE mom3 IS NOT N
     f"SELECT '{a}' AS a, '{b}' AS b, {r6(f'abs(corr({a}, {b}))', 'c')} FROM c" for i, a in enumerate(FACTORS) for b in FACTORS[i + 1 :]))(lambda s, d: rounded(S.correlations(factor_panel(s, d), FACTORS)))
 query("i15_screen", f"WITH {IC}, z AS (SELECT factor, {SUMMARY} FROM ic GROUP BY factor) SELECT factor, {r6('ic_mean', 'ic_mean')}, n FROM z WHERE abs(ic_mean) >= 0.001 AND abs(t) > 0.1 AND n >= 30")(
     lambda s, d: rounded(S.screened(S.ic_summary(ics(s, d), "factor").withColumn("p", F.when(F.abs("t") > 0.1, 0.0).otherwise(1.0)), 0.001, 0.05, 30).select("factor", "ic_mean", "n")))
+query("i15_screen_p")(lambda s, d: rounded(S.screened(S.with_p(S.ic_summary(ics(s, d), "factor")))))
 
 
 @query("i16_greedy", f"""
@@ -176,13 +177,7 @@ def i16(s: SparkSession, d: str) -> DataFrame:
 def i17(s: SparkSession, d: str) -> DataFrame:
     wide = regime_panel(s, d)
     by = X.daily_ic(wide.unpivot(["regime", "date", "fwd"], FACTORS, "factor", "x"), "x", "fwd", ("regime", "factor", "date"))
-    top = S.with_p(S.ic_summary(by, "regime", "factor"))
-    corr = {(r["a"], r["b"]): r["c"] for r in S.correlations(wide, FACTORS).collect()}
-    names: dict[str, list[str]] = {}
-    for r in top.orderBy("regime", F.abs("ic_mean").desc(), "factor").collect():
-        names.setdefault(r["regime"], []).append(r["factor"])
-    rows = [(g, i, f) for g, fs in names.items() for i, f in enumerate(S.decorrelated(fs, corr))]
-    return s.createDataFrame(rows, "regime string, pos int, factor string")
+    return s.createDataFrame(S.selected(by, wide, "regime"), "regime string, pos int, factor string")
 
 
 @query("x9_sign_align", f"""

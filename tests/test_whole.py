@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from xsfactor import registry
 from xsfactor.functions import special
-from xsfactor.operators import stats
-from xsfactor.plans import ic_queries
+from xsfactor.operators import models, stats
+from xsfactor.plans import ic_queries, model_queries
 
 
 def test_as_of_join_has_all_suppliers(spark, sf):
@@ -57,3 +57,55 @@ def test_screen_uses_p_values(spark, sf, monkeypatch):
     rows = [(f, m + s * (-1) ** i) for f, m, s, n in [("a", 0.2, 0.3, 80), ("b", 0.05, 0.3, 80), ("c", 0.2, 0.3, 50), ("d", 0.005, 0.001, 80)] for i in range(n)]
     monkeypatch.setattr(ic_queries, "ics", lambda s, d: spark.createDataFrame(rows, "factor string, ic double"))
     assert [r["factor"] for r in registry.QUERIES["i15_screen_p"](spark, sf).collect()] == ["a"]
+
+
+def ridge_by_hand(train, test, xs, alpha):
+    x, y = train[xs].to_numpy(), train["fwd"].to_numpy()
+    beta = np.linalg.solve((x - x.mean(0)).T @ (x - x.mean(0)) + alpha * np.eye(len(xs)), (x - x.mean(0)).T @ (y - y.mean()))
+    return y.mean() + (test[xs].to_numpy() - x.mean(0)) @ beta
+
+
+def test_model_grids_have_regimes_and_all_settings(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(70):
+        g = ("NORMAL", "HIGH", "EXTREME")[i % 3]
+        x = rng.normal(size=(3, 80))
+        y = {"NORMAL": x[0], "HIGH": x[2] - x[1], "EXTREME": -x[0]}[g] + rng.normal(size=80)
+        rows += [(g, dt.date(2018, 1, 1) + dt.timedelta(days=30 * i), j, *map(float, x[:, j]), float(y[j])) for j in range(80)]
+    base = spark.createDataFrame(rows, "regime string, date date, entity long, mom3_std double, vr_std double, amp_std double, fwd double").cache()
+    monkeypatch.setattr(model_queries, "standard", lambda s, d, regime=False: base if regime else base.drop("regime"))
+    m15 = {(r["days"], r["alpha"]): r for r in registry.QUERIES["m15_regime_specific_grid"](spark, "").collect()}
+    m14 = {(r["use_regime"], r["days"], r["alpha"]): r for r in registry.QUERIES["m14_grid_use_regime"](spark, "").collect()}
+    # Of a regime, 504 days hold at most 6 x 80 rows and 756 at most 9 x 80: no predictions with 800 or 1000 asked for.
+    assert set(m15) == {(1008, a) for a in (0.2, 0.5, 1.0, 2.0, 3.0, 5.0, 8.0)}
+    assert set(m14) == {(False, w, a) for w in (504, 756) for a in (0.5, 1.0, 2.0, 5.0)}
+
+    frame = base.toPandas()
+    for least, xs, rows_of, windows, got in ((800, model_queries.OWN, True, (1008,), lambda w, a: m15[w, a]), (1000, None, False, (504, 756), lambda w, a: m14[False, w, a])):
+        for w in windows:
+            ics, ls, held = [], [], (set(), set())
+            for day in sorted(frame["date"].unique()):
+                test = frame[frame["date"] == day]
+                train = frame[(frame["date"] < day) & (frame["date"] >= day - dt.timedelta(days=w))]
+                g = test["regime"].iloc[0]
+                train = train[train["regime"] == g] if rows_of else train
+                if len(train) < least:
+                    continue
+                p = test.assign(p=ridge_by_hand(train, test, xs[g] if xs else model_queries.XS, 5.0).round(9)).sort_values("p", ascending=False)
+                ics.append(p["p"].rank().corr(p["fwd"].rank()))
+                now = (set(p["entity"][:30]), set(p["entity"][-30:]))
+                turnover = sum(1 - len(a & b) / 30 for a, b in zip(now, held, strict=True))
+                held = now
+                ls.append(p["fwd"][:30].mean() - p["fwd"][-30:].mean() - (0.0005 if rows_of else 0) * turnover)
+            r = got(w, 5.0)
+            assert len(ics) == r["n_days"] > 5
+            assert r["ic_mean"] == pytest.approx(np.mean(ics), abs=1e-5) and r["ls_mean"] == pytest.approx(np.mean(ls), abs=1e-5)
+
+
+def test_model_grid_by_regime_trains_on_the_regime(spark):
+    rows = [(("A", "B")[i % 2], dt.date(2020, 1, 1) + dt.timedelta(days=i), j, float(j), float(j if i % 2 else -j)) for i in range(20) for j in range(10)]
+    df = spark.createDataFrame(rows, "regime string, date date, entity long, x double, y double")
+    got = models.model_grid_by_regime(df, {"A": ["x"], "B": ["x"]}, "y", [10, 20], [0.001, 1.0], 20)
+    assert got.select("days", "alpha", "regime").distinct().count() == 8
+    assert got.where("alpha < 0.1").agg(F.max(F.abs(F.col("y_pred") - F.col("y_true")))).first()[0] < 0.01

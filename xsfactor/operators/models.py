@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cross import daily_ic, order
+from .stats import ic_summary
+
 
 def sums(df: DataFrame, xs: list[str], y: str, *by: str) -> DataFrame:
     """Rows (by, n, st): the sums over rows complete in label and factors, flattened: x, y, xx', xy, yy."""
@@ -112,6 +115,36 @@ def model_grid(df: DataFrame, xs: list[str], y: str, windows: list[int], alphas:
     return predicted(df, solved(parts, F.col("alpha"), least), xs)
 
 
+def model_grid_by_regime(df: DataFrame, factors: dict[str, list[str]], y: str, windows: list[int], alphas: list[float], least: int = 800) -> DataFrame:
+    """M15, and M14 with regimes: each regime with its own factors and training rows, for each window and penalty."""
+    out = None
+    for g, xs in sorted(factors.items()):
+        p = model_grid(df.where(F.col("regime") == g), xs, y, windows, alphas, least).select("entity", "date", "regime", "days", "alpha", F.col(y).alias("y_true"), "y_pred")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def graded(p: DataFrame, *by: str, top: int = 30, bottom: int = 30, cost_bps: float = 0.0, year: float = 252.0) -> DataFrame:
+    """For each setting, rank correlations by date and the returns of the best names over the worst, less costs.
+
+    Turnover is against the setting's last date before; dates with less than half a leg have no returns.
+    """
+    keys = [*by, "date"]
+    ic = ic_summary(daily_ic(p, "y_pred", "y_true", tuple(keys), 2), *by).select(*by, "ic_mean", "ic_std", "ic_ir", F.col("win_rate").alias("ic_win_rate"), F.col("n").alias("n_days"))
+    w = Window.partitionBy(*keys)
+    ranked = p.select(*keys, "entity", "y_true", F.count(F.lit(1)).over(w).alias("_n"), *(F.row_number().over(w.orderBy(*order("y_pred", b))).alias(n) for n, b in (("_up", True), ("_down", False))))
+    ranked = ranked.where(F.col("_n") >= max(1, top // 2, bottom // 2))
+    sides = F.array_compact(F.array(F.when(F.col("_up") <= top, F.lit("long")), F.when(F.col("_down") <= bottom, F.lit("short"))))
+    held = ranked.where((F.col("_up") <= top) | (F.col("_down") <= bottom)).select(*keys, "entity", "y_true", F.explode(sides).alias("side"))
+    held = held.join(held.select(*keys).distinct().withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("date"))), keys)
+    was = held.select(*by, "side", "entity", (F.col("_i") + 1).alias("_i"), F.lit(1).alias("_kept"))
+    legs = held.join(was, [*by, "side", "entity", "_i"], "left").groupBy(*keys).pivot("side", ["long", "short"]).agg(F.avg("y_true").alias("r"), F.avg(F.coalesce("_kept", F.lit(0))).alias("kept"))
+    ls = F.col("long_r") - F.col("short_r") - cost_bps / 10000 * (2 - F.col("long_kept") - F.col("short_kept"))
+    m, sd = F.avg("ls"), F.stddev_samp("ls")
+    out = legs.withColumn("ls", ls).groupBy(*by).agg(F.avg("long_r").alias("long_mean"), F.avg("short_r").alias("short_mean"), m.alias("ls_mean"), (m * year).alias("ls_ann"), (m / (sd + 1e-12) * year**0.5).alias("ls_ir"))
+    return ic.join(out, list(by), "left")
+
+
 def daily_ols(df: DataFrame, xs: list[str], y: str, least: int = 10, *by: str) -> DataFrame:
     """M8: by date, intercept and slopes, their t values, R2 and adjusted R2; rows (by, date, n, coef, t, r2, adj_r2)."""
 

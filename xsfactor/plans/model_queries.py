@@ -40,7 +40,8 @@ bt AS (SELECT *, (sxy - sx * sy / n) / (sxx - sx * sx / n + {alpha}) AS beta FRO
 query("m1_ridge_walk_forward", f"WITH {ridge_sql(str(DAYS), '1.0', 'SELECT 1 AS one')} SELECT entity, date, {r6('p', 'y_pred')}, n_train FROM pp")(
     lambda s, d: rounded(M.walk_forward(scores(s, d), ["x"], "y", DAYS, 1.0, LEAST).select(*KEY, "y_pred", "n_train")))
 query("m1_ridge_many")(lambda s, d: rounded(M.walk_forward(standard(s, d), XS, "fwd", DAYS, 1.0, LEAST).select(*KEY, "y_pred", "n_train")))
-query("m2_ridge_by_regime")(lambda s, d: rounded(M.walk_forward_by_regime(standard(s, d, True), {"NORMAL": XS[:2], "HIGH": XS[1:], "EXTREME": XS[:1]}, "fwd", DAYS, 1.0, 100)))
+OWN = {"NORMAL": XS[:2], "HIGH": XS[1:], "EXTREME": XS[:1]}
+query("m2_ridge_by_regime")(lambda s, d: rounded(M.walk_forward_by_regime(standard(s, d, True), OWN, "fwd", DAYS, 1.0, 100)))
 
 
 @query("m3_ridge", f"WITH {XY}, t AS (SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM dg), be AS (SELECT *, (sxy - sx * sy / n) / (sxx - sx * sx / n + 2.0) AS beta FROM t) SELECT {r6('sy / n - beta * sx / n', 'intercept')}, {r6('beta', 'beta')}, n FROM be")
@@ -86,6 +87,21 @@ for _name in ("m14_grid", "m15_regime_grid"):
         lambda s, d: rounded(M.model_grid(scores(s, d), ["x"], "y", [730, 1095], [0.5, 2.0, 5.0], LEAST).groupBy("days", "alpha").agg(F.count(F.lit(1)).alias("n"), F.avg("y_pred").alias("mean_pred"), F.avg((F.col("y_pred") - F.col("y")) * (F.col("y_pred") - F.col("y"))).alias("mse")), mse=4))
 
 
+@query("m14_grid_use_regime")
+def m14(s: SparkSession, d: str) -> DataFrame:
+    """With training rows of the date's regime only, and with all: windows x penalties each."""
+    base, windows, alphas = standard(s, d, True), [504, 756], [0.5, 1.0, 2.0, 5.0]
+    own = M.model_grid_by_regime(base, dict.fromkeys(OWN, XS), "fwd", windows, alphas, 1000).drop("regime").withColumn("use_regime", F.lit(True))
+    pooled = M.model_grid(standard(s, d), XS, "fwd", windows, alphas, 1000).select(*KEY, "days", "alpha", F.col("fwd").alias("y_true"), "y_pred").withColumn("use_regime", F.lit(False))
+    return rounded(M.graded(own.unionByName(pooled).withColumn("y_pred", F.round("y_pred", 9)), "use_regime", "days", "alpha", year=12.0))
+
+
+@query("m15_regime_specific_grid")
+def m15(s: SparkSession, d: str) -> DataFrame:
+    p = M.model_grid_by_regime(standard(s, d, True), OWN, "fwd", [504, 756, 1008], [0.2, 0.5, 1.0, 2.0, 3.0, 5.0, 8.0])
+    return rounded(M.graded(p.withColumn("y_pred", F.round("y_pred", 9)), "days", "alpha", cost_bps=5.0, year=12.0))
+
+
 def modelled(s: SparkSession, d: str, days: int = DAYS, alpha: float = 1.0) -> DataFrame:
     return M.walk_forward(scores(s, d), ["x"], "y", days, alpha, LEAST).select(*KEY, F.round("y_pred", 9).alias("y_pred"), F.col("y").alias("y_true")).where("y_true is not null")
 

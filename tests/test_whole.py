@@ -109,3 +109,18 @@ def test_model_grid_by_regime_trains_on_the_regime(spark):
     got = models.model_grid_by_regime(df, {"A": ["x"], "B": ["x"]}, "y", [10, 20], [0.001, 1.0], 20)
     assert got.select("days", "alpha", "regime").distinct().count() == 8
     assert got.where("alpha < 0.1").agg(F.max(F.abs(F.col("y_pred") - F.col("y_true")))).first()[0] < 0.01
+
+
+def test_boosting_has_200_trees(spark, sf, monkeypatch):
+    used = []
+    monkeypatch.setattr(model_queries.M, "boosted", lambda train, test, xs, y, trees=200, rate=0.05, **more: used.append((trees, rate)) or test.withColumn("y_pred", F.lit(0.0)))
+    registry.QUERIES["m7_boosting"](spark, sf)
+    assert used == [(200, 0.05)]
+
+
+def test_bootstrap_refuses_small_groups(spark, sf, monkeypatch):
+    ics = spark.createDataFrame([(g, math.sin(i)) for g, n in (("A", 29), ("B", 30)) for i in range(n)], "regime string, ic double")
+    monkeypatch.setattr(ic_queries, "regime_ics", lambda s, d: ics)
+    drawn, real = [], stats.bootstrap
+    monkeypatch.setattr(ic_queries.S, "bootstrap", lambda df, x, g, samples=1000, **more: drawn.append(samples) or real(df, x, g, samples, **more))
+    assert [r["regime"] for r in registry.QUERIES["i13_bootstrap"](spark, sf).collect()] == ["B"] and drawn == [1000]

@@ -147,7 +147,7 @@ WITH {IC}, z AS (SELECT factor, round(exp(-abs(avg(ic) / (stddev_samp(ic) / sqrt
 k AS (SELECT *, row_number() OVER (ORDER BY p, factor) AS k, count(*) OVER () AS m FROM z)
 SELECT factor, {r6('p', 'p')}, {r6('least(1.0, p * m)', 'bonferroni')}, {r6('least(1.0, min(p * m / k) OVER (ORDER BY k DESC))', 'fdr')} FROM k""")(
     lambda s, d: rounded(S.adjusted(S.ic_summary(ics(s, d), "factor").select("factor", F.round(F.exp(-F.abs("t")), 9).alias("p")), "p", "factor")))
-query("i13_bootstrap")(lambda s, d: rounded(S.bootstrap(regime_ics(s, d), "ic", "regime", 200, least=5)))
+query("i13_bootstrap")(lambda s, d: rounded(S.bootstrap(regime_ics(s, d), "ic", "regime", 1000, least=30)))
 query("i14_ljung_box", f"""
 WITH {IC}, tl AS (SELECT factor, date, ic - avg(ic) OVER (PARTITION BY factor) AS c FROM (SELECT * FROM ic QUALIFY row_number() OVER (PARTITION BY factor ORDER BY date DESC) <= 100)),
 l AS (SELECT factor, c, {', '.join(f'c * lag(c, {k}) OVER w AS l{k}' for k in range(1, 11))} FROM tl WINDOW w AS (PARTITION BY factor ORDER BY date)),

@@ -58,7 +58,7 @@ query("m6_ridge_interactions")(lambda s, d: rounded(M.walk_forward(X.interaction
 @query("m7_boosting")
 def m7(s: SparkSession, d: str) -> DataFrame:
     rows = standard(s, d).select(*KEY, "fwd", *XS)
-    return rounded(M.boosted(rows.where("date < '2000-01-01'"), rows.where("date >= '2000-01-01'"), XS, "fwd", trees=10).select(*KEY, "y_pred"))
+    return rounded(M.boosted(rows.where("date < '2000-01-01'"), rows.where("date >= '2000-01-01'"), XS, "fwd", trees=200).select(*KEY, "y_pred"))
 
 
 SLOPES = f"{XY}, sl AS (SELECT date, count(*) AS n, covar_pop(x, y) / var_pop(x) AS beta, avg(y) - covar_pop(x, y) / var_pop(x) * avg(x) AS alpha, covar_pop(x, y) * covar_pop(x, y) / nullif(var_pop(x) * var_pop(y), 0) AS r2 FROM xy WHERE y IS NOT NULL GROUP BY date HAVING count(*) >= 10 AND var_pop(x) > 0)"

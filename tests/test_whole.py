@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import math
 
 import numpy as np
@@ -124,3 +125,26 @@ def test_bootstrap_refuses_small_groups(spark, sf, monkeypatch):
     drawn, real = [], stats.bootstrap
     monkeypatch.setattr(ic_queries.S, "bootstrap", lambda df, x, g, samples=1000, **more: drawn.append(samples) or real(df, x, g, samples, **more))
     assert [r["regime"] for r in registry.QUERIES["i13_bootstrap"](spark, sf).collect()] == ["B"] and drawn == [1000]
+
+
+def test_mann_whitney_has_every_pair(spark):
+    rng = np.random.default_rng(2)
+    data = {"A": rng.normal(size=20).round(1), "B": rng.normal(0.5, 1, 25).round(1), "C": rng.normal(size=6)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs], "regime string, ic double")
+    got = {(r["a"], r["b"]): r for r in stats.mann_whitney(df, "ic", "regime").collect()}
+    assert set(got) == {("A", "B"), ("A", "C"), ("B", "C")}
+    for (a, b), r in got.items():
+        x, y = data[a], data[b]
+        u = sum((i > j) + 0.5 * (i == j) for i in x for j in y)
+        n, ties = len(x) + len(y), np.unique(np.r_[x, y], return_counts=True)[1]
+        sd = math.sqrt(len(x) * len(y) / 12 * (n + 1 - (ties**3 - ties).sum() / (n * (n - 1))))
+        assert (r["n_a"], r["n_b"], r["u"]) == (len(x), len(y), u)
+        assert r["z"] == pytest.approx((u - len(x) * len(y) / 2) / sd)
+        assert r["p"] == pytest.approx(special.normal_two_sided((abs(u - len(x) * len(y) / 2) - 0.5) / sd), abs=1e-9) or max(ties) == 1
+
+
+def test_mann_whitney_exact_by_enumeration():
+    us = [sum(x > y for x in pick for y in set(range(9)) - set(pick)) for pick in itertools.combinations(range(9), 4)]
+    for u in range(21):
+        want = min(1.0, 2 * sum(v >= max(u, 20 - u) for v in us) / len(us))
+        assert special.mann_whitney_exact(u, 4, 5) == pytest.approx(want) == special.mann_whitney_exact(u, 5, 4)

@@ -70,6 +70,18 @@ def chi2_upper(x: float, df: float) -> float:
     return 1 - gamma_inc(df / 2, x / 2)
 
 
+def mann_whitney_exact(u: float, n: int, m: int) -> float:
+    """Two-sided p of U without ties: the ways to reach each U are the coefficients of a Gaussian binomial."""
+    few, many = min(n, m), max(n, m)
+    ways = [1] + [0] * (few * many)
+    for i in range(1, few + 1):
+        for k in range(len(ways) - 1, many + i - 1, -1):
+            ways[k] -= ways[k - many - i]
+        for k in range(i, len(ways)):
+            ways[k] += ways[k - i]
+    return min(1.0, 2 * sum(ways[math.ceil(max(u, n * m - u)) :]) / math.comb(n + m, n))
+
+
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 

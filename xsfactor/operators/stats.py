@@ -99,17 +99,26 @@ def kruskal(df: DataFrame, x: str, g: str) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, x: str, g: str) -> DataFrame:
-    """I7, for two groups: U of the smaller label and its normal approximation with tie correction."""
-    r = ranked(df, x)
-    t = r.agg(F.min(g).alias("a"), F.max(g).alias("b")).first()
-    inside = r.where(F.col(g).isin(t["a"], t["b"]))
-    ties = r.select(x, "ties").distinct().agg(F.sum(F.col("ties") * F.col("ties") * F.col("ties") - F.col("ties")).alias("t")).first()["t"] or 0
-    first = F.col(g) == F.lit(t["a"])
-    s = inside.agg(F.count_if(first).alias("n_a"), F.count_if(~first).alias("n_b"), F.sum(F.when(first, F.col("rank"))).alias("r"))
+    """I7, for each two groups a < b: U of a and its normal approximation with tie correction, both from ranks within the pair.
+
+    p is two-sided: from z with continuity correction, or exact where a group has 8 values at most and none are tied.
+    """
+    values = df.where(F.col(x).isNotNull() & F.col(g).isNotNull()).groupBy(g, x).agg(F.count(F.lit(1)).alias("c"))
+    groups = values.select(F.col(g).alias("a")).distinct()
+    pairs = groups.join(groups.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
+    both = values.join(pairs, (F.col(g) == F.col("a")) | (F.col(g) == F.col("b"))).groupBy("a", "b", x).agg(
+        F.sum("c").alias("ties"), F.coalesce(F.sum(F.when(F.col(g) == F.col("a"), F.col("c"))), F.lit(0)).alias("own")
+    )
+    before = F.coalesce(F.sum("ties").over(Window.partitionBy("a", "b").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = both.withColumn("_r", before + (F.col("ties") + 1) / 2.0).groupBy("a", "b").agg(
+        F.sum("own").alias("n_a"), F.sum(F.col("ties") - F.col("own")).alias("n_b"), F.sum(F.col("own") * F.col("_r")).alias("r"), F.sum(F.col("ties") * F.col("ties") * F.col("ties") - F.col("ties")).cast("double").alias("t")
+    )
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     u, n = F.col("r") - na * (na + 1) / 2, na + nb
-    sd = F.sqrt(na * nb / 12 * (n + 1 - F.lit(float(ties)) / (n * (n - 1))))
-    return s.select("n_a", "n_b", u.alias("u"), ((u - na * nb / 2) / F.nullif(sd, F.lit(0.0))).alias("z"))
+    sd = F.nullif(F.sqrt(na * nb / 12 * (n + 1 - F.col("t") / (n * (n - 1)))), F.lit(0.0))
+    s = s.select("a", "b", "n_a", "n_b", u.alias("u"), ((u - na * nb / 2) / sd).alias("z"), "t", F.coalesce(F.greatest(F.abs(u - na * nb / 2) - 0.5, F.lit(0.0)) / sd, F.lit(0.0)).alias("_z"))
+    p = special.arrow(lambda u, z, t, n, m: special.mann_whitney_exact(u, int(n), int(m)) if t == 0 and min(n, m) <= 8 else special.normal_two_sided(z), "u", "_z", "t", F.col("n_a").cast("double"), F.col("n_b").cast("double"))
+    return s.withColumn("p", p).drop("t", "_z")
 
 
 def adjusted(df: DataFrame, p: str, order: str) -> DataFrame:

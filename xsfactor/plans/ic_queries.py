@@ -131,9 +131,21 @@ query("i9_kruskal", f"""
 WITH {RANKS}, g AS (SELECT regime, count(*)::DOUBLE AS n, sum(k) AS r FROM rr GROUP BY regime), z AS (SELECT sum(n) AS n, count(*) AS k, sum(r * r / n) AS q FROM g)
 SELECT n::BIGINT AS n, k, {r6('(12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - (SELECT t FROM tt) / (n * n * n - n))', 'h')} FROM z""")(
     lambda s, d: rounded(S.kruskal(regime_ics(s, d).withColumn("ic", F.round("ic", 9)), "ic", "regime")))
+
+
+def pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.mann_whitney(regime_ics(spark, sf_dir).withColumn("ic", F.round("ic", 9)), "ic", "regime")
+
+
 TWO = f"{RIC}, two AS (SELECT regime, round(ic, 9) AS ic FROM ic WHERE regime <> 'EXTREME'), rr AS (SELECT *, rank() OVER (ORDER BY ic) + (count(*) OVER (PARTITION BY ic) - 1) / 2.0::DOUBLE AS k FROM two)"
 query("i7_mann_whitney", f"WITH {TWO}, z AS (SELECT count(*) FILTER (regime = 'HIGH') AS n_a, count(*) FILTER (regime <> 'HIGH') AS n_b, sum(k) FILTER (regime = 'HIGH') AS r FROM rr) SELECT n_a, n_b, r - n_a * (n_a + 1) / 2.0::DOUBLE AS u FROM z")(
-    lambda s, d: S.mann_whitney(regime_ics(s, d).where("regime != 'EXTREME'").withColumn("ic", F.round("ic", 9)), "ic", "regime").select("n_a", "n_b", "u"))
+    lambda s, d: pairwise(s, d).where("a = 'HIGH' AND b = 'NORMAL'").select("n_a", "n_b", "u"))
+query("i7_mann_whitney_pairs", f"""
+WITH {RIC}, vs AS (SELECT regime, round(ic, 9) AS ic FROM ic), gs AS (SELECT DISTINCT regime FROM vs), pa AS (SELECT a.regime AS a, b.regime AS b FROM gs a JOIN gs b ON a.regime < b.regime),
+rr AS (SELECT a, b, regime, rank() OVER (PARTITION BY a, b ORDER BY ic) + (count(*) OVER (PARTITION BY a, b, ic) - 1) / 2.0::DOUBLE AS k, count(*) OVER (PARTITION BY a, b, ic) AS ties FROM vs JOIN pa ON regime = a OR regime = b),
+z AS (SELECT a, b, count(*) FILTER (regime = a) AS n_a, count(*) FILTER (regime = b) AS n_b, sum(k) FILTER (regime = a) AS r, sum(ties * ties - 1)::DOUBLE AS t, count(*)::DOUBLE AS n FROM rr GROUP BY a, b), y AS (SELECT *, r - n_a * (n_a + 1) / 2.0::DOUBLE AS u FROM z)
+SELECT a, b, n_a, n_b, u, {r6('(u - n_a * n_b / 2.0::DOUBLE) / sqrt(n_a * n_b / 12.0::DOUBLE * (n + 1 - t / (n * (n - 1))))', 'z')} FROM y""")(lambda s, d: rounded(pairwise(s, d).drop("p")))
+query("i7_p_values")(lambda s, d: rounded(pairwise(s, d)))
 query("i10_levene", f"""
 WITH {RIC}, md AS (SELECT regime, median(ic) AS m FROM ic GROUP BY regime), dv AS (SELECT regime, abs(ic - m) AS x FROM ic JOIN md USING (regime)),
 gm AS (SELECT regime, count(*) AS n, var_pop(x) AS v0, sum(x) AS s FROM dv GROUP BY regime), t AS (SELECT sum(n)::BIGINT AS n, count(*) AS k, sum(s) AS s, sum(s * s / n) AS b, sum(v0 * n) AS w FROM gm)

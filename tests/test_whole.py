@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from xsfactor import registry
 from xsfactor.functions import special
 from xsfactor.operators import models, stats
-from xsfactor.plans import ic_queries, model_queries
+from xsfactor.plans import ic_queries, model_queries, portfolio_queries
 
 
 def test_as_of_join_has_all_suppliers(spark, sf):
@@ -148,3 +148,19 @@ def test_mann_whitney_exact_by_enumeration():
     for u in range(21):
         want = min(1.0, 2 * sum(v >= max(u, 20 - u) for v in us) / len(us))
         assert special.mann_whitney_exact(u, 4, 5) == pytest.approx(want) == special.mann_whitney_exact(u, 5, 4)
+
+
+def test_policy_grid_has_all_policies(spark, sf, monkeypatch):
+    used = []
+    monkeypatch.setattr(portfolio_queries.P, "grid", lambda p, settings, costs: used.append((settings, costs)) or p)
+    registry.QUERIES["e11_policy_grid"](spark, sf)
+    settings, costs = used[0]
+    count = {policy: len({(x, n) for k, x, n in settings if k == policy}) for policy in portfolio_queries.P.POLICIES}
+    assert count == {"baseline": 3, "low_freq": 9, "hysteresis": 9, "ema": 9, "swap_cap": 9, "combo": 27} and len(costs) == 3
+
+
+def test_robustness_has_windows(spark, sf, monkeypatch):
+    days = []
+    monkeypatch.setattr(model_queries, "modelled", lambda s, d, n: days.append(n) or s.range(20).select(F.lit("2000-01-01").cast("date").alias("date"), F.col("id").alias("entity"), F.col("id").cast("double").alias("y_pred"), F.lit(1.0).alias("y_true")))
+    got = registry.QUERIES["m18_robustness"](spark, sf)
+    assert len(set(days)) == 3 and got.select("start", "days").distinct().count() == 9

@@ -122,11 +122,13 @@ def m17(s: SparkSession, d: str) -> DataFrame:
 
 @query("m18_robustness")
 def m18(s: SparkSession, d: str) -> DataFrame:
-    p, out = modelled(s, d), None
-    for start in ("1998-01-01", "1999-01-01"):
-        part = p.where(F.col("date") >= F.lit(start).cast("date"))
-        m = P.metrics(P.with_drawdown(P.series(P.hysteresis(part, 5, 2), part, 5.0))).withColumn("start", F.lit(start))
-        out = m if out is None else out.unionByName(m)
+    out = None
+    for days in (756, 900, 1008):
+        p = modelled(s, d, days)
+        for start in ("1998-01-01", "1999-01-01", "2000-01-01"):
+            part = p.where(F.col("date") >= F.lit(start).cast("date"))
+            m = P.metrics(P.with_drawdown(P.series(P.hysteresis(part, 5, 2), part, 5.0))).withColumns({"start": F.lit(start), "days": F.lit(days)})
+            out = m if out is None else out.unionByName(m)
     return rounded(out)
 
 

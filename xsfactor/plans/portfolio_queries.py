@@ -81,7 +81,9 @@ query("t23_drawdown", f"WITH {BASE}, {DRAW} SELECT date, {r6('cum', 'cum')}, {r6
 query("a18_summary_metrics", f"WITH {BASE}, {DRAW}, z AS (SELECT {METRICS} FROM dr) SELECT {METRIC_OUT} FROM z")(lambda s, d: rounded(P.metrics(P.with_drawdown(baseline(s, d)), year=12.0)))
 query("a20_profile", f"WITH {BASE} SELECT {', '.join(r6(f'avg({c})', f'avg_{c}') for c in ('turnover', 'overlap_long', 'overlap_short', 'added_long', 'added_short'))} FROM se")(lambda s, d: rounded(P.profile(baseline(s, d))))
 query("e10_dispatch")(lambda s, d: rounded(P.run_policy(predictions(s, d), "combo", N, (3, 2), 5.0).select(*SHOWN, "drawdown")))
-SETTINGS = [("baseline", None, 5), ("low_freq", 3, 5), ("hysteresis", 2, 5), ("ema", 3, 5)]
+#: All six policies, three parameters (nine of the combination) and three breadths each.
+PARAMETERS = {"baseline": [None], "low_freq": [3, 6, 12], "hysteresis": [0, 2, 4], "ema": [3, 5, 10], "swap_cap": [0.2, 0.4, 0.6], "combo": [(a, b) for a in (3, 4, 6) for b in (1, 2, 3)]}
+SETTINGS = [(policy, x, n) for policy, xs in PARAMETERS.items() for x in xs for n in (N, 2 * N, 4 * N)]
 query("e11_policy_grid")(lambda s, d: rounded(P.grid(predictions(s, d), SETTINGS, [0, 5, 10])))
 query("e12_regime_attribution", f"""
 WITH {MK}, pr AS (SELECT entity, date, CASE WHEN stddev_samp(mo) OVER w > 1e-12 THEN round((mo - avg(mo) OVER w) / stddev_samp(mo) OVER w, 9) END AS y_pred, fw AS y_true

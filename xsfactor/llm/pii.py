@@ -36,7 +36,7 @@ KINDS = {
 FIRST = {"secret": "[A-Za-z]", "email": "[A-Za-z0-9]", "iban": "[A-Z]", "phone": "[0-9+(]"}
 ANY = "|".join(f"(?:(?={FIRST.get(k, '[0-9]')})(?:{p}))" for k, p in KINDS.items())
 #: A cheap test that every text with a candidate passes.
-HINT = r"(?=[@0-9:=])(?:@[A-Za-z0-9]|[0-9][0-9A-Z.\-/() ]{5}|[:=]\s{0,3}[\"']?[A-Za-z0-9])"
+HINT = r"(?=[@0-9:=])(?:@[A-Za-z0-9]|[0-9][0-9A-Z.\-/() ]{5}|[:=]\s{0,3}[\"']?[A-Za-z0-9+/_\-])"
 #: Days of the calendar's 400-year cycle, from 1800-01-01: 27 x 5411.
 FIRST_DAY, CYCLE = "1800-01-01", (27, 5411)
 

@@ -96,13 +96,15 @@ class Encoder:
         longest: list[list[str]] = [[] for _ in text]
         for end, p in self.automaton.iter(text):
             longest[end + 1 - len(p)].append(p)  # shorter pieces end first
-        failed, out, at, size = 0, [], 0, len(text)
+        out, at, size = [], 0, len(text)
+        failed = bytearray(size // 8 + 1)  # a bit for each position
         tried = [len(longest[0])] if text else []
         while at < size:
             k = tried[-1] - 1
             while k >= 0:
                 p = longest[at][k]
-                if not failed >> (at + len(p)) & 1 and (not out or self.compatible(out[-1], p)):
+                to = at + len(p)
+                if not failed[to >> 3] >> (to & 7) & 1 and (not out or self.compatible(out[-1], p)):
                     break
                 k -= 1
             if k >= 0:
@@ -111,7 +113,7 @@ class Encoder:
                 at += len(p)
                 tried.append(len(longest[at]) if at < size else 0)
             else:
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 if not out:
                     return None
                 tried.pop()
@@ -124,7 +126,7 @@ class Encoder:
             return (self.ids[text],)
         if len(text) == 1:
             return tuple(self.bytes.get(x, self.unknown) for x in text.encode("utf-8", "surrogatepass"))
-        out = self.backtrack(text) if len(text) <= 4096 else None
+        out = self.backtrack(text)
         return tuple(self.ids[p] for p in (out if out is not None else self.merged(text)))
 
     def encode_chunk(self, chunk: str) -> tuple[int, ...]:

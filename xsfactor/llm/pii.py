@@ -6,8 +6,12 @@ first digit, a date another date of that layout. The permutation hangs on key an
 across documents, and different ones stay different. E-mail addresses get a keyed local part at a reserved domain, values
 of secrets a keyed token.
 
-Defined cases: null text stays null, empty text empty; candidates that fail their validation stay as they are; repeated
-rows get equal results; an empty table stays empty; other columns pass through untouched.
+Card-like numbers are replaced whether or not their Luhn sum holds, as a mistyped one is personal too: those that hold it
+hold it still, the others still don't. Phone numbers are those of North America, those with a + and a country code, and
+those that begin with 0 as in France and Germany; bare groups of digits as in Spain are left alone, being numbers as often.
+
+Defined cases: null text stays null, empty text empty; other candidates that fail their validation stay as they are;
+repeated rows get equal results; an empty table stays empty; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -30,10 +34,12 @@ KINDS = {
     "day_date": r"(?<![\w./])[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}(?![\w/]|\.[0-9])",
     "ssn": r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])",
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![\w\-])",
-    "card": r"(?<![\w\-])(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3})(?![\w\-]|\.[0-9])",
+    "intl": r"(?<![\w+])\+(?=[0-9](?:[ .\-()/]{0,2}[0-9]){7,14}(?![0-9]))[0-9]{1,3}(?:[ .\-/]?\(?[0-9]{1,9}\)?){1,6}(?![\w\-])",
+    "national": r"(?<![\w+.\-/])0[1-9](?:(?:[ .][0-9]{2}){4}|[0-9]{1,4}[ /\-][0-9]{4,8})(?![\w\-/]|[ .][0-9])",
+    "card": r"(?<![\w\-])(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![\w\-]|\.[0-9])",
 }
 #: What a kind begins with: the expression looks no further at other characters.
-FIRST = {"secret": "[A-Za-z]", "email": "[A-Za-z0-9]", "iban": "[A-Z]", "phone": "[0-9+(]"}
+FIRST = {"secret": "[A-Za-z]", "email": "[A-Za-z0-9]", "iban": "[A-Z]", "phone": "[0-9+(]", "intl": "[+]", "national": "0"}
 ANY = "|".join(f"(?:(?={FIRST.get(k, '[0-9]')})(?:{p}))" for k, p in KINDS.items())
 #: A cheap test that every text with a candidate passes.
 HINT = r"(?=[@0-9:=])(?:@[A-Za-z0-9]|[0-9][0-9A-Z.\-/() ]{5}|[:=]\s{0,3}[\"']?[A-Za-z0-9+/_\-])"
@@ -163,6 +169,23 @@ def phone(key: str, m: Column) -> Column:
     return within(only(m), put)
 
 
+def intl(key: str, m: Column) -> Column:
+    """The country code stays (the first group of digits, or two where there is none); what follows is permuted."""
+    group = F.regexp_extract(m, r"^\+([0-9]{1,3})[^0-9]", 1)
+
+    def put(d: Column) -> Column:
+        n = F.when(F.length(group) > 0, F.length(group)).otherwise(F.lit(2))
+        rest = F.substring(d, n + 1, F.length(d) - n)
+        return laid_over(m, F.concat(F.substring(d, F.lit(1), n), permute_digits(key, "intl", rest)))
+
+    return within(only(m), put)
+
+
+def national(key: str, m: Column) -> Column:
+    """The first two digits stay, the others are permuted."""
+    return within(only(m), lambda d: laid_over(m, F.concat(F.substring(d, 1, 2), permute_digits(key, "national", F.substring(d, F.lit(3), F.length(d) - 2)))))
+
+
 def ipv4(key: str, m: Column) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
 
@@ -196,8 +219,27 @@ def day_date(key: str, m: Column) -> Column:
     day_first, month_first = make(1, 2), make(2, 1)
     # Two digits for day and month each: a date of one digit needs a fixed width to stay reversible.
     shape = F.concat(F.lit("00"), F.regexp_extract(m, r"([./])", 1), F.lit("00"), F.regexp_extract(m, r"[./][0-9]+([./])", 1), F.lit("0000"))
-    other = date(key, m, month_first, lambda d: laid_over(shape, F.date_format(d, "MMddyyyy")))
-    return F.when(day_first.isNotNull(), date(key, m, day_first, lambda d: laid_over(shape, F.date_format(d, "ddMMyyyy")))).otherwise(other)
+    return F.when(day_first.isNotNull(), date(key, m, day_first, lambda d: laid_over(shape, F.date_format(d, "ddMMyyyy")))).otherwise(
+        within(month_first, lambda d: F.when((F.year(d) >= 1800) & (F.year(d) < 2200), month_date(key, d, shape)).otherwise(m))
+    )
+
+
+def month_date(key: str, d: Column, shape: Column) -> Column:
+    """Month before day, the day above 12, so that no date read day first gets the same string: permuted among the months of its length."""
+    last = lambda y, mo: F.dayofmonth(F.last_day(F.make_date(y, mo, F.lit(1))))
+    every = F.sequence(F.lit(1800), F.lit(2199))
+
+    def put(x: Column) -> Column:
+        years, months, size = x["years"], x["months"], F.size(x["months"])
+        at = (F.array_position(years, F.year(d)) - 1) * size + F.array_position(months, F.month(d)) - 1
+        mixed = feistel(key, "month_date", at, F.dayofmonth(d) - 13, (F.size(years) * size).cast("long"), (x["last"] - 12).cast("long"))
+        month, year = (lambda s: F.element_at(months, (s["a"] % size + 1).cast("int"))), (lambda s: F.element_at(years, (F.floor(s["a"] / size) + 1).cast("int")))
+        return within(mixed, lambda s: laid_over(shape, F.concat(pad(month(s), 2), pad(s["b"] + 13, 2), year(s).cast("string"))))
+
+    of = last(F.year(d), F.month(d))
+    years = F.when(F.month(d) == 2, F.filter(every, lambda y: last(y, F.lit(2)) == of)).otherwise(every)
+    months = F.filter(F.sequence(F.lit(1), F.lit(12)), lambda mo: last(F.year(d), mo) == of)
+    return within(F.struct(years.alias("years"), months.alias("months"), of.alias("last")), put)
 
 
 def mod97(alnum: Column) -> Column:
@@ -235,7 +277,7 @@ def secret(key: str, m: Column) -> Column:
     return F.concat(name, token, F.regexp_extract(m, r"([\"']?)$", 1))
 
 
-MAKERS = {"secret": secret, "email": email, "iban": iban, "ipv4": ipv4, "iso_date": iso_date, "day_date": day_date, "ssn": ssn, "phone": phone, "card": card}
+MAKERS = {"secret": secret, "email": email, "iban": iban, "ipv4": ipv4, "iso_date": iso_date, "day_date": day_date, "ssn": ssn, "phone": phone, "intl": intl, "national": national, "card": card}
 
 
 def replacement(key: str, m: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import duckdb
 import pytest
@@ -21,31 +22,39 @@ def duck(sf):
 
 
 def plain(v):
-    if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 5) + 0.0
-    return v
+    if isinstance(v, list):
+        return tuple(map(plain, v))
+    return None if isinstance(v, float) and math.isnan(v) else v + 0.0 if isinstance(v, float) else v
+
+
+def near(a, b):
+    """Equal, but for floats that were rounded to six digits on either side of a boundary."""
+    return all(x == y or isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 1.5e-6 + 1e-9 * abs(x) for x, y in zip(a, b, strict=True))
 
 
 def rows(names, values):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted((repr([plain(r[i]) for i in order]) for r in values))
+    return Counter(tuple(plain(r[i]) for i in order) for r in values)
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_same_rows_as_sql(spark, sf, duck, name):
     df = registry.QUERIES[name](spark, sf)
-    got = rows(df.columns, [tuple(r) for r in df.collect()])
+    got = rows(df.columns, df.collect())
     ref = duck.execute(registry.ORACLES[name])
     names = [c[0] for c in ref.description]
     assert sorted(df.columns) == sorted(names)
     want = rows(names, ref.fetchall())
-    assert len(got) == len(want)
-    wrong = [(a, b) for a, b in zip(got, want, strict=True) if a != b]
-    assert len(wrong) <= len(want) // 500, wrong[:3]  # values next to a rounding boundary
+    assert got.total() == want.total()
+    left, there = list((got - want).elements()), list((want - got).elements())
+    for r in left:  # every row that isn't there as it is has a neighbour of its own
+        twin = next((x for x in there if near(r, x)), None)
+        assert twin is not None, r
+        there.remove(twin)
 
 
 #: Models on the smallest tables lack training rows; they are tested on made-up panels.
-@pytest.mark.parametrize("name", ["x2_rank_gauss", "i4_p_values", "i11_normality", "i13_bootstrap", "e6_swap_cap", "e11_policy_grid", "m8_daily_ols_many", "special_functions", "s21_settings"])
+@pytest.mark.parametrize("name", ["i13_bootstrap", "e11_policy_grid", "s24_full_run", "special_functions", "s21_settings"])
 def test_rows_only(spark, sf, name):
     df = registry.QUERIES[name](spark, sf)
     assert isinstance(df.collect(), list) and df.columns

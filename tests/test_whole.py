@@ -17,7 +17,7 @@ from xsfactor.plans import ic_queries, model_queries, portfolio_queries
 
 
 def test_as_of_join_has_all_suppliers(spark, sf):
-    got = registry.QUERIES["j9_asof_join_whole"](spark, sf)
+    got = registry.QUERIES["j9_asof_join"](spark, sf)
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey").distinct()
     assert got.select("entity").distinct().count() == lines.count() and got.where("ticks is not null").count()
 
@@ -57,7 +57,7 @@ def test_regime_factors_are_screened_and_decorrelated_by_regime(spark, monkeypat
 def test_screen_uses_p_values(spark, sf, monkeypatch):
     rows = [(f, m + s * (-1) ** i) for f, m, s, n in [("a", 0.2, 0.3, 80), ("b", 0.05, 0.3, 80), ("c", 0.2, 0.3, 50), ("d", 0.005, 0.001, 80)] for i in range(n)]
     monkeypatch.setattr(ic_queries, "ics", lambda s, d: spark.createDataFrame(rows, "factor string, ic double"))
-    assert [r["factor"] for r in registry.QUERIES["i15_screen_p"](spark, sf).collect()] == ["a"]
+    assert [r["factor"] for r in registry.QUERIES["i15_screen"](spark, sf).collect()] == ["a"]
 
 
 def ridge_by_hand(train, test, xs, alpha):

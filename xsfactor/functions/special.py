@@ -97,7 +97,7 @@ def ks_upper(d: float, n: float) -> float:
 
 
 def arrow(f: callable, *cols: Column | str) -> Column:
-    """f over columns as an Arrow UDF; null where any argument is."""
+    """f over columns as an Arrow UDF, a Python call a row: for summary rows only. Null where any argument is."""
 
     @F.pandas_udf("double")
     def run(*xs: pd.Series) -> pd.Series:
@@ -129,3 +129,18 @@ def normal_quantile(p: Column) -> Column:
         F.when(p < 0.02425, tail(F.sqrt(-2 * F.ln(p)))).when(p > 1 - 0.02425, -tail(F.sqrt(-2 * F.ln(1 - p))))
         .otherwise(poly(A, r) * q / (poly(B, r) * r + 1.0))
     )
+
+
+#: Coefficients of the rational approximation 7.1.26 of the error function in Abramowitz and Stegun.
+ERF = (1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592)
+
+
+def normal_cdf(z: Column) -> Column:
+    """The normal distribution function within whole-stage codegen, to 1.5e-7."""
+    x = F.abs(z) / 2**0.5
+    t = 1 / (1 + 0.3275911 * x)
+    poly = F.lit(0.0)
+    for c in ERF:
+        poly = (poly + c) * t
+    upper = 0.5 * poly * F.exp(-x * x)
+    return F.when(z > 0, 1 - upper).otherwise(upper)

@@ -1,8 +1,8 @@
 """Long/short portfolios from scores (date, entity, y_pred, y_true): policies, their series, and metrics.
 
 Holdings are rows (date, side, entity); sides 'long' and 'short'. Policies whose holdings hang on those of the day before
-are folds over one entry a date (the few best and worst names), so their state is one list of names a side; all
-parameters of a grid are folded in parallel, a group each.
+are folds over one entry a date (the few best and worst names), so their state is one list of names a side. All settings of
+a grid are folded at once, a group each; costs come after.
 """
 
 from __future__ import annotations
@@ -186,6 +186,11 @@ def banded(n: int, delta: int) -> Callable:
     return rule
 
 
+def seen(scores: DataFrame, n: int) -> DataFrame:
+    """The rows of names that are among the best or the worst n on any date: no other can be held, whatever the rule's state."""
+    return scores.join(legs(scores, n, n).select("entity").distinct(), "entity", "left_semi").select(*scores.columns)
+
+
 def smoothed(scores: DataFrame, span: int) -> DataFrame:
     """E5: scores as moving averages of the entity."""
     return ewma(scores, "y_pred", span, "y_score")
@@ -207,7 +212,7 @@ POLICIES: dict[str, Callable] = {
     "low_freq": lambda s, n, p: every(s, n, n, int(p)),
     "hysteresis": lambda s, n, p: hysteresis(s, n, int(p)),
     "ema": lambda s, n, p: legs(smoothed(s, int(p)), n, n, "y_score"),
-    "swap_cap": lambda s, n, p: folded(s.withColumn("k", F.lit(0)), ["k"], swap_capped(n, p)).drop("k"),
+    "swap_cap": lambda s, n, p: folded(seen(s, n).withColumn("k", F.lit(0)), ["k"], swap_capped(n, p)).drop("k"),
     "combo": lambda s, n, p: hysteresis(smoothed(s, int(p[0])), n, int(p[1]), "y_score"),
 }
 
@@ -219,18 +224,53 @@ def run_policy(scores: DataFrame, policy: str, n: int, parameter: object = None,
     return with_drawdown(series(POLICIES[policy](scores, n, parameter), scores, cost_bps))
 
 
+def listed(scores: DataFrame, wide: int, variant: str, score: str = "y_pred") -> DataFrame:
+    """Rows (variant, date, long, short): the best and the worst names of a date, in order."""
+    m = membership(scores, score, wide, wide)
+    pick = lambda flag, place: F.transform(F.array_sort(F.collect_list(F.when(F.col(flag), F.struct(F.col(place).alias("k"), "entity")))), lambda x: x["entity"])
+    return m.where("in_long or in_short").groupBy("date").agg(pick("in_long", "place").alias("long"), pick("in_short", "from_end").alias("short")).withColumn("variant", F.lit(variant))
+
+
+def grid_holdings(scores: DataFrame, settings: list[tuple[str, object, int]]) -> DataFrame:
+    """Rows (id, date, side, entity) for the settings by their position: one fold over short lists of names, a group a setting.
+
+    Each ranking (plain, a moving average a span, and for swap caps that of all names ever seen) is made once, and of a date
+    only as many names as the widest setting looks at go on.
+    """
+    n_most = max(n for _, _, n in settings)
+    wide = n_most + max([0, *(int(x[1]) if p == "combo" else int(x) for p, x, _ in settings if p in ("hysteresis", "combo"))])
+    of = {"ema": lambda x: f"ema{int(x)}", "combo": lambda x: f"ema{int(x[0])}", "swap_cap": lambda x: "seen"}
+    variants = [of.get(p, lambda x: "plain")(x) for p, x, _ in settings]
+    lists = None
+    for v in dict.fromkeys(variants):
+        part = listed(seen(scores, n_most), 1 << 30, v) if v == "seen" else listed(smoothed(scores, int(v[3:])), wide, v, "y_score") if v != "plain" else listed(scores, wide, v)
+        lists = part if lists is None else lists.unionByName(part)
+    plan = scores.sparkSession.createDataFrame(list(enumerate(variants)), "id int, variant string")
+    kind = dict(scores.dtypes)["entity"]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        policy, x, n = settings[key[0]]
+        rule = {"hysteresis": lambda: banded(n, int(x)), "combo": lambda: banded(n, int(x[1])), "swap_cap": lambda: swap_capped(n, x)}.get(policy, lambda: lambda held, ranked, _: set(ranked[:n]))()
+        out, held = [], {"long": set(), "short": set()}
+        for at, row in enumerate(rows.sort_values("date").itertuples(index=False)):
+            for side in held:
+                if policy != "low_freq" or at % int(x) == 0:
+                    held[side] = rule(held[side], list(getattr(row, side)), key)
+                out += [(key[0], row.date, side, e) for e in sorted(held[side])]
+        return pd.DataFrame(out, columns=["id", "date", "side", "entity"])
+
+    return lists.join(F.broadcast(plan), "variant").select("id", "date", "long", "short").groupBy("id").applyInPandas(run, f"id int, date date, side string, entity {kind}")
+
+
 def grid(scores: DataFrame, settings: list[tuple[str, object, int]], costs: list[float]) -> DataFrame:
-    """Metrics for each (policy, parameter, n) and cost. Holdings are made once for a setting, costs come after."""
-    spark = scores.sparkSession
-    parts = []
-    for policy, parameter, n in settings:
-        s = low_frequency(scores, n, n, int(parameter)) if policy == "low_freq" else series(POLICIES[policy](scores, n, parameter), scores)
-        parts.append(s.select(F.lit(policy).alias("strategy"), F.lit(str(parameter)).alias("param"), F.lit(n).alias("top_n"), "date", "long", "short", "ls_gross", "turnover"))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
+    """Metrics for each (policy, parameter, n) and cost. Holdings of all settings are one fold, costs come after."""
+    names = scores.sparkSession.createDataFrame([(i, p, str(x), n, int(x) if p == "low_freq" else 1) for i, (p, x, n) in enumerate(settings)], "id int, strategy string, param string, top_n int, k int")
+    day = series(grid_holdings(scores, settings), scores, 0.0, "id", index=indexed(scores)).join(F.broadcast(names), "id")
+    fresh = F.col("idx") % F.col("k") == 0
+    day = day.withColumns({f"overlap_{x}": F.when(fresh, F.col(f"overlap_{x}")).otherwise(1.0) for x in ("long", "short")})
+    day = day.withColumn("turnover", (1 - F.col("overlap_long")) + (1 - F.col("overlap_short")))
     by = ("strategy", "param", "top_n", "cost_bps")
-    each = whole.withColumn("cost_bps", F.explode(F.array(*map(F.lit, map(float, costs)))))
+    each = day.withColumn("cost_bps", F.explode(F.array(*map(F.lit, map(float, costs)))))
     return metrics(with_drawdown(with_cost(each, F.col("cost_bps")), *by), *by)
 
 

@@ -58,18 +58,23 @@ def transitions(m: DataFrame) -> DataFrame:
 def around_transitions(panel: DataFrame, m: DataFrame, x: str, rows: int = 50, least: int = 10) -> DataFrame:
     """Mean of x over the last rows of the old regime before a change and the first of the new one, by (date, entity).
 
-    The range join is on dates: changes are few, and each takes the rows nearest to it.
+    A regime's rows are numbered: what its earlier dates hold (a table of a row a date) plus the place within the date. A
+    change knows how many rows lie before it, so it meets its rows by number, and no row meets a change it isn't near.
     """
     w = Window.orderBy("date")
     moves = m.select("date", "regime").withColumn("was", F.lag("regime").over(w)).where("was != regime").select(F.col("date").alias("since"), "was", F.col("regime").alias("now"))
     known = panel.where(F.col(x).isNotNull()).select("date", "entity", "regime", x)
+    held = known.groupBy("regime", "date").agg(F.count(F.lit(1)).alias("n"))
+    start = held.select("regime", "date", F.coalesce(F.sum("n").over(Window.partitionBy("regime").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("regime", "date").orderBy("entity"))
+    numbered = known.withColumn("place", place).join(start, ["regime", "date"]).select("regime", (F.col("start") + F.col("place")).alias("at"), x)
 
     def side(before: bool) -> DataFrame:
-        on = (known["date"] < moves["since"]) & (known["regime"] == moves["was"]) if before else (known["date"] >= moves["since"]) & (known["regime"] == moves["now"])
-        near = [F.desc("date"), F.desc("entity")] if before else [F.asc("date"), F.asc("entity")]
-        ranked = known.join(moves, on).withColumn("k", F.row_number().over(Window.partitionBy("since").orderBy(*near))).where(F.col("k") <= rows)
-        name = "pre" if before else "post"
-        return ranked.groupBy("since", "was", "now").agg(F.avg(x).alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
+        own, name = ("was", "pre") if before else ("now", "post")
+        upto = moves.join(held, (moves[own] == held["regime"]) & (held["date"] < moves["since"]), "left").groupBy("since", "was", "now").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("upto"))
+        wanted = F.sequence(F.col("upto") - rows + 1, F.col("upto")) if before else F.sequence(F.col("upto") + 1, F.col("upto") + rows)
+        near = upto.select("since", "was", "now", F.col(own).alias("regime"), F.explode(wanted).alias("at")).join(numbered, ["regime", "at"])
+        return near.groupBy("since", "was", "now").agg(F.avg(x).alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
 
     both = side(True).join(side(False), ["since", "was", "now"])
     return both.where((F.col("n_pre") > least) & (F.col("n_post") > least)).withColumn("change", F.col("post") - F.col("pre"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,11 +83,24 @@ def bartlett(df: DataFrame, x: str, g: str) -> DataFrame:
     return t.select("n", "k", (top / (1 + (F.col("inv") - 1 / free) / (3 * (F.col("k") - 1)))).alias("chi2"))
 
 
+def counted(df: DataFrame, x: str, cuts: int = 256) -> DataFrame:
+    """Rows (x, ties, before): each value, how often it is there, and how many smaller ones there are.
+
+    Values are dealt into stretches between approximate quantiles; only the stretches' totals (`cuts` rows) are summed in
+    one order, and a stretch's values in its own.
+    """
+    values = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count(F.lit(1)).alias("ties"))
+    edges = sorted(set(values.approxQuantile(x, [k / cuts for k in range(1, cuts)], 0.001))) if cuts > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(x))) if edges else F.lit(0)
+    values = values.withColumn("_part", part)
+    upto = lambda w: F.coalesce(F.sum("ties").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = values.groupBy("_part").agg(F.sum("ties").alias("ties")).select("_part", upto(Window.orderBy("_part")).alias("_start"))
+    return values.join(totals, "_part").select(x, "ties", (F.col("_start") + upto(Window.partitionBy("_part").orderBy(x))).alias("before"))
+
+
 def ranked(df: DataFrame, x: str) -> DataFrame:
     """Average ranks over all rows, built from counts of values: the rows of a value aren't put in one order."""
-    counts = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count(F.lit(1)).alias("ties"))
-    before = F.coalesce(F.sum("ties").over(Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.withColumn("rank", before + (F.col("ties") + 1) / 2.0), x)
+    return df.join(counted(df, x).select(x, "ties", (F.col("before") + (F.col("ties") + 1) / 2.0).alias("rank")), x)
 
 
 def kruskal(df: DataFrame, x: str, g: str) -> DataFrame:
@@ -160,15 +175,53 @@ def ljung_box(df: DataFrame, x: str, g: str, lags: int = 10, last: int = 100) ->
 
 def kolmogorov(df: DataFrame, x: str) -> DataFrame:
     """Distance of the distribution of x from the normal one with its mean and deviation."""
-    m = df.agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s")).first()
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    cdf = special.arrow(lambda v: 1 - 0.5 * special.normal_two_sided(v) if v > 0 else 0.5 * special.normal_two_sided(v), (F.col(x) - F.lit(m["m"])) / F.lit(m["s"]))
-    r = df.where(F.col(x).isNotNull()).select(x).withColumn("k", F.row_number().over(Window.orderBy(x))).withColumn("n", n).withColumn("f", cdf)
-    gap = F.greatest(F.abs(F.col("k") / F.col("n") - F.col("f")), F.abs(F.col("f") - (F.col("k") - 1) / F.col("n")))
-    d = r.agg(F.max(gap).alias("d"), F.max("n").alias("n"))
+    m = df.agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s"), F.count(x).alias("n")).first()
+    n = F.lit(float(m["n"]))
+    f = special.normal_cdf((F.col(x) - F.lit(m["m"])) / F.lit(m["s"]))
+    # Among equal values the gap is widest at the first or the last.
+    gap = F.greatest(F.abs((F.col("before") + F.col("ties")) / n - f), F.abs(f - F.col("before") / n))
+    d = counted(df, x).agg(F.max(gap).alias("d"), F.sum("ties").alias("n"))
     return d.withColumn("p", special.arrow(special.ks_upper, "d", F.col("n").cast("double")))
 
 
+#: Royston's polynomials for the Shapiro-Wilk weights of the two largest values, and for W's transformation.
+LAST, NEXT = (-2.706056, 4.434685, -2.071190, -0.147981, 0.221157), (-3.582633, 5.682633, -1.752461, -0.293762, 0.042981)
+FEW_MEAN, FEW_SD, FEW_SHIFT = (-6.714e-4, 0.025054, -0.39978, 0.5440), (-0.0020322, 0.062767, -0.77857, 1.3822), (0.459, -2.273)
+MANY_MEAN, MANY_SD = (0.0038915, -0.083751, -0.31082, -1.5861), (0.0030302, -0.082676, -0.4803)
+
+
+def shapiro_wilk(df: DataFrame, x: str) -> DataFrame:
+    """W and its p (for 4 values or more) from normal scores of the places; sums only, no list of values."""
+
+    def poly(cs: tuple[float, ...], v: Column) -> Column:
+        out = F.lit(cs[0])
+        for c in cs[1:]:
+            out = out * v + c
+        return out
+
+    n = df.where(F.col(x).isNotNull()).count()
+    values = counted(df, x).select(x, F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("ties"))).alias("k"))
+    scores = values.withColumn("m", special.normal_quantile((F.col("k") - 0.375) / (n + 0.25)))
+    top = lambda j: F.max(F.when(F.col("k") == n - j, F.col("m")))
+    whole = scores.agg(F.sum(F.col("m") * F.col("m")).alias("mm"), top(0).alias("m1"), top(1).alias("m2"))
+    u, root = F.lit(1 / max(n, 1) ** 0.5), F.sqrt("mm")
+    a1, a2 = poly((*LAST, 0.0), u) + F.col("m1") / root, poly((*NEXT, 0.0), u) + F.col("m2") / root
+    two = n > 5
+    left = (F.col("mm") - 2 * F.col("m1") ** 2 - (2 * F.col("m2") ** 2 if two else 0)) / (1 - 2 * F.col("a1") ** 2 - (2 * F.col("a2") ** 2 if two else 0))
+    whole = whole.withColumns({"a1": a1, "a2": a2}).withColumn("e", F.sqrt(left)).select("a1", "a2", "e")
+    place, sign = F.least("k", n + 1 - F.col("k")), F.signum(F.col("k") - (n + 1) / 2)
+    a = F.when(place == 1, sign * F.col("a1")).when((place == 2) & F.lit(two), sign * F.col("a2")).otherwise(F.col("m") / F.col("e"))
+    r = scores.join(F.broadcast(whole)).agg(F.sum(a * F.col(x)).alias("b"), F.var_pop(x).alias("v"))
+    w = F.least(F.col("b") ** 2 / F.nullif(F.col("v") * n, F.lit(0.0)), F.lit(1.0))
+    log_n = F.lit(math.log(max(n, 1)))
+    if n >= 12:
+        z = (F.ln(1 - F.col("w")) - poly(MANY_MEAN, log_n)) / F.exp(poly(MANY_SD, log_n))
+    else:
+        z = (-F.ln(poly(FEW_SHIFT, F.lit(float(n))) - F.ln(1 - F.col("w"))) - poly(FEW_MEAN, F.lit(float(n)))) / F.exp(poly(FEW_SD, F.lit(float(n))))
+    out = r.select(F.lit(n).cast("long").alias("n"), w.alias("w"))
+    return out.withColumn("p", F.when(F.lit(n >= 4), 1 - special.normal_cdf(z)))
+
+
 def correlations(df: DataFrame, factors: list[str]) -> DataFrame:
     """Absolute correlations of each two factors on complete rows: (a, b, c)."""
     rows = df.dropna(subset=factors)

@@ -20,9 +20,8 @@ def screen(df: DataFrame, least: dict[str, float], between: dict[str, tuple[floa
 
 
 def or_all(df: DataFrame, passes: Column) -> DataFrame:
-    """P10: the rows that pass, or all if none does."""
-    any_ = F.max(F.coalesce(passes, F.lit(False))).over(Window.partitionBy(F.lit(0)))
-    return df.withColumn("_any", any_).where(passes | ~F.col("_any")).drop("_any")
+    """P10: the rows that pass, or all if none does. Whether any does is a subquery of one value; no row moves."""
+    return df.where(passes | (~df.where(passes).exists()))
 
 
 def capped_top(df: DataFrame, by: list[Column], category: str, cap: int, n: int) -> DataFrame:
@@ -37,10 +36,14 @@ def candidates(bars: DataFrame) -> DataFrame:
 
 
 def topped_up(ranked: DataFrame, existing: DataFrame, key: str, by: list[Column], n: int) -> DataFrame:
-    """U4: the first row of each key by order, then keys of the existing list that are missing, n in all."""
+    """U4: the first row of each key by order, then keys of the existing list that are missing, n in all.
+
+    Both lists are cut to n rows before their places are counted, so only these meet in one task.
+    """
     first = ranked.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*by))).where("_k = 1").drop("_k")
-    first = first.withColumn("_place", F.row_number().over(Window.orderBy(*by)))
-    more = existing.join(first.select(key), key, "left_anti").withColumn("_place", F.row_number().over(Window.orderBy(key)) + 1_000_000_000)
+    more = existing.join(first.select(key), key, "left_anti").orderBy(key).limit(n)
+    first = first.orderBy(*by).limit(n).withColumn("_place", F.row_number().over(Window.orderBy(*by)))
+    more = more.withColumn("_place", F.row_number().over(Window.orderBy(key)) + n)
     return first.unionByName(more, allowMissingColumns=True).orderBy("_place").limit(n).drop("_place")
 
 

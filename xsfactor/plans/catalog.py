@@ -54,6 +54,3 @@ def over(f: str, x: str, n: int, least: int, shift: int = 0) -> str:
 
 E_ = "OVER (PARTITION BY entity ORDER BY date)"
 
-
-def once(build: Callable) -> Callable:
-    return functools.cache(build)

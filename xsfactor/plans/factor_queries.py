@@ -10,6 +10,7 @@ from ..operators import cross as X
 from ..operators import factors as T
 from ..sources.panels import BD, SM, brand_day, supplier_month
 from .catalog import E_, over, query, r6, rounded
+from .sql_models import normal_quantile
 
 R = f"{SM}, p AS (SELECT *, close / nullif(lag(close) {E_}, 0) - 1 AS r FROM b), p1 AS (SELECT *, lag(r) {E_} AS r_1 FROM p)"
 KEY = ("entity", "date")
@@ -117,7 +118,11 @@ query("x1_zscore", f"WITH {MOM} SELECT entity, date, {r6(Z.format(x='mom'), 'z')
     lambda s, d: rounded(X.standardised(momenta(s, d), "mom", "amount").select(*KEY, F.col("mom_std").alias("z"), F.col("amount_std").alias("za"))))
 
 
-@query("x2_rank_gauss")
+GAUSS = f"""{MOM}, gk AS (SELECT entity, date, mom, fwd, (rank() OVER (PARTITION BY date, mom IS NULL ORDER BY mom) + (count(*) OVER (PARTITION BY date, mom) - 1) / 2.0::DOUBLE - 0.5) / count(mom) OVER (PARTITION BY date) AS k, count(mom) OVER (PARTITION BY date) AS n FROM m),
+gp AS (SELECT *, greatest(least(k, 1 - 1e-6), 1e-6)::DOUBLE AS p FROM gk), gg AS (SELECT entity, date, fwd, CASE WHEN mom IS NOT NULL AND n >= 5 THEN {normal_quantile('p')} END AS g FROM gp)"""
+
+
+@query("x2_rank_gauss", f"WITH {GAUSS} SELECT entity, date, {r6('g', 'g')} FROM gg")
 def x2(s: SparkSession, d: str) -> DataFrame:
     return rounded(X.rank_gauss(momenta(s, d), "mom", "g").select(*KEY, "g"))
 

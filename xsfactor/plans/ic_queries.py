@@ -13,6 +13,7 @@ from ..operators import stats as S
 from .catalog import E_, over, query, r6, rounded
 from .factor_queries import KEY, MOM, PRED, panel, predictions
 from .factor_queries import R as RET
+from .sql_models import normal_cdf, shapiro_wilk, t_two_sided
 
 FACTORS = ["mom3", "mom6", "vol6", "vr", "amp"]
 YEAR = 12.0**0.5
@@ -57,7 +58,9 @@ query("i2_prediction_ic", f"WITH {PRED}, q AS (SELECT date, y_pred AS x, round(y
     lambda s, d: rounded(X.daily_ic(predictions(s, d).withColumn("y", F.round("y_true", 9)), "y_pred", "y", least=1).select("date", "ic", "n")))
 query("i3_ic_summary", f"WITH {IC}, z AS (SELECT factor, {SUMMARY} FROM ic GROUP BY factor) SELECT factor, {SUMMED} FROM z")(lambda s, d: rounded(S.ic_summary(ics(s, d), "factor")))
 query("i4_ttest", f"WITH {IC}, z AS (SELECT factor, {SUMMARY} FROM ic GROUP BY factor) SELECT factor, n, {r6('t', 't')} FROM z")(lambda s, d: rounded(S.ic_summary(ics(s, d), "factor").select("factor", "n", "t")))
-query("i4_p_values")(lambda s, d: rounded(S.with_p(S.ic_summary(ics(s, d), "factor"))))
+WITH_P = f"WITH {IC}, z AS (SELECT factor, {SUMMARY} FROM ic GROUP BY factor), zp AS (SELECT *, CASE WHEN n > 1 THEN {t_two_sided('t', '(n - 1)')} ELSE 1 END AS p FROM z)"
+STARS = "CASE WHEN p < 0.01 THEN '***' WHEN p < 0.05 THEN '**' WHEN p < 0.1 THEN '*' ELSE '' END AS stars"
+query("i4_p_values", f"{WITH_P} SELECT factor, {SUMMED}, {r6('p', 'p')}, {STARS} FROM zp")(lambda s, d: rounded(S.with_p(S.ic_summary(ics(s, d), "factor"))))
 query("i18_multi_horizon", f"WITH {F0}, fh AS (SELECT date, unnest(['1', '3']) AS horizon, mom3 AS x, unnest([fwd, fwd3]) AS y FROM f0), {ic_sql('fh', 'horizon, date', 'y')}, z AS (SELECT horizon, {SUMMARY} FROM ic GROUP BY horizon) SELECT horizon, {SUMMED} FROM z")(
     lambda s, d: rounded(S.ic_summary(X.daily_ic(factor_panel(s, d).select("date", F.col("mom3").alias("x"), F.col("fwd").alias("1"), F.col("fwd3").alias("3")).unpivot(["date", "x"], ["1", "3"], "horizon", "y"), "x", "y", ("horizon", "date")), "horizon")))
 query("i19_ranking", f"WITH {IC}, z AS (SELECT factor, {SUMMARY} FROM ic GROUP BY factor) SELECT factor, {r6('ic_ir', 'ic_ir')}, (rank() OVER (ORDER BY round(abs(ic_ir), 9) DESC))::INT AS place FROM z")(
@@ -153,7 +156,10 @@ SELECT n, k, {r6('((b - s * s / n) / (k - 1)) / (w / (n - k))', 'w')} FROM t""")
 query("i10_bartlett", f"""
 WITH {GM}, t AS (SELECT sum(n)::BIGINT AS n, count(*) AS k, sum((n - 1) * v) AS ss, sum((n - 1) * ln(v)) AS logs, sum(1 / (n - 1)::DOUBLE) AS inv FROM gm)
 SELECT n, k, {r6('((n - k) * ln(ss / (n - k)) - logs) / (1 + (inv - 1 / (n - k)::DOUBLE) / (3 * (k - 1)))', 'chi2')} FROM t""")(lambda s, d: rounded(S.bartlett(regime_ics(s, d), "ic", "regime")))
-query("i11_normality")(lambda s, d: rounded(S.kolmogorov(regime_ics(s, d), "ic")))
+query("i11_normality", f"""WITH {RIC}, mo AS (SELECT avg(ic) AS m, stddev_samp(ic) AS s, count(*) AS nn FROM ic), kk AS (SELECT nn AS n, row_number() OVER (ORDER BY ic) AS k, (ic - m) / s AS z FROM ic, mo), kf AS (SELECT *, {normal_cdf('z')} AS f FROM kk),
+kd AS (SELECT any_value(n) AS n, max(greatest(abs(k / n - f), abs(f - (k - 1) / n))) AS d FROM kf)
+SELECT n, {r6('d', 'd')}, {r6('CASE WHEN d * sqrt(n) < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum([(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0::DOUBLE * k * k * d * d * n) FOR k IN range(1, 101)]))) END', 'p')} FROM kd""")(lambda s, d: rounded(S.kolmogorov(regime_ics(s, d), "ic")))
+query("i11_shapiro_wilk", f"WITH {RIC}, {shapiro_wilk('ic', 'ic', S)} SELECT n, {r6('w', 'w')}, {r6('p', 'p')} FROM sw")(lambda s, d: rounded(S.shapiro_wilk(regime_ics(s, d), "ic")))
 query("i12_fdr", f"""
 WITH {IC}, z AS (SELECT factor, round(exp(-abs(avg(ic) / (stddev_samp(ic) / sqrt(count(ic))))), 9) AS p FROM ic GROUP BY factor),
 k AS (SELECT *, row_number() OVER (ORDER BY p, factor) AS k, count(*) OVER () AS m FROM z)
@@ -167,9 +173,7 @@ s AS (SELECT factor, count(*) AS n, sum(c * c) AS v, {', '.join(f'coalesce(sum(l
 SELECT factor, n, {r6('n * (n + 2) * (' + ' + '.join(f'pow(s{k} / v, 2) / (n - {k})' for k in range(1, 11)) + ')', 'q')} FROM s WHERE n > 10""")(lambda s, d: rounded(S.ljung_box(ics(s, d), "ic", "factor")))
 query("a16_corr_matrix", f"WITH {F0}, c AS (SELECT * FROM f0 WHERE mom3 IS NOT NULL AND mom6 IS NOT NULL AND vol6 IS NOT NULL AND vr IS NOT NULL AND amp IS NOT NULL) " + " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, {r6(f'abs(corr({a}, {b}))', 'c')} FROM c" for i, a in enumerate(FACTORS) for b in FACTORS[i + 1 :]))(lambda s, d: rounded(S.correlations(factor_panel(s, d), FACTORS)))
-query("i15_screen", f"WITH {IC}, z AS (SELECT factor, {SUMMARY} FROM ic GROUP BY factor) SELECT factor, {r6('ic_mean', 'ic_mean')}, n FROM z WHERE abs(ic_mean) >= 0.001 AND abs(t) > 0.1 AND n >= 30")(
-    lambda s, d: rounded(S.screened(S.ic_summary(ics(s, d), "factor").withColumn("p", F.when(F.abs("t") > 0.1, 0.0).otherwise(1.0)), 0.001, 0.05, 30).select("factor", "ic_mean", "n")))
-query("i15_screen_p")(lambda s, d: rounded(S.screened(S.with_p(S.ic_summary(ics(s, d), "factor")))))
+query("i15_screen", f"{WITH_P} SELECT factor, {SUMMED}, {r6('p', 'p')}, {STARS} FROM zp WHERE abs(ic_mean) >= 0.01 AND p < 0.05 AND n >= 60")(lambda s, d: rounded(S.screened(S.with_p(S.ic_summary(ics(s, d), "factor")))))
 
 
 @query("i16_greedy", f"""

@@ -9,12 +9,18 @@ from ..operators import cross as X
 from ..operators import models as M
 from ..operators import portfolio as P
 from ..operators import stats as S
+from . import sql_models as Q
 from .catalog import query, r6, rounded
-from .factor_queries import KEY, PRED, momenta, predictions
-from .ic_queries import MK, factor_panel, regime_panel
+from .factor_queries import GAUSS, KEY, PRED, Z, momenta, predictions
+from .ic_queries import F0, MK, SUMMARY, SUMMED, factor_panel, ic_sql, regime_panel
+from .portfolio_queries import SCORES, SERIES, bands, book, costed, tagged
 
 DAYS, LEAST = 1095, 200
 XS = ["mom3_std", "vr_std", "amp_std"]
+FS = f"{F0}, fs AS (SELECT entity, date, fwd, {', '.join(f'{Z.format(x=x)} AS {x}_std' for x in ('mom3', 'vr', 'amp'))} FROM f0)"
+CROSSED = ["mom3_std", "vr_std", "amp_std", "ab", "ac"]
+FX = f"{FS}, fy AS (SELECT *, mom3_std * vr_std AS ab0, mom3_std * amp_std AS ac0 FROM fs), fx AS (SELECT *, (ab0 - avg(ab0) OVER w) / (stddev_samp(ab0) OVER w + 1e-9) AS ab, (ac0 - avg(ac0) OVER w) / (stddev_samp(ac0) OVER w + 1e-9) AS ac FROM fy WINDOW w AS (PARTITION BY date))"
+RS = f"{MK}, fs AS (SELECT entity, date, regime, fwd, {', '.join(f'{Z.format(x=x)} AS {x}_std' for x in ('mom3', 'vr', 'amp'))} FROM rp)"
 
 
 def standard(spark: SparkSession, sf_dir: str, regime: bool = False) -> DataFrame:
@@ -39,9 +45,10 @@ bt AS (SELECT *, (sxy - sx * sy / n) / (sxx - sx * sx / n + {alpha}) AS beta FRO
 
 query("m1_ridge_walk_forward", f"WITH {ridge_sql(str(DAYS), '1.0', 'SELECT 1 AS one')} SELECT entity, date, {r6('p', 'y_pred')}, n_train FROM pp")(
     lambda s, d: rounded(M.walk_forward(scores(s, d), ["x"], "y", DAYS, 1.0, LEAST).select(*KEY, "y_pred", "n_train")))
-query("m1_ridge_many")(lambda s, d: rounded(M.walk_forward(standard(s, d), XS, "fwd", DAYS, 1.0, LEAST).select(*KEY, "y_pred", "n_train")))
+query("m1_ridge_many", f"WITH {FS}, {Q.walk_forward('fs', XS, 'fwd', DAYS, 1.0, LEAST)} SELECT entity, date, {r6('p', 'y_pred')}, n_train FROM pp")(lambda s, d: rounded(M.walk_forward(standard(s, d), XS, "fwd", DAYS, 1.0, LEAST).select(*KEY, "y_pred", "n_train")))
 OWN = {"NORMAL": XS[:2], "HIGH": XS[1:], "EXTREME": XS[:1]}
-query("m2_ridge_by_regime")(lambda s, d: rounded(M.walk_forward_by_regime(standard(s, d, True), OWN, "fwd", DAYS, 1.0, 100)))
+OWN_SQL = ", ".join(f"{g[:1]} AS (SELECT * FROM fs WHERE regime = '{g}'), {Q.walk_forward(g[:1], xs, 'fwd', DAYS, 1.0, 100, tag='_' + g)}" for g, xs in OWN.items())
+query("m2_ridge_by_regime", f"WITH {RS}, {OWN_SQL} " + " UNION ALL ".join(f"SELECT entity, date, regime, {r6('fwd', 'y_true')}, {r6('p', 'y_pred')} FROM pp_{g}" for g in OWN), dates=("date",))(lambda s, d: rounded(M.walk_forward_by_regime(standard(s, d, True), OWN, "fwd", DAYS, 1.0, 100)))
 
 
 @query("m3_ridge", f"WITH {XY}, t AS (SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM dg), be AS (SELECT *, (sxy - sx * sy / n) / (sxx - sx * sx / n + 2.0) AS beta FROM t) SELECT {r6('sy / n - beta * sx / n', 'intercept')}, {r6('beta', 'beta')}, n FROM be")
@@ -50,9 +57,9 @@ def m3(s: SparkSession, d: str) -> DataFrame:
     return rounded(one.select(F.col("beta")[0].alias("intercept"), F.col("beta")[1].alias("beta"), "n"))
 
 
-query("m4_scaled_ridge")(lambda s, d: rounded(M.walk_forward(standard(s, d), XS, "fwd", DAYS, 1.0, max(LEAST, 15 * len(XS)), scaled=True).select(*KEY, "y_pred")))
+query("m4_scaled_ridge", f"WITH {FS}, {Q.walk_forward('fs', XS, 'fwd', DAYS, 1.0, max(LEAST, 15 * len(XS)), scaled=True)} SELECT entity, date, {r6('p', 'y_pred')} FROM pp")(lambda s, d: rounded(M.walk_forward(standard(s, d), XS, "fwd", DAYS, 1.0, max(LEAST, 15 * len(XS)), scaled=True).select(*KEY, "y_pred")))
 query("m5_elastic_net")(lambda s, d: rounded(M.walk_forward(standard(s, d), XS, "fwd", DAYS, 0.01, LEAST, l1=0.5).select(*KEY, "y_pred")))
-query("m6_ridge_interactions")(lambda s, d: rounded(M.walk_forward(X.interactions(standard(s, d), [("mom3_std", "vr_std"), ("mom3_std", "amp_std")]), [*XS, "mom3_std_x_vr_std", "mom3_std_x_amp_std"], "fwd", DAYS, 1.0, LEAST).select(*KEY, "y_pred")))
+query("m6_ridge_interactions", f"WITH {FX}, {Q.walk_forward('fx', CROSSED, 'fwd', DAYS, 1.0, LEAST)} SELECT entity, date, {r6('p', 'y_pred')} FROM pp")(lambda s, d: rounded(M.walk_forward(X.interactions(standard(s, d), [("mom3_std", "vr_std"), ("mom3_std", "amp_std")]), [*XS, "mom3_std_x_vr_std", "mom3_std_x_amp_std"], "fwd", DAYS, 1.0, LEAST).select(*KEY, "y_pred")))
 
 
 @query("m7_boosting")
@@ -65,7 +72,8 @@ SLOPES = f"{XY}, sl AS (SELECT date, count(*) AS n, covar_pop(x, y) / var_pop(x)
 FMB = "avg(beta) AS b, stddev_samp(beta) AS sd, avg(beta) / nullif(stddev_samp(beta) / sqrt(count(beta)), 0) AS t, count(beta) AS n, avg(r2) AS r2, median(r2) AS r2_median"
 FMB_OUT = f"{r6('b', 'beta')}, {r6('sd', 'sd')}, {r6('t', 't')}, n, {r6('r2', 'r2')}, {r6('r2_median', 'r2_median')}"
 query("m8_daily_ols", f"WITH {SLOPES} SELECT date, n, {r6('beta', 'beta')}, {r6('alpha', 'alpha')}, {r6('r2', 'r2')} FROM sl")(lambda s, d: rounded(M.slopes(scores(s, d), "x", "y")))
-query("m8_daily_ols_many")(lambda s, d: rounded(M.daily_ols(standard(s, d), XS, "fwd").select("date", "n", "r2", "adj_r2", F.transform("coef", lambda x: F.round(x, 6)).cast("string").alias("coef"))))
+query("m8_daily_ols_many", f"WITH {FS}, {Q.daily('fs', XS, 'fwd', 10)} SELECT date, n, {', '.join(r6(f'c_{k}', f'c_{k}') for k in range(4))}, {r6('r2', 'r2')}, {r6('adj_r2', 'adj_r2')} FROM ols")(
+    lambda s, d: rounded(M.daily_ols(standard(s, d), XS, "fwd").select("date", "n", *(F.col("coef")[k].alias(f"c_{k}") for k in range(4)), "r2", "adj_r2")))
 query("m9_fama_macbeth", f"WITH {SLOPES}, z AS (SELECT {FMB} FROM sl) SELECT {FMB_OUT} FROM z")(lambda s, d: rounded(M.fama_macbeth(M.slopes(scores(s, d), "x", "y"))))
 query("m10_diagnostics", f"""WITH {SLOPES} SELECT {r6('min(r2)', 'r2_min')}, {r6('quantile_cont(r2, 0.25)', 'r2_q25')}, {r6('quantile_cont(r2, 0.75)', 'r2_q75')}, {r6('max(r2)', 'r2_max')}, count(*) FILTER (r2 < 0.05) AS low_r2, count(*) FILTER (r2 > 0.3) AS high_r2,
   {r6('stddev_samp(beta) / abs(avg(beta))', 'cv')}, {r6('greatest(count(*) FILTER (beta > 0), count(*) FILTER (beta < 0)) / count(beta)', 'same_sign')}, count(*) FILTER (n < 15) AS thin_days FROM sl""")(lambda s, d: rounded(M.diagnostics(M.slopes(scores(s, d), "x", "y"))))
@@ -82,9 +90,21 @@ SELECT a, b, {r6('diff', 'diff')}, {r6('diff / sqrt(pooled * (1 / na::DOUBLE + 1
 query("m13_effects", f"WITH {RSL}, z AS (SELECT regime, avg(beta) / nullif(stddev_samp(beta) / sqrt(count(beta)), 0) AS t FROM rs GROUP BY regime) SELECT regime, CASE WHEN abs(t) > 2.576 THEN 'strong' WHEN abs(t) > 1.96 THEN 'medium' ELSE 'weak' END AS effect, (rank() OVER (ORDER BY round(abs(t), 9) DESC))::INT AS place FROM z")(
     lambda s, d: M.fama_macbeth(regime_slopes(s, d), "regime").select("regime", F.when(F.abs("t") > 2.576, "strong").when(F.abs("t") > 1.96, "medium").otherwise("weak").alias("effect"), F.rank().over(Window.orderBy(F.round(F.abs("t"), 9).desc())).alias("place")))
 GRID = "SELECT * FROM (VALUES (730), (1095)) a(days), (VALUES (0.5::DOUBLE), (2.0::DOUBLE), (5.0::DOUBLE)) b(alpha)"
-for _name in ("m14_grid", "m15_regime_grid"):
-    query(_name, f"WITH {ridge_sql('days', 'alpha', GRID)} SELECT days, alpha, count(*) AS n, {r6('avg(p)', 'mean_pred')}, round(avg((p - y) * (p - y)), 4) AS mse FROM pp GROUP BY days, alpha")(
-        lambda s, d: rounded(M.model_grid(scores(s, d), ["x"], "y", [730, 1095], [0.5, 2.0, 5.0], LEAST).groupBy("days", "alpha").agg(F.count(F.lit(1)).alias("n"), F.avg("y_pred").alias("mean_pred"), F.avg((F.col("y_pred") - F.col("y")) * (F.col("y_pred") - F.col("y"))).alias("mse")), mse=4))
+query("m14_grid", f"WITH {ridge_sql('days', 'alpha', GRID)} SELECT days, alpha, count(*) AS n, {r6('avg(p)', 'mean_pred')}, round(avg((p - y) * (p - y)), 4) AS mse FROM pp GROUP BY days, alpha")(
+    lambda s, d: rounded(M.model_grid(scores(s, d), ["x"], "y", [730, 1095], [0.5, 2.0, 5.0], LEAST).groupBy("days", "alpha").agg(F.count(F.lit(1)).alias("n"), F.avg("y_pred").alias("mean_pred"), F.avg((F.col("y_pred") - F.col("y")) * (F.col("y_pred") - F.col("y"))).alias("mse")), mse=4))
+WINDOWS, PENALTIES = [504, 756, 1008], [0.2, 0.5, 1.0, 2.0, 3.0, 5.0, 8.0]
+
+
+@query("m15_regime_grid", f"""WITH {MK}, xy AS (SELECT entity, date, regime, mom3 AS x, fwd AS y FROM rp WHERE mom3 IS NOT NULL), dg AS (SELECT regime, date, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM xy WHERE y IS NOT NULL GROUP BY regime, date),
+wd AS (SELECT days, d.regime, d.date, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM (SELECT DISTINCT regime, date FROM rp) d, (SELECT unnest({WINDOWS}) AS days), dg
+  WHERE dg.regime = d.regime AND dg.date >= d.date - CAST(days AS INTEGER) AND dg.date < d.date GROUP BY ALL HAVING sum(n) >= {LEAST}),
+bt AS (SELECT *, (sxy - sx * sy / n) / (sxx - sx * sx / n + alpha) AS beta FROM wd, (SELECT unnest({PENALTIES})::DOUBLE AS alpha)), pp AS (SELECT xy.*, days, alpha, sy / n - beta * sx / n + beta * x AS p FROM xy JOIN bt USING (regime, date))
+SELECT days, alpha, regime, count(*) AS n, {r6('avg(p)', 'mean_pred')}, round(avg((p - y) * (p - y)), 4) AS mse FROM pp GROUP BY ALL""")
+def m15_one(s: SparkSession, d: str) -> DataFrame:
+    """Each regime with its own training rows, one factor: all windows and penalties."""
+    p = M.model_grid_by_regime(regime_panel(s, d), dict.fromkeys(OWN, ["mom3"]), "fwd", WINDOWS, PENALTIES, LEAST)
+    off = F.col("y_pred") - F.col("y_true")
+    return rounded(p.groupBy("days", "alpha", "regime").agg(F.count(F.lit(1)).alias("n"), F.avg("y_pred").alias("mean_pred"), F.avg(off * off).alias("mse")), mse=4)
 
 
 @query("m14_grid_use_regime")
@@ -98,7 +118,7 @@ def m14(s: SparkSession, d: str) -> DataFrame:
 
 @query("m15_regime_specific_grid")
 def m15(s: SparkSession, d: str) -> DataFrame:
-    p = M.model_grid_by_regime(standard(s, d, True), OWN, "fwd", [504, 756, 1008], [0.2, 0.5, 1.0, 2.0, 3.0, 5.0, 8.0])
+    p = M.model_grid_by_regime(standard(s, d, True), OWN, "fwd", WINDOWS, PENALTIES)
     return rounded(M.graded(p.withColumn("y_pred", F.round("y_pred", 9)), "days", "alpha", cost_bps=5.0, year=12.0))
 
 
@@ -106,33 +126,48 @@ def modelled(s: SparkSession, d: str, days: int = DAYS, alpha: float = 1.0) -> D
     return M.walk_forward(scores(s, d), ["x"], "y", days, alpha, LEAST).select(*KEY, F.round("y_pred", 9).alias("y_pred"), F.col("y").alias("y_true")).where("y_true is not null")
 
 
-query("m16_cost_breadth")(lambda s, d: rounded(P.grid(modelled(s, d), [("baseline", None, 5), ("baseline", None, 10)], [3, 5, 10])))
+MODELLED = f"""{ridge_sql(str(DAYS), '1.0', 'SELECT 1 AS one')}, mo AS (SELECT entity, date, round(p, 9) AS y_pred, y AS y_true FROM pp WHERE y IS NOT NULL)"""
+query("m16_cost_breadth", f"WITH {MODELLED}, {', '.join(book('mo', n, n, f'_{n}') for n in (5, 10))} " + " UNION ALL ".join(f"SELECT 'baseline' AS strategy, 'None' AS param, {n} AS top_n, * FROM ({costed(f'_{n}', [3, 5, 10])})" for n in (5, 10)))(
+    lambda s, d: rounded(P.grid(modelled(s, d), [("baseline", None, 5), ("baseline", None, 10)], [3, 5, 10])))
+#: The short leg is a share of the long one, rounded half to even, one name at least.
+LEGS17 = [(days, alpha, n, max(1, round(n * share))) for days in (730, 1095) for alpha in (1.0, 5.0) for n, share in ((5, 1.0), (5, 0.5), (10, 0.7))]
+GRID17 = "SELECT * FROM (VALUES (730), (1095)) a(days), (VALUES (1.0::DOUBLE), (5.0::DOUBLE)) b(alpha)"
 
 
-@query("m17_cost_grid")
+@query("m17_cost_grid", f"WITH {ridge_sql('days', 'alpha', GRID17)}, " + ", ".join(f"mo_{k} AS (SELECT entity, date, round(p, 9) AS y_pred, y AS y_true FROM pp WHERE y IS NOT NULL AND days = {days} AND alpha = {alpha}), {book(f'mo_{k}', n, m, f'_{k}')}" for k, (days, alpha, n, m) in enumerate(LEGS17)) + " " + " UNION ALL ".join(
+    f"SELECT {days} AS days, {alpha}::DOUBLE AS alpha, {n} AS top_n, {m} AS bottom_n, * FROM ({costed(f'_{k}', [3, 5])})" for k, (days, alpha, n, m) in enumerate(LEGS17)))
 def m17(s: SparkSession, d: str) -> DataFrame:
+    """Models are fitted once for a window and penalty; the breadths of both legs and the costs come after."""
     all_ = M.model_grid(scores(s, d), ["x"], "y", [730, 1095], [1.0, 5.0], LEAST).select(*KEY, "days", "alpha", F.round("y_pred", 9).alias("y_pred"), F.col("y").alias("y_true")).where("y_true is not null")
     out = None
-    for days in (730, 1095):
-        for alpha in (1.0, 5.0):
-            g = P.grid(all_.where((F.col("days") == days) & (F.col("alpha") == alpha)), [("baseline", None, 5)], [3, 5]).withColumns({"days": F.lit(days), "alpha": F.lit(alpha)})
-            out = g if out is None else out.unionByName(g)
+    for days, alpha, n, bottom in LEGS17:
+        part = all_.where((F.col("days") == days) & (F.col("alpha") == alpha))
+        day = P.series(P.legs(part, n, bottom), part).withColumn("cost_bps", F.explode(F.array(F.lit(3.0), F.lit(5.0))))
+        g = P.metrics(P.with_drawdown(P.with_cost(day, F.col("cost_bps")), "cost_bps"), "cost_bps").withColumns({"days": F.lit(days), "alpha": F.lit(alpha), "top_n": F.lit(n), "bottom_n": F.lit(bottom)})
+        out = g if out is None else out.unionByName(g)
     return rounded(out)
 
 
-@query("m18_robustness")
+STARTS, SPANS = ("1998-01-01", "1999-01-01", "2000-01-01"), (756, 900, 1008)
+CASES = [(days, start) for days in SPANS for start in STARTS]
+
+
+@query("m18_robustness", f"WITH RECURSIVE {ridge_sql('days', '1.0', 'SELECT unnest([756, 900, 1008]) AS days')}, " + ", ".join(
+    f"mo_{k} AS (SELECT entity, date, round(p, 9) AS y_pred, y AS y_true FROM pp WHERE y IS NOT NULL AND days = {days} AND date >= DATE '{start}'), " + tagged(f"{bands(SCORES, 2)}, {SERIES.format(index='hy', held='hy')}", f"mo_{k}", f"_{k}") for k, (days, start) in enumerate(CASES)
+) + " " + " UNION ALL ".join(f"SELECT '{start}' AS start, {days} AS days, * EXCLUDE (cost_bps) FROM ({costed(f'_{k}', [5])})" for k, (days, start) in enumerate(CASES)))
 def m18(s: SparkSession, d: str) -> DataFrame:
     out = None
-    for days in (756, 900, 1008):
+    for days in SPANS:
         p = modelled(s, d, days)
-        for start in ("1998-01-01", "1999-01-01", "2000-01-01"):
+        for start in STARTS:
             part = p.where(F.col("date") >= F.lit(start).cast("date"))
             m = P.metrics(P.with_drawdown(P.series(P.hysteresis(part, 5, 2), part, 5.0))).withColumns({"start": F.lit(start), "days": F.lit(days)})
             out = m if out is None else out.unionByName(m)
     return rounded(out)
 
 
-@query("m19_zscore_vs_rank")
+@query("m19_zscore_vs_rank", f"""WITH {GAUSS}, pr AS (SELECT date, round({Z.format(x='mom')}, 9) AS x, fwd AS y FROM m WHERE mom IS NOT NULL), {ic_sql('pr', 'date', 'y', name='iz')}, rk AS (SELECT date, round(g, 9) AS x, fwd AS y FROM gg), {ic_sql('rk', 'date', 'y', name='ir')},
+z AS (SELECT 'zscore' AS kind, {SUMMARY} FROM iz UNION ALL SELECT 'rank', {SUMMARY} FROM ir) SELECT kind, {SUMMED} FROM z""")
 def m19(s: SparkSession, d: str) -> DataFrame:
     z = predictions(s, d)
     g = X.rank_gauss(momenta(s, d), "mom", "y_pred").select(*KEY, F.round("y_pred", 9).alias("y_pred"), F.col("fwd").alias("y_true")).where("y_pred is not null and y_true is not null")
@@ -140,23 +175,29 @@ def m19(s: SparkSession, d: str) -> DataFrame:
     return rounded(m(z, "zscore").unionByName(m(g, "rank")))
 
 
-@query("m20_neutral_vs_baseline")
+@query("m20_neutral_vs_baseline", f"""WITH {PRED}, q AS (SELECT date, y_pred AS x, y_true AS y FROM pd), {ic_sql('q', 'date', 'y', name='ib')}, nq AS (SELECT date, round(y_pred - avg(y_pred) OVER (PARTITION BY date, industry), 9) AS x, y_true AS y FROM pd WHERE industry IS NOT NULL), {ic_sql('nq', 'date', 'y', name='iq')},
+z AS (SELECT 'baseline' AS kind, {SUMMARY} FROM ib UNION ALL SELECT 'neutral', {SUMMARY} FROM iq) SELECT kind, {SUMMED} FROM z""")
 def m20(s: SparkSession, d: str) -> DataFrame:
     z = predictions(s, d)
     m = lambda df, name: S.ic_summary(X.daily_ic(df, "y_pred", "y_true")).withColumn("kind", F.lit(name))
-    return rounded(m(z, "baseline").unionByName(m(X.neutralised(z, ["y_pred"]), "neutral")))
+    return rounded(m(z, "baseline").unionByName(m(X.neutralised(z, ["y_pred"]).withColumn("y_pred", F.round("y_pred", 9)), "neutral")))
 
 
 @query("m21_scenarios")
 def m21(s: SparkSession, d: str) -> DataFrame:
+    """Rank correlations and portfolio figures of each scenario, and how far its information ratio is from plain ridge."""
     base = standard(s, d)
-    kinds = {"ridge": {}, "scaled": {"scaled": True}, "net": {"l1": 0.5}}
+    crossed = X.interactions(base, [("mom3_std", "vr_std"), ("mom3_std", "amp_std")])
+    more = [*XS, "mom3_std_x_vr_std", "mom3_std_x_amp_std"]
+    kinds = {"ridge": (base, XS, {}), "scaled": (base, XS, {"scaled": True}), "net": (base, XS, {"l1": 0.5}), "interactions": (crossed, more, {})}
     out = None
-    for name, extra in kinds.items():
-        p = M.walk_forward(base, XS, "fwd", DAYS, 0.1, LEAST, **extra)
-        m = S.ic_summary(X.daily_ic(p.withColumn("y_pred", F.round("y_pred", 9)), "y_pred", "fwd")).withColumn("scenario", F.lit(name))
-        out = m if out is None else out.unionByName(m)
-    return rounded(out)
+    for name, (rows, xs, extra) in kinds.items():
+        p = M.walk_forward(rows, xs, "fwd", DAYS, 0.1, LEAST, **extra)
+        p = p.select(*KEY, F.round("y_pred", 9).alias("y_pred"), F.col("fwd").alias("y_true"), F.lit(name).alias("scenario"))
+        out = p if out is None else out.unionByName(p)
+    found = M.graded(out, "scenario", year=12.0)
+    plain = F.max(F.when(F.col("scenario") == "ridge", F.col("ic_ir"))).over(Window.partitionBy(F.lit(0)))  # a row a scenario
+    return rounded(found.withColumn("ic_ir_diff", F.col("ic_ir") - plain))
 
 
 @query("m22_empty_safe", f"""WITH {PRED}, w AS (SELECT unnest(['all', 'none']) AS scenario), q AS (SELECT 'all' AS scenario, count(DISTINCT date) AS n_days, avg(y_true) AS m FROM pd)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,29 @@ fo AS (SELECT 0::BIGINT AS i, NULL::DATE AS date, []::BIGINT[] AS l, []::BIGINT[
 hy AS (SELECT date, 'long' AS side, unnest(l) AS entity FROM fo WHERE i > 0 UNION ALL SELECT date, 'short', unnest(s) FROM fo WHERE i > 0)"""
 
 
+def gone(held: str, ranked: str) -> str:
+    """SQL of the two names that go first: those not quoted, then the worst outside the target."""
+    return f"list_slice(list_concat(list_sort(list_filter({held}, lambda e: NOT list_contains({ranked}, e))), list_reverse(list_filter(list_slice({ranked}, {N + 1}, len({ranked})), lambda e: list_contains({held}, e)))), 1, 2)"
+
+
+def tagged(sql: str, source: str, tag: str) -> str:
+    """The tables of a policy under names of their own, on a table (date, entity, y_pred, y_true)."""
+    return re.sub(r"\bpd\b", source, re.sub(r"\b(sc|mb|lg|rl|ri|fo|hy|dx|hh|hk|dy|se)\b", rf"\1{tag}", sql))
+
+
+def book(source: str, top: int, bottom: int, tag: str) -> str:
+    """Tables that end in se{tag}: the daily policy's series."""
+    legs = LEGS.format(scores=SCORES).replace("place <= 5", f"place <= {top}").replace("ends <= 5", f"ends <= {bottom}")
+    return tagged(f"{legs}, {SERIES.format(index='lg', held='lg')}", source, tag)
+
+
+def costed(tag: str, costs: list[float], year: int = 252) -> str:
+    """SQL of the metrics of se{tag} at each cost."""
+    figures = METRICS.replace("* 12 AS", f"* {year} AS").replace("sqrt(12.0)", f"sqrt({year}.0)")
+    return f"""SELECT cost_bps, {METRIC_OUT} FROM (SELECT cost_bps, {figures} FROM (SELECT *, cum - max(cum) OVER (PARTITION BY cost_bps ORDER BY date) AS drawdown FROM (SELECT *, sum(ls_net) OVER (PARTITION BY cost_bps ORDER BY date) AS cum FROM
+  (SELECT *, ls_gross - cost_bps / 10000 * turnover AS ls_net FROM se{tag}, (SELECT unnest({[float(c) for c in costs]})::DOUBLE AS cost_bps)))) GROUP BY cost_bps)"""
+
+
 EMA = """qi AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) AS i FROM pd),
 em AS (SELECT entity, date, i, y_pred AS y, y_true FROM qi WHERE i = 1 UNION ALL SELECT qi.entity, qi.date, qi.i, 2.0 / 4 * qi.y_pred + (1 - 2.0 / 4) * em.y, qi.y_true FROM em JOIN qi ON qi.entity = em.entity AND qi.i = em.i + 1)"""
 SMOOTH = "SELECT date, entity, round(y, 9) AS s, y_true FROM em"
@@ -68,7 +93,14 @@ query("e4_hysteresis", f"WITH RECURSIVE {PRED}, {bands(SCORES, 2)}, {SERIES.form
     lambda s, d: rounded(P.series(P.hysteresis(predictions(s, d), N, 2), predictions(s, d), 5.0).select(*SHOWN)))
 query("e5_ema", f"WITH RECURSIVE {PRED}, {EMA}, {LEGS.format(scores=SMOOTH)}, {SERIES.format(index='lg', held='lg')} SELECT date, {OUT}, {NET} FROM se")(
     lambda s, d: rounded(P.series(P.legs(smooth(s, d), N, N, "y_score"), predictions(s, d), 5.0).select(*SHOWN)))
-query("e6_swap_cap")(lambda s, d: rounded(P.run_policy(predictions(s, d), "swap_cap", N, 0.4, 5.0).select(*SHOWN, "drawdown")))
+SWAP = f"""rl AS (SELECT date, list(entity ORDER BY place) AS top, list(entity ORDER BY ends) AS low FROM mb GROUP BY date), ri AS (SELECT *, row_number() OVER (ORDER BY date) AS i FROM rl),
+fo AS (SELECT 0::BIGINT AS i, NULL::DATE AS date, []::BIGINT[] AS l, []::BIGINT[] AS s UNION ALL
+  SELECT i, date, list_concat(nl, list_slice(list_filter(list_slice(top, 1, {N}), lambda e: NOT list_contains(nl, e)), 1, {N} - len(nl))), list_concat(ns, list_slice(list_filter(list_slice(low, 1, {N}), lambda e: NOT list_contains(ns, e)), 1, {N} - len(ns))) FROM
+  (SELECT *, list_concat(sl, list_slice(list_slice(list_filter(list_slice(top, 1, {N}), lambda e: NOT list_contains(hl, e)), 1, 2), 1, greatest(0, {N} - len(sl)))) AS nl, list_concat(ss, list_slice(list_slice(list_filter(list_slice(low, 1, {N}), lambda e: NOT list_contains(hs, e)), 1, 2), 1, greatest(0, {N} - len(ss)))) AS ns FROM
+  (SELECT *, list_filter(hl, lambda e: NOT list_contains(gl, e)) AS sl, list_filter(hs, lambda e: NOT list_contains(gs, e)) AS ss FROM
+  (SELECT ri.i, ri.date, ri.top, ri.low, fo.l AS hl, fo.s AS hs, {gone('fo.l', 'ri.top')} AS gl, {gone('fo.s', 'ri.low')} AS gs FROM fo JOIN ri ON ri.i = fo.i + 1)))),
+hy AS (SELECT date, 'long' AS side, unnest(l) AS entity FROM fo WHERE i > 0 UNION ALL SELECT date, 'short', unnest(s) FROM fo WHERE i > 0)"""
+query("e6_swap_cap", f"WITH RECURSIVE {PRED}, {LEGS.format(scores=SCORES)}, {SWAP}, {SERIES.format(index='hy', held='hy')}, {DRAW} SELECT date, {OUT}, {NET}, {r6('drawdown', 'drawdown')} FROM dr")(lambda s, d: rounded(P.run_policy(predictions(s, d), "swap_cap", N, 0.4, 5.0).select(*SHOWN, "drawdown")))
 query("e7_combo", f"WITH RECURSIVE {PRED}, {EMA}, {bands(SMOOTH, 2)}, {SERIES.format(index='hy', held='hy')} SELECT date, {OUT}, {NET} FROM se")(
     lambda s, d: rounded(P.series(P.hysteresis(smooth(s, d), N, 2, "y_score"), predictions(s, d), 5.0).select(*SHOWN)))
 SPELL = f"{PRED}, {LEGS.format(scores=SCORES)}, dx AS (SELECT date, row_number() OVER (ORDER BY date) AS idx FROM (SELECT DISTINCT date FROM lg)), sp AS (SELECT side, entity, idx - row_number() OVER (PARTITION BY side, entity ORDER BY idx) AS run FROM lg JOIN dx USING (date)), sl AS (SELECT side, entity, count(*) AS days FROM sp GROUP BY side, entity, run)"
@@ -80,7 +112,7 @@ query("t23_drawdown", f"WITH {BASE}, {DRAW} SELECT date, {r6('cum', 'cum')}, {r6
     lambda s, d: rounded(P.with_drawdown(baseline(s, d)).select("date", F.col("cum_ls_net").alias("cum"), "drawdown")))
 query("a18_summary_metrics", f"WITH {BASE}, {DRAW}, z AS (SELECT {METRICS} FROM dr) SELECT {METRIC_OUT} FROM z")(lambda s, d: rounded(P.metrics(P.with_drawdown(baseline(s, d)), year=12.0)))
 query("a20_profile", f"WITH {BASE} SELECT {', '.join(r6(f'avg({c})', f'avg_{c}') for c in ('turnover', 'overlap_long', 'overlap_short', 'added_long', 'added_short'))} FROM se")(lambda s, d: rounded(P.profile(baseline(s, d))))
-query("e10_dispatch")(lambda s, d: rounded(P.run_policy(predictions(s, d), "combo", N, (3, 2), 5.0).select(*SHOWN, "drawdown")))
+query("e10_dispatch", f"WITH RECURSIVE {PRED}, {EMA}, {bands(SMOOTH, 2)}, {SERIES.format(index='hy', held='hy')}, {DRAW} SELECT date, {OUT}, {NET}, {r6('drawdown', 'drawdown')} FROM dr")(lambda s, d: rounded(P.run_policy(predictions(s, d), "combo", N, (3, 2), 5.0).select(*SHOWN, "drawdown")))
 #: All six policies, three parameters (nine of the combination) and three breadths each.
 PARAMETERS = {"baseline": [None], "low_freq": [3, 6, 12], "hysteresis": [0, 2, 4], "ema": [3, 5, 10], "swap_cap": [0.2, 0.4, 0.6], "combo": [(a, b) for a in (3, 4, 6) for b in (1, 2, 3)]}
 SETTINGS = [(policy, x, n) for policy, xs in PARAMETERS.items() for x in xs for n in (N, 2 * N, 4 * N)]

@@ -12,6 +12,7 @@ from ..sources.panels import BD, SM, UE, brand_day, supplier_month, table, user_
 from ..streaming import bars as streams
 from .catalog import query, r6, rounded
 from .factor_queries import KEY, PRED, R, panel, predictions
+from .portfolio_queries import SCORES, SERIES, N, bands, book
 
 count = lambda: F.count(F.lit(1))
 q_part = lambda s, d: table(s, d, "part")
@@ -80,14 +81,8 @@ query("j2_distinct_lookup", f"WITH {PRED}, k AS (SELECT DISTINCT entity, industr
 query("j9_asof_latest", f"WITH {SM} SELECT entity, round(arg_max(close, date), 7) AS close, max(date) AS as_of FROM b WHERE date <= DATE '1999-06-15' GROUP BY entity", dates=("as_of",))(lambda s, d: rounded(U.as_of(supplier_month(s, d), F.lit("1999-06-15").cast("date"), "close"), close=7))
 
 
-@query("j9_asof_join", f"WITH {SM}, {UE}, l AS (SELECT entity % 10 AS entity, date FROM ue GROUP BY ALL), r AS (SELECT entity, date, ticks FROM b WHERE entity < 10) SELECT l.entity, l.date, r.ticks FROM l ASOF LEFT JOIN r ON l.entity = r.entity AND l.date >= r.date", dates=("date",))
+@query("j9_asof_join", f"WITH {SM}, l AS (SELECT DISTINCT l_suppkey AS entity, CAST(o_orderdate AS DATE) AS date FROM lineitem JOIN orders ON o_orderkey = l_orderkey) SELECT l.entity, l.date, b.ticks FROM l ASOF LEFT JOIN b ON l.entity = b.entity AND l.date >= b.date", dates=("date",))
 def j9(s: SparkSession, d: str) -> DataFrame:
-    left = user_day(s, d).select((F.col("entity") % 10).alias("entity"), "date").distinct()
-    return U.as_of_join(left, supplier_month(s, d).where("entity < 10").select(*KEY, "ticks"), "ticks")
-
-
-@query("j9_asof_join_whole", f"WITH {SM}, l AS (SELECT DISTINCT l_suppkey AS entity, CAST(o_orderdate AS DATE) AS date FROM lineitem JOIN orders ON o_orderkey = l_orderkey) SELECT l.entity, l.date, b.ticks FROM l ASOF LEFT JOIN b ON l.entity = b.entity AND l.date >= b.date", dates=("date",))
-def j9_whole(s: SparkSession, d: str) -> DataFrame:
     """All suppliers: each day on which one was ordered from, with its last bar at that day."""
     lines, orders = table(s, d, "lineitem").select("l_orderkey", "l_suppkey"), table(s, d, "orders").select("o_orderkey", "o_orderdate")
     left = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("entity"), F.to_date("o_orderdate").alias("date")).distinct()
@@ -132,7 +127,12 @@ query("a17_arg_max", f"WITH {SM} SELECT entity, arg_max(date, (turnover, date))
     lambda s, d: supplier_month(s, d).groupBy("entity").agg(F.max_by("date", F.struct("turnover", "date")).alias("best"), F.min_by("date", F.struct("turnover", "date")).alias("worst")))
 
 
-@query("a21_best_setting")
+NET5 = "ls_gross - 5.0 / 10000 * turnover AS ls_net"
+
+
+@query("a21_best_setting", f"""WITH RECURSIVE {PRED}, {book('pd', N, N, '_b')}, {bands(SCORES, 2)}, {SERIES.format(index='hy', held='hy')}, bo AS (SELECT 'baseline' AS strategy, date, {NET5} FROM se_b UNION ALL SELECT 'hysteresis', date, {NET5} FROM se),
+be AS (SELECT arg_max(strategy, ir) AS strategy FROM (SELECT strategy, avg(ls_net) / (stddev_samp(ls_net) + 1e-12) AS ir FROM bo GROUP BY strategy)), cu AS (SELECT date, ls_net, sum(ls_net) OVER (ORDER BY date) AS cum FROM bo JOIN be USING (strategy))
+SELECT date, {r6('ls_net', 'ls_net')}, {r6('cum - max(cum) OVER (ORDER BY date)', 'drawdown')} FROM cu""")
 def a21(s: SparkSession, d: str) -> DataFrame:
     p = predictions(s, d)
     g = P.grid(p, [("baseline", None, 5), ("hysteresis", 2, 5)], [5])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalog, factor_queries, ic_queries, model_queries, more_queries, portfolio_queries, relational_queries  # noqa: F401
+from .plans import catalog, factor_queries, ic_queries, model_queries, more_queries, portfolio_queries, relational_queries, run_queries  # noqa: F401
 
 QUERIES = catalog.QUERIES
 ORACLES = catalog.ORACLES

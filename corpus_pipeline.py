@@ -1,7 +1,13 @@
 """From raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet to the shared folder
-and reads it back as the next stage's docs. All stages but the last return the columns of documents.
+and reads it back as the next stage's docs. All stages but the last return the columns of documents, and each keeps what
+its operator's module says of odd rows: a null or empty text fails the quality rules; a null doc_id is in no group of near
+copies and stays; rows that repeat a doc_id are documents of their own, but equal texts are copies of each other; other
+columns pass through to the last stage; an empty table runs through to no pieces.
+
+The key of the pseudonyms is the session's spark.xsfactor.pii.key; only where it is unset, as in tests, the public
+DEMO_KEY stands in, with which anyone could take pseudonyms back.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced; n_chars, where there is one, counts the new text."""
-    out = pii.pseudonymise(docs, DEMO_KEY)
+    out = pii.pseudonymise(docs, spark.conf.get("spark.xsfactor.pii.key", DEMO_KEY))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

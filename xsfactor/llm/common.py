@@ -7,8 +7,9 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,12 +55,57 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def each_text(column: pa.Array, step: int = 256) -> Iterator[str]:
+    """The texts of a column, null as empty; few are Python strings at a time."""
+    for at in range(0, len(column), step):
+        for x in column.slice(at, step).to_pylist():
+            yield x or ""
+
+
 def added(batch: pa.RecordBatch, new: dict[str, tuple[pa.DataType, list]]) -> pa.RecordBatch:
     """The batch with new columns behind its own."""
     arrays = [*batch.columns, *(pa.array(v, t) for t, v in new.values())]
     return pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *new])
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of batches that are sorted by keys; holds one group and a batch at most."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = np.stack([b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys])
+        cut = np.flatnonzero((cols[:, 1:] != cols[:, :-1]).any(0)) + 1
+        if held and tuple(cols[:, 0]) != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        bounds = [0, *cut.tolist(), b.num_rows]
+        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+            held.append(b.slice(s, e - s))
+            if e < b.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+        last = tuple(cols[:, -1])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def sample(ids: DataFrame, most: int) -> DataFrame:
+    """At most `most` of the ids (one column, id), those of smallest hash; most of the others go before any is sorted."""
+    n = ids.count()
+    share = min(1.0, 1.2 * most / max(n, 1))
+    near = ids.where(F.xxhash64("id") <= F.lit(min(int((2 * share - 1) * 2**63), 2**63 - 1)))
+    return near.distinct().orderBy(F.xxhash64("id"), "id").limit(most)
+
+
+def one_text_each(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (id, text, the other columns of ids) of a sample that is small enough to be broadcast."""
+    found = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(ids), F.col("_id") == F.col("id"))
+    others = [F.first(c).alias(c) for c in ids.columns if c != "id"]
+    return found.groupBy("id").agg(F.min("text").alias("text"), *others)
+
+
 def free_name(taken: Iterable[str], wanted: str) -> str:
     """A column name near the wanted one that df doesn't have (names are compared without case, as Spark does)."""
     have = {x.lower() for x in taken}
@@ -73,32 +119,32 @@ def schema_ddl(df: DataFrame, extra: str) -> str:
     return f"{own}, {extra}" if own else extra
 
 
-def _marked(df: DataFrame, key: str, ids: DataFrame, bits: int) -> tuple[DataFrame, str]:
+def marked_by(df: DataFrame, key: str, ids: DataFrame, bits: int) -> tuple[DataFrame, str]:
     """df with a flag that holds for every row whose key is among ids (one column of longs), and for few others.
 
     ids become a bitmap of 2^bits hash values, a row for each 64 of them: its size is fixed, so it may be broadcast.
     """
     spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << bits))
-    bit = lambda c: F.expr(f"shiftleft(1L, cast({c} & 63 as int))")
-    id_, flag = ids.columns[0], free_name(df.columns, "_marked")
-    spots = ids.where(F.col(id_).isNotNull()).select(spot(id_).alias("_spot")).groupBy(F.shiftright("_spot", 6).alias("_word"))
-    words = F.broadcast(spots.agg(F.bit_or(bit("_spot")).alias("_mask")))
-    at = free_name(df.columns, "_at")
-    found = df.withColumn(at, spot(key)).join(words, F.shiftright(at, 6) == F.col("_word"), "left")
-    hit = F.coalesce(F.col("_mask").bitwiseAND(bit(at)) != 0, F.lit(False))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(`{c}` & 63 as int))")
+    id_ = ids.columns[0]
+    flag, at, word, mask = (free_name(df.columns, x) for x in ("_marked", "_at", "_word", "_mask"))
+    spots = ids.where(F.col(id_).isNotNull()).select(spot(id_).alias(at)).groupBy(F.shiftright(at, 6).alias(word))
+    words = F.broadcast(spots.agg(F.bit_or(bit(at)).alias(mask)))
+    found = df.withColumn(at, spot(key)).join(words, F.shiftright(at, 6) == F.col(word), "left")
+    hit = F.coalesce(F.col(mask).bitwiseAND(bit(at)) != 0, F.lit(False))
     return found.withColumn(flag, hit).select(*df.columns, flag), flag
 
 
 def with_ids(df: DataFrame, key: str, ids: DataFrame, bits: int = 24) -> DataFrame:
     """Rows of df whose key is among ids. A bitmap lets the others go first, so only candidates move to the exact join."""
-    marked, flag = _marked(df, key, ids, bits)
+    marked, flag = marked_by(df, key, ids, bits)
     id_ = ids.columns[0]
     return marked.where(flag).drop(flag).join(ids.withColumnRenamed(id_, key), key, "left_semi").select(*df.columns)
 
 
 def without_ids(df: DataFrame, key: str, ids: DataFrame, bits: int = 24) -> DataFrame:
     """Rows of df whose key isn't among ids, or null. Only rows that the bitmap can't clear move to the exact join."""
-    marked, flag = _marked(df, key, ids, bits)
+    marked, flag = marked_by(df, key, ids, bits)
     rest = marked.where(flag).drop(flag).join(ids.withColumnRenamed(ids.columns[0], key), key, "left_anti")
     return marked.where(~F.col(flag)).drop(flag).unionByName(rest.select(*df.columns))
 

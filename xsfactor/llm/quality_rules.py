@@ -3,7 +3,8 @@
 Per document: counts of words, symbols, repeated lines and repeated words, and four rules on them. Per host (the column
 `source`): how many documents fail each rule, shrunk toward the other hosts by an empirical beta prior (fitted by the
 method of moments over hosts). A host whose shrunk rate passes `host_limit` for any rule is rejected with all its
-documents. A document is kept if it passes the base rules and its host isn't rejected.
+documents. A document is kept if it passes the base rules and its host isn't rejected. The prior weighs as many documents
+as its moments say, but at least one and at most MAX_STRENGTH.
 
 Defined cases: null or empty text has no words and fails the base; a null source is a host of its own; repeated rows are
 each judged and each count for their host; an empty table gives an empty result; other columns pass through untouched.
@@ -13,13 +14,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WORDS, durable, texts
+from .common import WORDS, durable, each_text
 
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
@@ -57,21 +58,18 @@ def repeated(words: list[str]) -> int:
     return covered
 
 
-def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows (row: struct of the columns to keep, host, COUNTS)."""
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+def measured_text(text: pa.Array) -> pa.Array:
+    found = list(zip(*map(counts, each_text(text)), strict=True)) or [()] * len(COUNTS)
+    return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in found], names=COUNTS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = list(zip(*map(counts, texts(b)), strict=True)) or [()] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in found)], names=["row", "host", *COUNTS]
-            )
 
-    packed = docs.select(
-        F.struct(*keep).alias("row"), F.col("source").cast("string").alias("host"), F.col("text").alias("text")
+def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows (row: struct of the columns to keep, host, COUNTS). Only texts go to Python, and only counts come back."""
+    found = docs.select(
+        F.struct(*keep).alias("row"), F.col("source").cast("string").alias("host"), measured_text(F.col("text").cast("string")).alias("found")
     )
-    kind = packed.schema["row"].dataType.simpleString()
-    return packed.mapInArrow(run, f"row {kind}, host string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return found.select("row", "host", *(F.col(f"found.{c}").alias(c) for c in COUNTS))
 
 
 def failures(words_least: int = 50) -> dict[str, Column]:
@@ -115,10 +113,12 @@ def judge(docs: DataFrame, keep: list[str] | None = None, host_limit: float = 0.
     """Rows (row, host, COUNTS, base_failed, host_rejected, kept), one for each of docs.
 
     Texts are read once: counts go to a durable table, host totals come from it, and the few columns of a host's verdict
-    are joined back (a hot host's rows are split by AQE, or not moved at all while the verdicts are small).
+    are joined back. The verdicts are a durable table too, so that the planner knows their size before it deals out rows:
+    while they are small, no row moves; beyond that AQE splits a hot host.
     """
     measured = durable(measure(docs, keep or docs.columns), "rules")
     hosts = host_verdicts(measured, host_limit).select(F.col("host").alias("h"), F.col("rejected").alias("host_rejected"))
+    hosts = durable(hosts, "hosts")
     bad = failures()
     return (
         measured.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left").drop("h")

@@ -30,7 +30,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = toxicity.held_out()
     model = toxicity.fit(docs, labels, ~out)
-    scored = toxicity.score(docs, model, ["doc_id"]).select("row.doc_id", "score")
+    scored = docs.select("doc_id", toxicity.scored(F.col("text"), model).alias("score"))
     return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -46,7 +46,7 @@ OLD_SHARDS, NEW_SHARDS = 16, 24
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     before = F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS))
-    placed, touched = sharding.reshard(docs.select("doc_id", "source", "text"), before, OLD_SHARDS, NEW_SHARDS)
+    placed, touched = sharding.reshard(docs, before, OLD_SHARDS, NEW_SHARDS)
     rows = sharding.rewrite(placed, touched, NEW_SHARDS)
     return rows.select(
         "doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),

@@ -1,15 +1,20 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: word lists, lists mined from labelled rows, and patterns. A generative label model holds for
-each class how often each voter gives which vote; voters that correlate within a class (found by their residual
-correlation) form a clique and share one joint table. EM fits the tables; the annotators' mark is one more voter, of
-fixed reliability. The posterior labels then train a logistic classifier on tokens and votes, which scores every text.
-
-Fitting uses at most `max_fit` labelled rows (those of smallest hash), so what reaches the driver is bounded: their token
-numbers and votes. Scoring reads whole texts.
-
-Defined cases: null text is empty and scored like one; rows without a label or with a null id don't teach; repeated rows
-are scored alike; without labelled rows of both classes the word lists alone decide; other columns are ignored.
+Voters look at a text: given word lists, lists induced from labelled rows (a list for each family of words of one stem),
+and patterns. A list votes once for any word of its and once more for several different ones. A generative label model
+holds each class as a mixture of parts, in each of which a voter votes at a rate of its own: so voters may correlate within
+a class as they like (all those of one language, say). The annotators' mark is one more voter, with a reliability for each
+class. EM estimates shares, rates and reliabilities over labelled and unlabelled rows at once. The posterior labels that
+train the classifier come from the voters alone: the mark's evidence is left out of them. The classifier is logistic on
+tokens and votes and scores every text.
+
+Labels induce the lists and are the mark. Fitting takes `max_fit` labelled documents at
+most and as many unlabelled ones (those of smallest hash); lists and classifier know `n_tokens` induced tokens (those that
+tell the classes apart best), so what reaches the driver is bounded. Scoring reads whole texts.
+
+Defined cases: null text is empty and scored like one; of rows that share a doc_id the smallest text is fitted on, and
+rows with a null id aren't; repeated rows are scored alike; without labelled rows of both classes the given word lists
+alone decide; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import each_text, one_text_each, sample, texts
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
@@ -42,7 +47,8 @@ PATTERNS = {
     "shouted": r"(?:\b[^\W\d_a-zß-öø-ÿ]{3,}\b[ ,]*){3}!",
     "hate": r"(?i)\b(?:shut\s+up|go\s+to\s+hell|hate\s+you|kill\s+yourself)\b",
 }
-LABEL_RELIABILITY = 0.98
+#: So many different words of a list are several; so many induced lists there are at most, the others' tokens being in the classifier only.
+SEVERAL, LISTS = 3, 16
 
 
 @dataclass
@@ -52,8 +58,8 @@ class Model:
     tokens: dict[str, int]
     weights: np.ndarray
     bias: float
-    voters: list[frozenset[int]] = field(default_factory=list)
-    cache: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False, compare=False)
+    voters: list[tuple[list[int], list[int]]] = field(default_factory=list)
+    label_model: LabelModel | None = field(default=None, repr=False, compare=False)
 
 
 def held_out(column: str = "doc_id") -> Column:
@@ -64,32 +70,43 @@ def parts(word: str) -> list[str]:
     return [word, *("^" + word[:n] for n in STEMS if len(word) > n)]
 
 
-def seen(text: str, tokens: dict[str, int], cache: dict[str, tuple[int, ...]]) -> set[int]:
-    """The numbers of the tokens that a text holds. The cache is emptied when it has a quarter million words."""
-    out: set[int] = set()
-    for w in set(LETTERS.findall(text.lower())):
-        at = cache.get(w)
-        if at is None:
-            if len(cache) > 250_000:
-                cache.clear()
-            at = cache[w] = tuple(tokens[p] for p in parts(w) if p in tokens)
-        if at:
-            out.update(at)
-    return out
+class Seen:
+    """How many different words of a text are of each token; remembers 50,000 words' tokens."""
+
+    def __init__(self, tokens: dict[str, int]):
+        self.tokens, self.cache = tokens, {}
+
+    def __call__(self, text: str) -> dict[int, int]:
+        out: dict[int, int] = {}
+        cache, tokens = self.cache, self.tokens
+        for w in set(LETTERS.findall(text.lower())):
+            at = cache.get(w)
+            if at is None:
+                if len(cache) > 50_000:
+                    cache.clear()
+                at = cache[w] = tuple(tokens[p] for p in parts(w) if p in tokens)
+            for i in at:
+                out[i] = out.get(i, 0) + 1
+        return out
 
 
 def pattern_votes(text: str) -> list[int]:
     return [int(re.search(p, text) is not None) for p in PATTERNS.values()]
 
 
-def fit_rows(docs: DataFrame, labels: DataFrame, teach: Column, max_fit: int) -> DataFrame:
-    """At most max_fit rows (y, text). The sample of labels is that small, so it may be broadcast."""
-    marked = (
-        labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-        .groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
-    )
-    few = marked.withColumn("doc_id", F.col("id")).where(teach).orderBy(F.xxhash64("id"), "id").limit(max_fit).select("id", "y")
-    return docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("id")).select("y", "text")
+def labelled(docs: DataFrame, labels: DataFrame, teach: Column, most: int) -> DataFrame:
+    """Rows (id, text, y)."""
+    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(teach)
+    few = sample(marked.select(F.col("doc_id").alias("id")), most)
+    marks = marked.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
+    return one_text_each(docs, marks.join(F.broadcast(few), "id"))
+
+
+def unlabelled(docs: DataFrame, labels: DataFrame, teach: Column, most: int) -> DataFrame:
+    """Rows (id, text, y), y null. They come from a sample four times as large, in case that most have a label."""
+    ids = docs.where(F.col("doc_id").isNotNull()).where(teach).select(F.col("doc_id").alias("id"))
+    few = sample(ids, 4 * most).join(labels.select(F.col("doc_id").alias("id")), "id", "left_anti")
+    return one_text_each(docs, few.orderBy(F.xxhash64("id"), "id").limit(most)).withColumn("y", F.lit(None).cast("int"))
 
 
 def mine(rows: DataFrame, n_tokens: int, least: int) -> list[tuple[str, float]]:
@@ -98,7 +115,7 @@ def mine(rows: DataFrame, n_tokens: int, least: int) -> list[tuple[str, float]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             of = (Counter(), Counter())
-            for y, t in zip(b.column(0).to_pylist(), texts(b), strict=True):
+            for y, t in zip(b.column(1).to_pylist(), texts(b), strict=True):
                 of[y].update({p for w in set(LETTERS.findall(t.lower())) for p in parts(w)})
             names = list(of[0].keys() | of[1].keys())
             yield pa.RecordBatch.from_arrays(
@@ -115,7 +132,7 @@ def mine(rows: DataFrame, n_tokens: int, least: int) -> list[tuple[str, float]]:
     n, share = F.col("a") + F.col("b") + 1.0, na / (na + nb)
     gain = a * F.log(a / (n * share)) + b * F.log(b / (n * (1 - share)))
     top = (
-        rows.mapInArrow(count, "token string, a long, b long").groupBy("token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        rows.select("text", "y").mapInArrow(count, "token string, a long, b long").groupBy("token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         .where(F.col("a") + F.col("b") >= least)
         .select("token", odds.alias("odds"), gain.alias("gain"))
         .orderBy(F.desc("gain"), "token").limit(n_tokens).collect()
@@ -123,65 +140,64 @@ def mine(rows: DataFrame, n_tokens: int, least: int) -> list[tuple[str, float]]:
     return [(r["token"], r["odds"]) for r in top]
 
 
-def build_voters(mined: list[tuple[str, float]], tokens: dict[str, int], n_mined: int = 12) -> list[frozenset[int]]:
-    """Sets of token numbers: one for each word list, and the mined toxic tokens dealt into n_mined lists."""
-    lists = [frozenset(tokens[w] for w in words.split()) for words in INSULTS.values()]
-    toxic = [t for t, odds in mined if odds > 1.5]
-    return lists + [frozenset(tokens[t] for t in toxic[k::n_mined]) for k in range(n_mined)]
+def build_voters(mined: list[tuple[str, float]], tokens: dict[str, int]) -> list[tuple[list[int], list[int]]]:
+    """(stems, words) by number: the given lists, then one for each of the first LISTS families of induced toxic tokens."""
+    families: dict[str, list[str]] = {}
+    for t, odds in mined:
+        if odds > 1.0:
+            families.setdefault(t.lstrip("^")[: STEMS[0]], []).append(t)
+    lists = [words.split() for words in INSULTS.values()] + list(families.values())[:LISTS]
+    return [([tokens[t] for t in x if t[0] == "^"], [tokens[t] for t in x if t[0] != "^"]) for x in lists]
 
 
-def votes_of(numbers: set[int], text: str, voters: list[frozenset[int]]) -> list[int]:
-    return [int(not v.isdisjoint(numbers)) for v in voters] + pattern_votes(text)
+def votes_of(counts: dict[int, int], text: str, voters: list[tuple[list[int], list[int]]]) -> list[int]:
+    """For each list whether it has any word, then for each whether several, then the patterns."""
+    hits = [0] * len(voters)
+    if counts:
+        for k, (stems, words) in enumerate(voters):
+            hits[k] = max([sum(i in counts for i in words), *(counts.get(i, 0) for i in stems)])
+    return [int(h > 0) for h in hits] + [int(h >= SEVERAL) for h in hits] + pattern_votes(text)
 
 
 class LabelModel:
-    """Class-conditional joint vote tables over cliques of voters."""
-
-    def __init__(self, votes: np.ndarray, prior: float, marks: np.ndarray, link: float = 0.25, rounds: int = 15):
-        self.prior = prior
-        base = np.log([[1 - LABEL_RELIABILITY, LABEL_RELIABILITY], [LABEL_RELIABILITY, 1 - LABEL_RELIABILITY]])
-        mark = base[marks]  # by row: log P(mark | toxic), log P(mark | clean)
-        post = np.where(marks == 1, LABEL_RELIABILITY, 1 - LABEL_RELIABILITY).astype(float)
-        self.cliques = [[j] for j in range(votes.shape[1])]
-        for step in range(rounds):
-            if step == rounds // 2:
-                self.cliques = self.correlated(votes, post, link)
-            post = self.posterior(self.tables(votes, post), mark)
-        self.post = post
-
-    def tables(self, votes: np.ndarray, post: np.ndarray) -> np.ndarray:
-        """By row: the log ratio that all cliques give; M step and the votes' part of the E step at once."""
-        ratio = np.zeros(len(votes))
-        for c in self.cliques:
-            code = votes[:, c] @ (1 << np.arange(len(c)))
-            k = 1 << len(c)
-            a, b = np.bincount(code, post, k) + 0.5, np.bincount(code, 1 - post, k) + 0.5
-            ratio += (np.log(a / a.sum()) - np.log(b / b.sum()))[code]
-        return ratio
-
-    def posterior(self, ratio: np.ndarray, mark: np.ndarray) -> np.ndarray:
-        z = np.log(self.prior / (1 - self.prior)) + ratio + mark[:, 0] - mark[:, 1]
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
-    @staticmethod
-    def correlated(votes: np.ndarray, post: np.ndarray, link: float, most: int = 6) -> list[list[int]]:
-        """Voters joined where their residuals, given the class, correlate above link; cliques of `most` voters at most."""
-        resid = np.zeros(votes.shape)
-        for w in (post, 1 - post):
-            mean = (w @ votes) / max(w.sum(), 1e-9)
-            resid += w[:, None] * (votes - mean)
-        sd = resid.std(0)
-        corr = (resid.T @ resid / len(resid)) / np.maximum(np.outer(sd, sd), 1e-9)
-        group = {j: [j] for j in range(len(sd))}
-        pairs = sorted(((-abs(corr[i, j]), i, j) for i in range(len(sd)) for j in range(i)), key=lambda x: x)
-        for c, i, j in pairs:
-            if -c < link:
-                break
-            if group[i] is not group[j] and len(group[i]) + len(group[j]) <= most:
-                joined = group[i] + group[j]
-                for k in joined:
-                    group[k] = joined
-        return [list(x) for x in {id(g): g for g in group.values()}.values()]
+    """A mixture of `parts` for each class, fitted to votes (0 or 1) and marks (1, 0, or -1 without one) by EM.
+
+    post: by row the probability of toxic by the voters alone; accuracy: by voter, of the texts it votes for how many are
+    toxic; mark: how often a toxic and a clean text is marked; share, rate: of each part (the toxic ones first) its share of
+    texts and how often each voter votes.
+    """
+
+    def __init__(self, votes: np.ndarray, marks: np.ndarray, parts: int = 6, rounds: int = 60, weight: float = 5.0):
+        toxic = np.arange(2 * parts) < parts
+        v, has, rng = votes.astype(float), marks >= 0, np.random.default_rng(0)
+        # To begin with: what is marked, or without a mark what three voters vote for; parts at random.
+        start = np.choose(marks + 1, [np.where(votes.sum(1) >= 3, 0.7, 0.05), 0.05, 0.9])[:, None]
+        resp = np.hstack([rng.dirichlet(np.full(parts, 0.3), len(v)) * p for p in (start, 1 - start)])
+        for _ in range(rounds):
+            size, hits, post = resp.sum(0), resp.T @ v, resp[:, toxic].sum(1)
+            self.share = (size + 1) / (size.sum() + len(size))
+            self.rate = np.empty_like(hits)
+            for c in (toxic, ~toxic):  # a small part falls back on its class
+                of_class = (hits[c].sum(0) + 0.5) / (size[c].sum() + 1)
+                self.rate[c] = (hits[c] + weight * of_class) / (size[c][:, None] + weight)
+            self.mark = [float((w[has] @ (marks[has] == 1) + 1) / (w[has].sum() + 2)) for w in (post, 1 - post)]
+            alone = np.log(self.share) + v @ (np.log(self.rate) - np.log(1 - self.rate)).T + np.log(1 - self.rate).sum(1)
+            a, b = self.mark
+            z = alone + np.choose(marks + 1, [0.0, np.log((1 - a) / (1 - b)), np.log(a / b)])[:, None] * toxic
+            resp = np.exp(z - z.max(1, keepdims=True))
+            resp /= resp.sum(1, keepdims=True)
+        e = np.exp(alone - alone.max(1, keepdims=True))
+        self.post = e[:, toxic].sum(1) / e.sum(1)
+        self.accuracy = self.post @ v / np.maximum(v.sum(0), 1e-9)
+
+    def covariances(self) -> np.ndarray:
+        """Of the voters within the toxic and within the clean class, as the parts have them."""
+        half, out = len(self.share) // 2, []
+        for c in (slice(0, half), slice(half, None)):
+            p, r = self.share[c] / self.share[c].sum(), self.rate[c]
+            off = r - p @ r
+            out.append((off * p[:, None]).T @ off)
+        return np.array(out)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
@@ -197,60 +213,62 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25)
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, teach: Column, max_fit: int = 20_000, n_tokens: int = 320, least: int = 4) -> Model:
-    """A model from the labelled rows for which `teach` holds (a condition on doc_id)."""
-    rows = fit_rows(docs, labels, teach, max_fit)
-    mined = mine(rows, n_tokens, least)
+def fit(docs: DataFrame, labels: DataFrame, teach: Column, max_fit: int = 10_000, n_tokens: int = 320, least: int = 4) -> Model:
+    """A model from the rows for which `teach` holds (a condition on doc_id)."""
+    marked = labelled(docs, labels, teach, max_fit)
+    mined = mine(marked, n_tokens, least)
     names = dict.fromkeys([*(w for ws in INSULTS.values() for w in ws.split()), *(t for t, _ in mined)])
     tokens = {t: i for i, t in enumerate(names)}
     voters = build_voters(mined, tokens)
-    size = len(tokens) + len(voters) + len(PATTERNS)
+    size = len(tokens) + 2 * len(voters) + len(PATTERNS)
     if not mined:
-        weights = np.zeros(size)
-        weights[len(tokens) : len(tokens) + len(INSULTS)] = 4.0
-        return Model(tokens, weights, -3.0, voters)
+        given = np.zeros(size)
+        given[len(tokens) : len(tokens) + len(INSULTS)] = 4.0
+        return Model(tokens, given, -3.0, voters)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[int, ...]] = {}
+        seen = Seen(tokens)
         for b in batches:
-            got = [(seen(t, tokens, cache), t) for t in texts(b)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([sorted(s) for s, _ in got], pa.list_(pa.int32())), pa.array([votes_of(s, t, voters) for s, t in got], pa.list_(pa.int32()))],
-                names=["y", "tokens", "votes"],
-            )
-
-    data = rows.mapInArrow(look, "y int, tokens array<int>, votes array<int>").toArrow()
-    y = data["y"].to_numpy()
+            got = [(seen(t), t) for t in texts(b)]
+            lists = ([list(s) for s, _ in got], [list(s.values()) for s, _ in got], [votes_of(s, t, voters) for s, t in got])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.list_(pa.int32())) for x in lists)], names=["id", "y", "tokens", "times", "votes"])
+
+    rows = marked.select("id", "y", "text").unionByName(unlabelled(docs, labels, teach, max_fit).select("id", "y", "text"))
+    rows = rows.withColumn("id", F.col("id").cast("string"))
+    data = rows.mapInArrow(look, "id string, y int, tokens array<int>, times array<int>, votes array<int>").toArrow()
+    data = data.sort_by("id")  # results don't hang on the order in which tasks end
+    marks = data["y"].fill_null(-1).to_numpy().astype(np.int64)
     votes = np.array(data["votes"].to_pylist(), dtype=np.int64)
-    x = np.zeros((len(y), size))
-    for i, at in enumerate(data["tokens"].to_pylist()):
-        x[i, at] = 1
+    x = np.zeros((len(data), size), dtype=np.float32)
+    for i, (at, times) in enumerate(zip(data["tokens"].to_pylist(), data["times"].to_pylist(), strict=True)):
+        x[i, at] = np.log2(np.add(times, 1))
     x[:, len(tokens) :] = votes
-    order = np.lexsort((*x.T[:8], y))  # results don't hang on the order in which tasks end
-    model = LabelModel(votes[order], float(np.clip(y.mean(), 0.01, 0.99)), y[order])
-    weights, bias = logistic(x[order], model.post)
-    return Model(tokens, weights, bias, voters)
+    model = LabelModel(votes, marks)
+    weights, bias = logistic(x, model.post)
+    return Model(tokens, weights, bias, voters, model)
 
 
-def score_text(text: str, model: Model) -> float:
-    numbers = seen(text, model.tokens, model.cache)
-    z = model.bias + sum(model.weights[i] for i in numbers)
-    z += float(np.dot(model.weights[len(model.tokens) :], votes_of(numbers, text, model.voters)))
+def score_text(text: str, model: Model, seen: Seen) -> float:
+    counts = seen(text)
+    z = model.bias + sum(model.weights[i] * np.log2(n + 1) for i, n in counts.items())
+    z += float(np.dot(model.weights[len(model.tokens) :], votes_of(counts, text, model.voters)))
     return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Rows (row: struct of the columns to keep, score)."""
+def scored(text: Column, model: Model) -> Column:
+    """The score of a text, 0 to 1. Only texts go to Python, and only scores come back."""
+    tokens, weights, bias, voters = model.tokens, model.weights, model.bias, model.voters
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = Model(tokens, weights, bias, voters)
+        seen = Seen(tokens)
         for b in batches:
-            found = [score_text(t, model) for t in texts(b)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], names=["row", "score"])
+            yield pa.array((score_text(t, own, seen) for t in each_text(b)), pa.float64(), size=len(b))
 
-    packed = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.col("text").alias("text"))
-    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, score double")
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "double")(text.cast("string"))
 
 
 def clean_documents(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """The rows of docs that score below the limit, with the columns they had."""
-    return score(docs, model).where(F.col("score") < limit).select("row.*")
+    return docs.where(scored(F.col("text"), model) < limit)

@@ -58,8 +58,8 @@ hy AS (SELECT date, 'long' AS side, unnest(l) AS entity FROM fo WHERE i > 0 UNIO
 
 
 def gone(held: str, ranked: str) -> str:
-    """SQL of the two names that go first: those not quoted, then the worst outside the target."""
-    return f"list_slice(list_concat(list_sort(list_filter({held}, lambda e: NOT list_contains({ranked}, e))), list_reverse(list_filter(list_slice({ranked}, {N + 1}, len({ranked})), lambda e: list_contains({held}, e)))), 1, 2)"
+    """SQL of the two names that go first: the worst outside the target, those not quoted last."""
+    return f"list_slice(list_concat(list_reverse(list_filter(list_slice({ranked}, {N + 1}, len({ranked})), lambda e: list_contains({held}, e))), list_sort(list_filter({held}, lambda e: NOT list_contains({ranked}, e)))), 1, 2)"
 
 
 def tagged(sql: str, source: str, tag: str) -> str:

@@ -27,12 +27,12 @@ SELECT pr.entity, pr.date, {r6('y_pred', 'y_pred')}, regime, {r6('volatility', '
     lambda s, d: rounded(U.with_panel(predictions(s, d).select(*KEY, "y_pred"), regime_panel(s, d), "regime", "volatility")))
 query("p21_discovered_factors", f"WITH {FS} " + " UNION ALL ".join(f"SELECT '{x}' AS factor, count({x}) AS n FROM fs" for x in XS if x != "amp_std"))(
     lambda s, d: (lambda z: z.unpivot(KEY, U.discovered(z, without=("amp_std",)), "factor", "x").groupBy("factor").agg(F.count("x").alias("n")))(standard(s, d)))
-query("s18_to_fetch", """WITH done AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) || '_1995-01-01_1995-03-31' AS key FROM lineitem WHERE l_shipdate >= '1995-01-01' AND l_shipdate < '1995-04-01')
-SELECT s_suppkey AS entity, CAST(s_suppkey AS VARCHAR) || '_1995-01-01_1995-03-31' AS key FROM supplier WHERE CAST(s_suppkey AS VARCHAR) || '_1995-01-01_1995-03-31' NOT IN (SELECT key FROM done)""")(
+query("s18_to_fetch", """WITH done AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) || '_1995-01-01_1995-01-03' AS key FROM lineitem WHERE l_shipdate >= '1995-01-01' AND l_shipdate < '1995-01-04')
+SELECT s_suppkey AS entity, CAST(s_suppkey AS VARCHAR) || '_1995-01-01_1995-01-03' AS key FROM supplier WHERE CAST(s_suppkey AS VARCHAR) || '_1995-01-01_1995-01-03' NOT IN (SELECT key FROM done)""")(
     lambda s, d: U.to_fetch(
         table(s, d, "supplier").select(F.col("s_suppkey").alias("entity")),
-        table(s, d, "lineitem").where("l_shipdate >= '1995-01-01' AND l_shipdate < '1995-04-01'").select(U.cache_key(F.col("l_suppkey"), "1995-01-01", "1995-03-31").alias("key"), F.lit("done").alias("status")).distinct(),
-        "1995-01-01", "1995-03-31").select("entity", "key"))
+        table(s, d, "lineitem").where("l_shipdate >= '1995-01-01' AND l_shipdate < '1995-01-04'").select(U.cache_key(F.col("l_suppkey"), "1995-01-01", "1995-01-03").alias("key"), F.lit("done").alias("status")).distinct(),
+        "1995-01-01", "1995-01-03").select("entity", "key"))
 
 
 def two_runs(s: SparkSession, d: str) -> DataFrame:

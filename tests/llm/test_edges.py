@@ -69,7 +69,7 @@ def test_pii(docs):
 
 def test_toxicity(docs, spark):
     model = toxicity.fit(docs, labels(spark), ~toxicity.held_out())
-    got = toxicity.score(docs, model).toPandas()
+    got = docs.select("doc_id", toxicity.scored(F.col("text"), model).alias("score")).toPandas()
     assert len(got) == docs.count() and got.score.between(0, 1).all()
     assert toxicity.clean_documents(docs, model).columns == docs.columns
 
@@ -125,9 +125,15 @@ def test_cover_tree(spark):
     assert cover_tree.join(df.limit(0), 0.9).count() == 0
 
 
-def test_stages_keep_columns(spark, tmp_path):
+@pytest.mark.parametrize("own", [[], [*OWN, "_word", "_mask", "_at", "_marked", "_row", "_id", "p", "found", "h", "host_rejected", "y"]])
+def test_stages_keep_columns(spark, tmp_path, own):
     labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
     for rows in (ROWS, []):
         docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        docs = docs.withColumns({c: F.lit("own") for c in own}) if own else docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns
+            assert all(r[c] == "own" for r in out.collect() for c in own), name
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert pieces.count() >= len(rows)

@@ -4,15 +4,20 @@ A document is the set of its word shingles (64-bit hashes). Shingles are hashed
 group are a point, and for two points the sum of the coordinates' minima bounds the overlap from above. R-trees over such
 points find the pairs whose bound reaches the threshold; the surviving pairs are verified on the sets themselves.
 
-One tree over a corpus would compare nearly every page with every other, so the index is a forest. Two sets that reach
-the threshold differ in at most d shingles. Cut the hash range into m > d bands: at least m - d bands hold the same
-shingles in both. Of its m (band, content) tokens a set offers the d + 1 fullest ones, an order that all sets share, so a
-qualifying pair has one in common. A tree is built for each token that two different sets offer; tokens with the same
-members share a tree, and a token with many members is cut into tiles, each pair of tiles being a task's work.
-
-Only connectivity is kept: equal sets are one vertex; a tree gives a spanning forest of its surviving pairs, strongest
-first. After verification and components, trees that still hold several components give all their surviving pairs
-between components, which are verified too. So no link between components is missed and no group is expanded into pairs.
+One tree over a corpus would compare nearly every page with every other, so the points get one more axis, and every task
+has a tree over its stretch of it. Two sets that reach the threshold differ in at most d shingles. Cut the hash range into
+m > d bands: at least m - d bands hold the same shingles in both. Of its m (band, content) tokens a set offers the d + 1
+fullest ones, an order that all sets share, so a qualifying pair has one in common. The tokens that two different sets
+offer are the axis (tokens with the same members are one): a tree holds some ten thousand points, sorted by token, size and
+counts, and is traversed against itself from the root, level by level; two nodes are dropped where their tokens don't meet,
+their sizes are too far apart, or the sum of the minima of their largest counts is below the threshold for their smallest
+sizes. A token with many members is cut into tiles, and each pair of tiles is dealt out by itself.
+
+Only connectivity is kept: equal sets are one vertex; a token gives a spanning forest of its surviving pairs, strongest
+first. After verification and components, tokens that still hold several components are looked at again: each document
+gives its strongest surviving pairs with other components, a few at first and eight times as many in every next round, until
+a token has given all that it has. So no link between components is missed, pairs within a component are never listed, and
+more pairs than a few a document are given only where the ones before were no links.
 
 Defined cases: null or empty text has no shingles and links with nothing; fewer words than a shingle are one shingle;
 rows that share a doc_id are one vertex; a null doc_id links with nothing and has a null component; an empty table gives
@@ -22,6 +27,7 @@ an empty result; other columns are ignored (and kept by one_of_each()).
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER_ASCII, WORDS, components, durable, texts, with_ids, without_ids
+from .common import UPPER_ASCII, WORDS, components, durable, each_text, free_name, with_ids, without_ids
 
-GROUPS, COARSE, LEAF, TILE, LISTED = 256, 16, 32, 256, 64
+GROUPS, COARSE, FAN, TILE, LISTED = 256, 16, 8, 256, 64
+#: A token is hot if so many of one in HOT_OF documents offer it; its members aren't gathered to be named.
+HOT_SEEN, HOT_OF = 32, 1024
 U = np.uint64
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=U)
 
@@ -45,7 +53,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingles:
-    """Sets of shingle hashes of texts; remembers words' hashes, up to a quarter million."""
+    """Sets of shingle hashes of texts; remembers words' hashes, up to 50,000."""
 
     def __init__(self, k: int):
         self.k, self.seen = k, {}
@@ -55,7 +63,7 @@ class Shingles:
         words, seen = WORDS.findall(text), self.seen
         if not words:
             return np.empty(0, U)
-        if len(seen) > 250_000:
+        if len(seen) > 50_000:
             seen.clear()
         for w in set(words).difference(seen):
             seen[w] = xxhash.xxh3_64_intdigest(w.translate(UPPER_ASCII).encode("utf-8", "surrogatepass"))
@@ -111,40 +119,31 @@ def point(h: np.ndarray) -> bytes:
     return np.bincount((h & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u2" if len(h) < 65536 else "<u4").tobytes()
 
 
-def features(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (doc_id, n, fp, vec): set size, fingerprint of the set, count vector."""
+def features(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """Rows (doc_id, n, fp, vec, keys): set size, fingerprint of the set, count vector, and the tokens that it offers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingles(k)
+        make, limit = Shingles(k), Threshold(p, q)
         for b in batches:
-            n, fp, vec = [], [], []
-            for t in texts(b):
+            n, fp, vec, keys = [], [], [], []
+            for t in each_text(b.column(1)):
                 h = make(t)
                 n.append(len(h))
                 fp.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 vec.append(point(h))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(vec, pa.binary())], names=["doc_id", "n", "fp", "vec"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fp binary, vec binary")
-
+                keys.append(limit.tokens(h).view(np.int64))
+            cols = [pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(vec, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n", "fp", "vec", "keys"])
 
-def offers(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """Rows (key, doc): the tokens that the documents offer."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, limit = Shingles(k), Threshold(p, q)
-        for b in batches:
-            keys = [limit.tokens(make(t)) for t in texts(b)]
-            if keys:
-                ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(x) for x in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids)], names=["key", "doc"])
-
-    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return ids.mapInArrow(run, "key long, doc long")
+    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return few.mapInArrow(run, "doc_id long, n long, fp binary, vec binary, keys array<long>")
 
 
 def shared(offered: DataFrame) -> DataFrame:
-    """Rows (bucket, doc) for keys that two documents offer at least. Keys with the same few members have one bucket."""
+    """Rows (bucket, doc) for keys that two documents offer at least. Keys with the same few members have one bucket.
+
+    offered: rows (key, doc). Hot keys are found on a sample of the documents, and their rows stay where they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.int64)
@@ -184,143 +183,180 @@ def shared(offered: DataFrame) -> DataFrame:
                 keys, docs, hot = none, none, keys[-1]
         yield table(*ended(keys, docs))
 
-    return offered.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "bucket long, doc long").distinct()
+    few = offered.where(F.pmod(F.xxhash64("doc"), F.lit(HOT_OF)) == 0).groupBy("key").count().where(F.col("count") >= HOT_SEEN)
+    hot_keys = durable(few.select("key", F.lit(True).alias("hot")), "hot")
+    marked = offered.join(hot_keys, "key", "left") if not hot_keys.isEmpty() else offered.withColumn("hot", F.lit(None).cast("boolean"))
+    rest = marked.where("hot is null").select("key", "doc").repartition("key").sortWithinPartitions("key", "doc")
+    named = rest.mapInArrow(run, "bucket long, doc long")
+    return named.unionByName(marked.where("hot").select(F.col("key").alias("bucket"), "doc")).distinct()
 
 
 class Tree:
-    """R-tree over count vectors, packed by sort and tile; finds the pairs whose bound reaches the threshold."""
-
-    def __init__(self, vec: np.ndarray, n: np.ndarray, limit: Threshold):
-        self.vec, self.n, self.limit = vec, n, limit
-        coarse = vec.reshape(len(vec), GROUPS // COARSE, COARSE).sum(1)
-        order = np.argsort(n, kind="stable")
-        axes = np.argsort(-coarse.var(0), kind="stable")
-        self.leaves: list[np.ndarray] = []
-        self.tile(order, coarse, axes, 0)
-        self.levels = [[(coarse[x].max(0), n[x].min(), n[x].max()) for x in self.leaves]]
-        while len(self.levels[-1]) > 1:
+    """R-tree over the points of a task, packed by sorting; finds the pairs of one token whose bound reaches the threshold.
+
+    token: dense numbers, ascending; vec: counts by group; n: set sizes; tile, across: where across holds, only pairs of
+    different tiles count. visited and pruned count the pairs of nodes that the traversal came to and dropped.
+    """
+
+    def __init__(self, token: np.ndarray, n: np.ndarray, vec: np.ndarray, tile: np.ndarray, across: np.ndarray, limit: Threshold):
+        self.vec, self.n, self.tile, self.across, self.limit = vec, n, tile, across, limit
+        self.visited = self.pruned = 0
+        coarse = vec.reshape(len(vec), GROUPS // COARSE, COARSE).sum(1, dtype=np.int64)
+        self.order = np.lexsort((n, tile, token))
+        first = np.flatnonzero(np.r_[True, np.diff(token[self.order]) > 0, True])
+        for s, e in zip(first[:-1], first[1:], strict=True):
+            if e - s > FAN:  # large ones are cut by size, then by the counts that vary most
+                rows = self.order[s:e]
+                self.order[s:e] = self.cut(rows, coarse, np.argsort(-coarse[rows].var(0), kind="stable"), 0)
+        o = self.order
+        self.levels = [(token[o], token[o], n[o], n[o], coarse[o])]
+        while len(self.levels[-1][0]) > 1:
             low = self.levels[-1]
-            self.levels.append([tuple(f([e[i] for e in low[j : j + 4]], axis=0) for i, f in enumerate((np.max, np.min, np.max))) for j in range(0, len(low), 4)])
-
-    def tile(self, rows: np.ndarray, coarse: np.ndarray, axes: np.ndarray, depth: int) -> None:
-        if len(rows) <= LEAF:
-            self.leaves.append(rows)
-            return
-        half = len(rows) // 2
-        order = rows if depth == 0 else rows[np.argsort(coarse[rows, axes[(depth - 1) % COARSE]], kind="stable")]
-        self.tile(order[:half], coarse, axes, depth + 1)
-        self.tile(order[half:], coarse, axes, depth + 1)
-
-    def may(self, a: tuple, b: tuple) -> bool:
-        """Whether sets below the two nodes can reach the threshold, by their largest counts and smallest sizes."""
+            at = np.arange(0, len(low[0]), FAN)
+            self.levels.append(tuple(f.reduceat(x, at) for f, x in zip((np.minimum, np.maximum, np.minimum, np.maximum, np.maximum), low, strict=True)))
+
+    def cut(self, rows: np.ndarray, coarse: np.ndarray, axes: np.ndarray, depth: int) -> np.ndarray:
+        """The rows in an order in which neighbours are alike."""
+        if len(rows) <= FAN:
+            return rows
+        by = self.n[rows] if depth == 0 else coarse[rows, axes[(depth - 1) % COARSE]]
+        rows = rows[np.argsort(by, kind="stable")]
+        half = -(-len(rows) // 2 // FAN) * FAN
+        return np.concatenate([self.cut(rows[:half], coarse, axes, depth + 1), self.cut(rows[half:], coarse, axes, depth + 1)])
+
+    def may(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of nodes can hold a pair that reaches the threshold."""
+        lo, hi, least, most, top = self.levels[level]
         limit = self.limit
-        if a[2] * limit.q < limit.p * b[1] or b[2] * limit.q < limit.p * a[1]:
-            return False
-        return bool(limit.enough(np.minimum(a[0], b[0]).sum(), a[1] + b[1]))
+        ok = (lo[a] <= hi[b]) & (lo[b] <= hi[a]) & (most[a] * limit.q >= limit.p * least[b]) & (most[b] * limit.q >= limit.p * least[a])
+        at = np.flatnonzero(ok)
+        for s in range(0, len(at), 1 << 15):
+            x = at[s : s + (1 << 15)]
+            ok[x] = limit.enough(np.minimum(top[a[x]], top[b[x]]).sum(1), least[a[x]] + least[b[x]])
+        self.visited += len(ok)
+        self.pruned += len(ok) - int(ok.sum())
+        return ok
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(i, j, bound on the similarity), i != j, each pair once."""
+        """(i, j, bound on the similarity), i != j, each pair once, as positions in the arrays given."""
         found = [[], [], []]
-        todo = [(len(self.levels) - 1, 0, 0)]
+        todo = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        fan = np.arange(FAN)
         while todo:
-            level, x, y = todo.pop()
-            nodes = self.levels[level]
-            if not self.may(nodes[x], nodes[y]):
+            level, a, b = todo.pop()
+            if len(a) > 4096:
+                todo += [(level, a[s : s + 4096], b[s : s + 4096]) for s in range(0, len(a), 4096)]
                 continue
             if level:
-                below = len(self.levels[level - 1])
-                kids = lambda z: range(4 * z, min(4 * z + 4, below))  # noqa: E731, B023
-                todo += [(level - 1, s, t) for s in kids(x) for t in kids(y) if s <= t]
+                x = (a[:, None, None] * FAN + fan[None, :, None] + 0 * fan[None, None, :]).ravel()
+                y = (b[:, None, None] * FAN + 0 * fan[None, :, None] + fan[None, None, :]).ravel()
+                ok = (x <= y) & (y < len(self.levels[level - 1][0]))
+                ok &= (x < y) if level == 1 else True
+                x, y = x[ok], y[ok]
+                ok = self.may(level - 1, x, y)
+                if ok.any():
+                    todo.append((level - 1, x[ok], y[ok]))
                 continue
-            r, s = self.leaves[x], self.leaves[y]
-            over = np.minimum(self.vec[r][:, None], self.vec[s][None]).sum(2, dtype=np.int64)
-            total = self.n[r][:, None] + self.n[s][None]
-            ok = self.limit.enough(over, total)
-            if x == y:
-                ok = np.triu(ok, 1)
-            i, j = np.nonzero(ok)
-            for got, part in zip(found, (r[i], s[j], (over / np.maximum(total - over, 1))[i, j]), strict=True):
-                got.append(part)
+            i, j = self.order[a], self.order[b]
+            ok = (i != j) & (~self.across[i] | (self.tile[i] != self.tile[j]))
+            i, j = i[ok], j[ok]
+            for s in range(0, len(i), 1 << 14):
+                r, c = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
+                over = np.minimum(self.vec[r], self.vec[c]).sum(1, dtype=np.int64)
+                total = self.n[r] + self.n[c]
+                ok = self.limit.enough(over, total)
+                for got, part in zip(found, (r, c, over / np.maximum(total - over, 1)), strict=True):
+                    got.append(part[ok])
         return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in found)
 
 
-def forest(i: np.ndarray, j: np.ndarray, strength: np.ndarray, size: int) -> list[int]:
-    """The positions of the pairs of a spanning forest, strongest first."""
-    up = list(range(size))
+class Joined:
+    """Union-find over numbers."""
 
-    def root(x: int) -> int:
+    def __init__(self, size: int):
+        self.up = list(range(size))
+
+    def root(self, x: int) -> int:
+        up = self.up
         while up[x] != x:
             up[x] = x = up[up[x]]
         return x
 
-    out = []
-    a, b = i.tolist(), j.tolist()
-    for at in np.argsort(-strength, kind="stable").tolist():
-        x, y = root(a[at]), root(b[at])
-        if x != y:
-            up[x] = y
-            out.append(at)
-            if len(out) == size - 1:
-                break
-    return out
+    def join(self, a: int, b: int) -> bool:
+        """Whether a and b were apart."""
+        a, b = self.root(a), self.root(b)
+        self.up[a] = b
+        return a != b
+
 
+def stretches(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of batches that are sorted by keys, many at a time, with each row's group number."""
+
+    def out(t: pa.Table, cols: np.ndarray) -> tuple[pa.Table, np.ndarray]:
+        return t, np.cumsum(np.r_[0, (cols[:, 1:] != cols[:, :-1]).any(0)])
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The groups of batches that are sorted by keys; holds one group and a batch at most."""
     held: list[pa.RecordBatch] = []
-    last = None
     for b in batches:
-        if not b.num_rows:
+        held += [b] if b.num_rows else []
+        if sum(x.num_rows for x in held) < least:
             continue
-        cols = np.stack([b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys])
-        cut = np.flatnonzero((cols[:, 1:] != cols[:, :-1]).any(0)) + 1
-        if held and tuple(cols[:, 0]) != last:
-            yield pa.Table.from_batches(held)
-            held = []
-        bounds = [0, *cut.tolist(), b.num_rows]
-        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            held.append(b.slice(s, e - s))
-            if e < b.num_rows:
-                yield pa.Table.from_batches(held)
-                held = []
-        last = tuple(cols[:, -1])
+        t = pa.Table.from_batches(held)
+        cols = np.stack([t[k].to_numpy() for k in keys])
+        whole = int((cols != cols[:, -1:]).any(0).sum())  # the last group may go on
+        if whole:
+            yield out(t.slice(0, whole), cols[:, :whole])
+        held = t.slice(whole).to_batches()
     if held:
-        yield pa.Table.from_batches(held)
+        t = pa.Table.from_batches(held)
+        yield out(t, np.stack([t[k].to_numpy() for k in keys]))
+
 
+def candidates(members: DataFrame, found: DataFrame, p: int, q: int, each: int = 0) -> DataFrame:
+    """Pairs (a, b), a < b, from the trees over members (bucket, doc[, comp]): a spanning forest of the surviving pairs.
 
-def candidates(members: DataFrame, found: DataFrame, p: int, q: int, across: bool) -> DataFrame:
-    """Pairs (a, b), a < b, from the trees over members (bucket, doc[, comp]); across: all that join different comps."""
+    each: instead, that many pairs of a document with other comps; rows (null, bucket) tell of tokens that have more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit = Threshold(p, q)
-        for g in grouped(batches, ["bucket", "ti", "tj"]):
-            n = g["n"].to_numpy()
-            raw = g["vec"].to_pylist()
+        for t, token in stretches(batches, ["bucket", "ti", "tj"]):
+            n, doc, tile, bucket = (t[c].to_numpy() for c in ("n", "doc", "tile", "bucket"))
+            raw = t["vec"].to_pylist()
             wide = max(map(len, raw)) > 2 * GROUPS
-            vec = np.array([np.frombuffer(x, "<u2" if len(x) == 2 * GROUPS else "<u4") for x in raw], dtype=np.uint32 if wide else np.uint16)
-            i, j, strength = Tree(vec.astype(np.int32) if wide else vec, n, limit).pairs()
-            if g["ti"][0] != g["tj"][0]:  # pairs within one tile are the work of that tile
-                tile = g["tile"].to_numpy()
-                ok = tile[i] != tile[j]
-                i, j, strength = i[ok], j[ok], strength[ok]
-            if across:
-                comp = g["comp"].to_numpy()
-                keep = np.flatnonzero(comp[i] != comp[j])
+            vec = np.array([np.frombuffer(x, "<u2" if len(x) == 2 * GROUPS else "<u4") for x in raw], dtype=np.int32 if wide else np.uint16)
+            i, j, strength = Tree(token, n, vec, tile, t["ti"].to_numpy() != t["tj"].to_numpy(), limit).pairs()
+            order = np.lexsort((doc[j], doc[i], -strength))
+            more: set[int] = set()
+            if each:
+                comp = t["comp"].to_numpy()
+                order = order[comp[i[order]] != comp[j[order]]]
+                given, keep = Counter(), []
+                for at, x, y in zip(order.tolist(), i[order].tolist(), j[order].tolist(), strict=True):
+                    if given[x] < each or given[y] < each:
+                        given[x] += 1
+                        given[y] += 1
+                        keep.append(at)
+                    else:
+                        more.add(int(bucket[x]))
             else:
-                keep = np.array(forest(i, j, strength, len(n)), dtype=np.int64)
-            doc = g["doc"].to_numpy()
+                joined = Joined(len(n))
+                keep = [at for at, x, y in zip(order.tolist(), i[order].tolist(), j[order].tolist(), strict=True) if joined.join(x, y)]
+            keep = np.array(keep, dtype=np.int64)
             x, y = doc[i[keep]], doc[j[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            rest = sorted(more)
+            first, second = [*np.minimum(x, y).tolist(), *[None] * len(rest)], [*np.maximum(x, y).tolist(), *rest]
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["a", "b"])
 
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Only tokens with many members are cut into tiles: a short list, which the planner may broadcast by its size.
+    large = durable(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > TILE), "large")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
-    cells = (
-        members.join(sizes, "bucket").withColumn("tile", F.pmod(F.xxhash64("doc"), tiles).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        .withColumn("ti", F.least("tile", "other")).withColumn("tj", F.greatest("tile", "other"))
-        .drop("other", "size")
-        .join(found.select(F.col("doc_id").alias("doc"), "n", "vec"), "doc")
-    )
+    cells = members.withColumns({"tile": F.lit(0), "ti": F.lit(0), "tj": F.lit(0)})
+    if not large.isEmpty():
+        cut = members.join(large, "bucket").withColumn("tile", F.pmod(F.xxhash64("doc"), tiles).cast("int"))
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+        cut = cut.withColumns({"ti": F.least("tile", "other"), "tj": F.greatest("tile", "other")}).select(*cells.columns)
+        cells = cells.join(large.select("bucket"), "bucket", "left_anti").unionByName(cut)
+    cells = cells.join(found.select(F.col("doc_id").alias("doc"), "n", "vec"), "doc")
     placed = cells.repartition("bucket", "ti", "tj").sortWithinPartitions("bucket", "ti", "tj", "doc")
     return placed.mapInArrow(run, "a long, b long").distinct()
 
@@ -331,10 +367,10 @@ def set_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingles(k)
         for b in batches:
-            sets = [make(t).view(np.int64) for t in texts(b)]
+            sets = [make(t).view(np.int64) for t in each_text(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
 
-    few = with_ids(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", ids)
+    few = with_ids(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), "id", ids)
     return few.mapInArrow(run, "id long, set array<long>")
 
 
@@ -347,8 +383,11 @@ def verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 
 
 def join(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id): documents linked at Jaccard similarity p / q or more on k-word shingles."""
-    found = durable(features(docs, k), "features")
+    """Rows (doc_id, n_shingles, component_id): documents linked at Jaccard similarity p / q or more on k-word shingles.
+
+    Texts are read once for all features, and those of candidates once more for their sets.
+    """
+    found = durable(features(docs, k, p, q), "features")
     sets_of = (
         found.where("fp is not null and doc_id is not null").groupBy("fp")
         .agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep < top").select("fp", "rep")
@@ -357,33 +396,52 @@ def join(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     named = found.select("doc_id", "n", "fp").join(copies, "fp", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     named = durable(named, "named")
     extra = named.where("doc_id != rep").select(F.col("doc_id").alias("doc"))
-    members = durable(shared(offers(docs, k, p, q)).join(extra, "doc", "left_anti"), "members")
-    first = durable(candidates(members, found, p, q, across=False), "pairs")
+    offered = without_ids(found.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "keys"), "doc", extra)
+    members = durable(shared(offered.select(F.explode("keys").alias("key"), "doc")), "members")
+    first = durable(candidates(members, found, p, q), "pairs")
     ids = first.select(F.col("a").alias("id")).union(first.select(F.col("b").alias("id"))).distinct()
     if first.isEmpty():
         return named.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"))
     sets = durable(set_table(docs, ids, k), "sets")
     links = durable(verified(first, sets, p, q), "links")
     roots = durable(components(links), "roots")
-    # Trees that still hold several components: only documents that a pair of survivors holds matter.
-    left = members.join(ids.withColumnRenamed("id", "doc"), "doc", "left_semi").join(roots.withColumnRenamed("v", "doc"), "doc", "left")
-    left = durable(left.select("bucket", "doc", F.coalesce("root", "doc").alias("comp")), "left")
-    torn = left.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
-    left = durable(left.join(torn, "bucket", "left_semi"), "torn")
-    if not left.isEmpty():
-        more = candidates(left, found, p, q, across=True).join(first, ["a", "b"], "left_anti")
-        more = durable(verified(more, sets, p, q), "more")
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
+    # Tokens that still hold several components: only documents that a pair of survivors holds matter.
+    left = durable(members.join(ids.withColumnRenamed("id", "doc"), "doc", "left_semi"), "left")
+    each = 2
+    while True:
+        held = left.join(roots.withColumnRenamed("v", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("root", "doc").alias("comp"))
+        torn = held.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
+        held = durable(held.join(torn, "bucket", "left_semi"), "torn")
+        if held.isEmpty():
+            break
+        given = durable(candidates(held, found, p, q, each), "given")
+        new = durable(given.where("a is not null").join(first, ["a", "b"], "left_anti"), "new")
+        if not new.isEmpty():
+            first = first.unionByName(new)
+            more = durable(verified(new, sets, p, q), "more")
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                roots = durable(components(links), "roots")
+        rest = given.where("a is null").select(F.col("b").alias("bucket")).distinct()
+        left, each = durable(held.join(rest, "bucket", "left_semi").select("bucket", "doc"), "left"), each * 8
     roots = roots.select(F.col("v").alias("rep"), "root")
     return named.join(roots, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; rows that repeat a doc_id count once."""
-    classes = durable(join(docs, k, p, q), "classes")
-    gone = classes.where("doc_id != component_id").select("doc_id").distinct()
-    kept = without_ids(docs, "doc_id", gone)
-    if not classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    """docs with one document of each component, that of the smallest doc_id.
+
+    Rows that repeat a doc_id are documents of their own here: those with other texts than the rest stay, unless they are
+    near copies of something. Rows with a null doc_id stay.
+    """
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        classes = durable(join(docs, k, p, q), "classes")
+        return without_ids(docs, "doc_id", classes.where("doc_id != component_id").select("doc_id"))
+    row, id_ = free_name(docs.columns, "_row"), free_name(docs.columns, "_id")
+    rows = durable(docs.withColumn(row, F.monotonically_increasing_id()), "rows")  # numbers hold once they are written
+    keys = F.when(F.col("doc_id").isNotNull(), F.col(row)).alias("doc_id")
+    classes = join(rows.select(keys, "text"), k, p, q).where("doc_id is not null").select(F.col("doc_id").alias(row), "component_id")
+    classes = durable(rows.select(row, F.col("doc_id").alias(id_)).join(classes, row), "classes")
+    first = classes.groupBy("component_id").agg(F.min_by(row, F.struct(id_, row)).alias("first"))
+    gone = classes.join(first, "component_id").where(F.col(row) != F.col("first")).select(row)
+    return without_ids(rows, row, gone).drop(row)

@@ -47,7 +47,8 @@ def series(held: DataFrame, returns: DataFrame, cost_bps: float = 0.0, *by: str,
         before = F.when(F.lag("idx").over(w) == F.col("idx") - 1, F.lag(f"n_{x}").over(w))
         day = day.withColumn(f"overlap_{x}", F.col(f"k_{x}") / F.greatest(F.lit(1), F.col(f"n_{x}"))).withColumn(f"added_{x}", F.col(f"n_{x}") - F.col(f"k_{x}"))
         day = day.withColumn(f"removed_{x}", F.coalesce(before, F.lit(0)) - F.col(f"k_{x}"))
-    day = day.withColumn("ls_gross", F.col("long") - F.col("short")).withColumn("turnover", (1 - F.col("overlap_long")) + (1 - F.col("overlap_short")))
+    # Rounded far below any return, so that equal legs differ by nothing, in whatever order their names are summed.
+    day = day.withColumn("ls_gross", F.round(F.col("long") - F.col("short"), 12)).withColumn("turnover", (1 - F.col("overlap_long")) + (1 - F.col("overlap_short")))
     day = day.where("ls_gross is not null").drop("k_long", "k_short", "n_long", "n_short")
     return with_cost(day, cost_bps)
 

@@ -22,7 +22,7 @@ hh AS (SELECT a.*, idx FROM {held} a JOIN dx USING (date)),
 hk AS (SELECT a.date, a.idx, a.side, a.entity, b.entity IS NOT NULL AS kept, y_true FROM hh a LEFT JOIN hh b ON a.side = b.side AND a.entity = b.entity AND a.idx = b.idx + 1 LEFT JOIN pd ON pd.date = a.date AND pd.entity = a.entity),
 dy AS (SELECT date, idx, avg(y_true) FILTER (side = 'long') AS long, avg(y_true) FILTER (side = 'short') AS short,
   count(*) FILTER (side = 'long') AS nl, count(*) FILTER (side = 'short') AS ns, count(*) FILTER (side = 'long' AND kept) AS kl, count(*) FILTER (side = 'short' AND kept) AS ks FROM hk GROUP BY date, idx),
-se AS (SELECT date, idx, long, short, long - short AS ls_gross, kl / greatest(1, nl) AS overlap_long, ks / greatest(1, ns) AS overlap_short, (1 - kl / greatest(1, nl)) + (1 - ks / greatest(1, ns)) AS turnover,
+se AS (SELECT date, idx, long, short, round(long - short, 12) AS ls_gross, kl / greatest(1, nl) AS overlap_long, ks / greatest(1, ns) AS overlap_short, (1 - kl / greatest(1, nl)) + (1 - ks / greatest(1, ns)) AS turnover,
   nl - kl AS added_long, ns - ks AS added_short, coalesce(lag(nl) OVER (ORDER BY idx), 0) - kl AS removed_long, coalesce(lag(ns) OVER (ORDER BY idx), 0) - ks AS removed_short FROM dy WHERE long - short IS NOT NULL)"""
 OUT = ", ".join(r6(c, c) for c in ("long", "short", "ls_gross", "turnover", "overlap_long", "overlap_short"))
 NET = "round(ls_gross - 5.0 / 10000 * turnover, 6) + 0.0 AS ls_net"

@@ -139,13 +139,15 @@ GRID17 = "SELECT * FROM (VALUES (730), (1095)) a(days), (VALUES (1.0::DOUBLE), (
 def m17(s: SparkSession, d: str) -> DataFrame:
     """Models are fitted once for a window and penalty; the breadths of both legs and the costs come after."""
     all_ = M.model_grid(scores(s, d), ["x"], "y", [730, 1095], [1.0, 5.0], LEAST).select(*KEY, "days", "alpha", F.round("y_pred", 9).alias("y_pred"), F.col("y").alias("y_true")).where("y_true is not null")
-    out = None
-    for days, alpha, n, bottom in LEGS17:
-        part = all_.where((F.col("days") == days) & (F.col("alpha") == alpha))
-        day = P.series(P.legs(part, n, bottom), part).withColumn("cost_bps", F.explode(F.array(F.lit(3.0), F.lit(5.0))))
-        g = P.metrics(P.with_drawdown(P.with_cost(day, F.col("cost_bps")), "cost_bps"), "cost_bps").withColumns({"days": F.lit(days), "alpha": F.lit(alpha), "top_n": F.lit(n), "bottom_n": F.lit(bottom)})
-        out = g if out is None else out.unionByName(g)
-    return rounded(out)
+    cases = s.createDataFrame([(k, *x) for k, x in enumerate(LEGS17)], "id int, days int, alpha double, top_n int, bottom_n int")
+    w = Window.partitionBy("days", "alpha", "date")
+    placed = all_.withColumns({"up": F.row_number().over(w.orderBy(*X.order("y_pred"))), "down": F.row_number().over(w.orderBy(*X.order("y_pred", False)))})
+    sides = F.array_compact(F.array(F.when(F.col("up") <= F.col("top_n"), F.lit("long")), F.when(F.col("down") <= F.col("bottom_n"), F.lit("short"))))
+    held = placed.join(F.broadcast(cases), ["days", "alpha"]).select("id", "date", "entity", F.explode(sides).alias("side"))
+    returns = all_.select("date", "entity", "y_true").distinct()  # a name's return hangs on no model
+    day = P.series(held, returns, 0.0, "id").withColumn("cost_bps", F.explode(F.array(F.lit(3.0), F.lit(5.0))))
+    found = P.metrics(P.with_drawdown(P.with_cost(day, F.col("cost_bps")), "id", "cost_bps"), "id", "cost_bps")
+    return rounded(found.join(F.broadcast(cases), "id").drop("id"))
 
 
 STARTS, SPANS = ("1998-01-01", "1999-01-01", "2000-01-01"), (756, 900, 1008)

@@ -28,10 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable
-from .jaccard_join import grouped
+from .common import components, durable, grouped
 
-SAMPLE, CELLS, BLOCK, LEAST_BLOCKS, LEAF, FAN = 2048, 512, 8192, 20, 256, 48
+SAMPLE, CELLS, BLOCK, LEAST_BLOCKS, LEAF, FAN = 2048, 512, 16384, 12, 256, 48
 #: Bounds by distances are used where they hold with this much to spare; matrix products decide the rest.
 SPARE = 1e-6
 
@@ -179,15 +178,17 @@ class Links:
                 todo += [(k, b) for k in a.children]
 
 
-def unit(rows: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+def unit(rows: pa.Array | pa.ChunkedArray | list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
     """(the vectors at length 1, short ones filled with zeros; their numbers of components)."""
-    dim = np.array([len(r) for r in rows])
+    if isinstance(rows, list):
+        rows = pa.array(rows, pa.list_(pa.float64()))
+    rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
+    flat, dim = rows.flatten().to_numpy(zero_copy_only=False), rows.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     if len(set(dim.tolist())) > 1:
-        x = np.zeros((len(rows), dim.max()))
-        for i, r in enumerate(rows):
-            x[i, : len(r)] = r
+        x = np.zeros((len(dim), dim.max()))
+        x[np.arange(dim.max())[None] < dim[:, None]] = flat
     else:
-        x = np.array(rows, dtype=np.float64)
+        x = flat.reshape(len(dim), -1).astype(np.float64)
     x /= np.abs(x).max(1, keepdims=True)  # so that squares neither vanish nor overflow
     return x / np.sqrt((x * x).sum(1, keepdims=True)), dim
 
@@ -250,7 +251,7 @@ def join(vectors: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in grouped(batches, ["lo", "hi"]):
-            x, dim = unit(g["e"].to_pylist())
+            x, dim = unit(g["e"])
             rep, own = g["rep"].to_numpy(), g["own"].to_numpy()
             links = Links(x, g["w"].to_numpy(), dim, least)
             parts = [build(x, r) for k in np.unique(own) if len(r := np.flatnonzero(own == k))]

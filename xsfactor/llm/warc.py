@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import durable, marked_by, shared_dir
 
 BLOCK = 1 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -124,15 +124,18 @@ def blocks_of(path: str) -> Iterator[bytes]:
 def revisits(pages: DataFrame) -> DataFrame:
     """pages as (page_id, url, html, first): first is the page whose payload a row repeats, or null.
 
-    Payloads don't move: their digests do. Minima combine before the shuffle. The list of repeats goes back by page_id.
+    Digests move, and minima combine before that. The list of repeats goes back by page_id; a bitmap of it tells the other
+    pages apart, whose payloads stay where they are.
     """
     few = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     digests = few.where((F.octet_length("html") >= LEAST_SHARED) & F.col("page_id").isNotNull()).select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
     again = digests.join(firsts, "digest").where("page_id > first").groupBy("page_id", "digest").agg(F.min("first").alias("first"))
-    keys = again.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first")
+    keys = durable(again.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first"), "repeats")
+    marked, flag = marked_by(few, "page_id", keys.select("p"), 24)
     same = (F.col("page_id") == F.col("p")) & (F.sha2(F.col("html").cast("binary"), 256) == F.col("d"))
-    return few.join(keys, same, "left").select("page_id", "url", "html", "first")
+    some = marked.where(flag).drop(flag).join(keys, same, "left").select("page_id", "url", "html", "first")
+    return marked.where(~F.col(flag)).drop(flag).withColumn("first", F.lit(None).cast("long")).unionByName(some)
 
 
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:

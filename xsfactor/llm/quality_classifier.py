@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import one_text_each, sample, texts
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 BITS = 18
@@ -62,7 +62,7 @@ def shape(token: str) -> int:
 
 
 class Grams:
-    """The features of texts; remembers tokens, up to a quarter million."""
+    """The features of texts; remembers tokens, up to 50,000."""
 
     def __init__(self):
         self.seen: dict[str, tuple[int, int]] = {}
@@ -72,7 +72,7 @@ class Grams:
         tokens, seen = TOKEN.findall(text), self.seen
         if not tokens:
             return np.empty(0, np.int64)
-        if len(seen) > 250_000:
+        if len(seen) > 50_000:
             seen.clear()
         for w in set(tokens).difference(seen):
             low = w.lower().encode("utf-8", "surrogatepass")
@@ -130,11 +130,9 @@ def margins(rows: list[np.ndarray], scale: np.ndarray, weights: np.ndarray, bias
 
 def fit(docs: DataFrame, labels: DataFrame, teach: Column, max_fit: int = 12_000, cost: float = 1.0) -> tuple[Model, np.ndarray]:
     """(a model from the labelled rows for which `teach` holds, the scale of the features)."""
-    marked = (
-        labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-        .groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("int").alias("y"))
-    )
-    few = marked.withColumn("doc_id", F.col("id")).where(teach).orderBy(F.xxhash64("id"), "id").limit(max_fit).select("id", "y")
+    marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(teach)
+    few = sample(marked.select(F.col("doc_id").alias("id")), max_fit)
+    marks = marked.groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("int").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Grams()
@@ -142,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, teach: Column, max_fit: int = 12_000
             found = [make(t).astype(np.int32) for t in texts(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["id", "y", "grams"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("id")).select("id", "y", "text")
+    rows = one_text_each(docs, marks.join(F.broadcast(few), "id")).select(F.col("id").cast("long").alias("id"), "y", "text")
     data = rows.mapInArrow(run, "id long, y int, grams array<int>").toArrow()
     order = np.argsort(data["id"].to_numpy(), kind="stable") if len(data) else np.empty(0, int)
     y = data["y"].to_numpy()[order] if len(data) else np.empty(0, int)

@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, jaccard_join, packing, piece_encoding, pii, quality_classifier, quality_rules, sharding, toxicity, warc
+from . import (
+    cover_tree, jaccard_join, line_dedup, packing, piece_encoding, pii, quality_classifier, quality_rules, sharding, spelling, toxicity, warc, whitening,
+)
 from .common import table
 
 
@@ -80,10 +82,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.dedup(docs)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         pipeline, op1_sentencepiece, op2_jaccard_join, op3_pii, op4_toxicity, op5_warc, op6_sharding, op7_quality_classifier,
-        op8_quality_rules, op9_cover_tree, op10_packing,
+        op8_quality_rules, op9_cover_tree, op10_packing, op11_line_dedup, op12_spelling, op13_whitening,
     )
 }
 
@@ -126,6 +142,16 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT pag
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM q)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to FROM f
+""",
+    "op11_line_dedup": """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT rid, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+g AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 AND doc_id IS NOT NULL GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+v AS (SELECT k.*, coalesce(doc_id <> keeper, false) AS gone FROM k LEFT JOIN g USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM v GROUP BY rid
 """,
     "op9_cover_tree": """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),

@@ -152,6 +152,24 @@ v AS (SELECT k.*, coalesce(doc_id <> keeper, false) AS gone FROM k LEFT JOIN g U
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM v GROUP BY rid
+""",
+    "op12_spelling": r"""
+WITH RECURSIVE step AS (SELECT i, i AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM step WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM step WHERE k = 8),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+c AS (SELECT d, run, count(*) AS n, hex(encode(concat(d, ':', run))) AS x FROM runs WHERE length(run) >= 7 GROUP BY d, run),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, [CAST(concat('0x', substr(x, 2 * i + 1, 2)) AS BIGINT) FOR i IN range(length(x) // 2)]),
+        lambda a, b: xor(a // 256, tab[xor(a % 256, b) + 1])), 4294967295) AS h FROM c, tab),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN concat(substr(run, 1, CAST(h % length(run) AS INT)), substr(run, CAST(h % length(run) AS INT) + 2)) ELSE run END AS word FROM h)
+      WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+x AS (SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS cut FROM (SELECT word, n, CAST(unnest(range(1, length(word) + 1)) AS INT) AS i FROM v)),
+p AS (SELECT a.word, a.n, b.word AS form, b.n AS form_n FROM x a JOIN x b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word AND length(a.word) = length(b.word)
+      UNION SELECT v.word, v.n, x.word, x.n FROM v JOIN x ON x.cut = v.word UNION SELECT x.word, x.n, v.word, v.n FROM v JOIN x ON x.cut = v.word),
+b AS (SELECT word, count(*) AS n_near, arg_min(form, (-form_n, form)) AS form, max(form_n) AS form_n, any_value(n) AS n FROM p GROUP BY word),
+f AS (SELECT word, n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n FROM b),
+r AS (SELECT word, word AS at FROM v UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.at WHERE f.form IS NOT NULL),
+e AS (SELECT r.word, r.at FROM r LEFT JOIN f ON f.word = r.at WHERE f.form IS NULL)
+SELECT v.word, v.n, coalesce(f.n_near, 0) AS n_near, f.form, f.form_n, e.at AS root FROM v LEFT JOIN f USING (word) JOIN e USING (word)
 """,
     "op9_cover_tree": """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),

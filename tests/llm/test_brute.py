@@ -18,6 +18,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from test_pii_brute import plain
 from xsfactor.llm import cover_tree, jaccard_join, packing, piece_encoding, pii, quality_rules, sharding, toxicity, warc
+from xsfactor.llm.common import sample
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -180,9 +181,9 @@ def test_pii_leaves_no_planted_value(spark, docs):
             assert m not in got.text[i]
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op4_toxicity", "toxic", (0.95, 0.84, 0.9)), ("op7_quality_classifier", "quality", (0.99, 0.99, 0.99))])
+@pytest.mark.parametrize(("name", "label", "least"), [("op4_toxicity", "toxic", (0.97, 0.9, 0.94)), ("op7_quality_classifier", "quality", (0.99, 0.99, 0.99))])
 def test_classifiers_on_held_out_rows(spark, name, label, least):
-    """Precision, recall and the area under the curve; about one in fifteen toxic documents has no toxic word at all."""
+    """Precision, recall and the area under the curve; one in twenty documents marked toxic has no toxic word at all."""
     sf = "/root/testdata/sf0.1"
     marks = spark.read.parquet(f"{sf}/labels.parquet").toPandas()
     got = entry.queries()[name](spark, sf).toPandas()
@@ -191,27 +192,82 @@ def test_classifiers_on_held_out_rows(spark, name, label, least):
     assert (got.predicted == (got.score >= {"op4_toxicity": 0.5, "op7_quality_classifier": 0.7}[name])).all()
     both = got[got.held_out].merge(marks, on="doc_id").dropna(subset=[label])
     yes, said, rank = both[label] == 1, both.predicted == 1, both.score.rank()
-    area = (rank[yes].sum() - yes.sum() * (yes.sum() + 1) / 2) / (yes.sum() * (~yes).sum())
-    assert (yes & said).sum() / said.sum() >= least[0] and (yes & said).sum() / yes.sum() >= least[1] and area >= least[2]
+    area = lambda yes, rank: (rank[yes].sum() - yes.sum() * (yes.sum() + 1) / 2) / (yes.sum() * (~yes).sum())
+    assert (yes & said).sum() / said.sum() >= least[0] and (yes & said).sum() / yes.sum() >= least[1] and area(yes, rank) >= least[2]
+    lang = both.merge(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id").lang
+    for x in ("en", "de", "fr", "es"):  # a document without a toxic word is one of six in Spanish
+        of = lang == x
+        assert (yes & said & of).sum() / (yes & of).sum() >= 0.8 and area(yes[of], both.score[of].rank()) >= 0.85, x
 
 
 def test_label_model_estimates_accuracies_and_correlations():
-    """Made-up voters of known accuracy, one of them doubled; one mark in ten is wrong, and every other row has none."""
+    """Made-up voters of known accuracy, one of them nearly doubled; one mark in ten is wrong, and every other row has none."""
     rng = np.random.default_rng(1)
     y = rng.random(8000) < 0.2
     speaks = lambda a, b: rng.random(8000) < np.where(y, a, b)
     good = np.array([speaks(0.7, 0.02), speaks(0.6, 0.03), speaks(0.5, 0.05), speaks(0.5, 0.05)]).T
-    votes = np.c_[good, good[:, :1], speaks(0.3, 0.3)].astype(int)
+    twin = np.where(rng.random(8000) < 0.95, good[:, 0], speaks(0.7, 0.02))
+    votes = np.c_[good, twin, speaks(0.3, 0.3)].astype(int)
     marks = np.where(rng.random(8000) < 0.5, -1, np.where(rng.random(8000) < 0.9, y, ~y))
     model = toxicity.LabelModel(votes, marks)
     real = (votes * y[:, None]).sum(0) / votes.sum(0)
-    assert np.abs(model.accuracy - real).max() < 0.2 and abs(model.accuracy[5] - 0.2) < 0.06
-    assert abs(model.mark[0] - 0.9) < 0.12 and abs(model.mark[1] - 0.1) < 0.06
-    twins, strangers = model.covariances()[0][0, 4], np.abs(model.covariances()[0][5, :4]).max()
-    assert twins > 0.1 > strangers
-    wrong = (marks >= 0) & (marks != y) & (votes[:, :4].sum(1) != 0)
-    assert ((model.post > 0.5) == y)[wrong].mean() > 0.8  # the voters overrule wrong marks
-    assert ((model.post > 0.5) == y).mean() > 0.9
+    assert np.abs(model.accuracy - real).max() < 0.1
+    assert abs(model.mark[1] - 0.9) < 0.05 and abs(model.mark[0] - 0.1) < 0.05 and abs(model.share - 0.2) < 0.03
+    assert 0 in (model.parent[4], model.parent[0]) or 4 in (model.parent[4], model.parent[0])  # neighbours in the tree
+    twins, strangers = model.correlation[:, 0, 4].min(), np.abs(model.correlation[:, 5, :4]).max()
+    assert twins > 0.6 and strangers < 0.15
+    wrong = (marks == 0) & y & (votes[:, :4].sum(1) >= 3)
+    assert wrong.sum() > 10 and (model.post > 0.5)[wrong].mean() > 0.9  # voters that agree overrule a wrong mark
+    assert ((model.post > 0.5) == y).mean() > 0.95
+
+
+def test_voters_of_a_minority_do_not_turn():
+    """Nine rows in ten speak one language; in the other three voters go together, and one of them often votes on clean texts."""
+    rng = np.random.default_rng(2)
+    n = 6000
+    small, y = rng.random(n) < 0.1, rng.random(n) < 0.1
+    large = np.array([~small & (rng.random(n) < np.where(y, 0.6, 0.01)) for _ in range(3)])
+    one = small & (rng.random(n) < np.where(y, 0.95, 0.1))
+    two = one & (rng.random(n) < np.where(y, 0.9, 0.05))
+    three = two & (rng.random(n) < 0.6)
+    votes = np.vstack([large, one, two, three]).T.astype(int)
+    marks = np.where(rng.random(n) < 0.5, -1, np.where(rng.random(n) < 0.97, y, ~y))
+    model = toxicity.LabelModel(votes, marks)
+    assert (model.rate[1] >= model.rate[0]).all() and (model.given[1] >= model.given[0]).all()
+    found = model.alone > 0.5
+    assert found[small & y & two].mean() == 1.0 and found[small & ~y & ~two].mean() == 0.0
+    assert (model.accuracy[4:] > 0.8).all()
+
+
+def test_repeated_rows_teach_the_same(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    often = lambda df: df.crossJoin(spark.range(10).select())
+    ids = docs.select(F.col("doc_id").alias("id"))
+    few = {r["id"] for r in sample(ids, 300).collect()}
+    assert len(few) == 300 and few == {r["id"] for r in sample(often(ids), 300).collect()}
+    once, ten = (toxicity.fit(d, x, ~toxicity.held_out()) for d, x in ((docs, labels), (docs, often(labels))))
+    assert once.tokens == ten.tokens and np.abs(once.weights - ten.weights).max() < 1e-9
+
+
+def test_the_toxicity_stage_drops_what_the_score_says(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, ~toxicity.held_out())
+    seen = toxicity.Seen(model.tokens)
+    rows = docs.toPandas()
+    score = {}
+    for i, t in zip(rows.doc_id, rows.text.fillna(""), strict=True):
+        words = set(toxicity.LETTERS.findall(t.lower()))
+        of = Counter(p for w in words for p in toxicity.parts(w) if p in model.tokens)
+        x = np.zeros(len(model.weights))
+        for p, n in of.items():
+            x[model.tokens[p]] = np.log2(n + 1)
+        hits = [max([sum(k in {model.tokens[p] for p in of} for k in ws), *(of.get(next(t for t, a in model.tokens.items() if a == k), 0) for k in stems)]) for stems, ws in model.voters]
+        votes = [int(h >= n) for h in hits for n in (1, 2, 4)] + [int(bool(re.search(p, t))) for p in toxicity.PATTERNS.values()]
+        x[len(model.tokens) :] = [votes[k] for k in model.live]
+        score[i] = 1 / (1 + np.exp(-(x @ model.weights + model.bias)))
+    kept = corpus_pipeline.STAGES[1][1](spark, docs, SF).toPandas()
+    assert set(kept.doc_id) == {i for i, s in score.items() if s < 0.5} and 0 < len(docs.toPandas()) - len(kept) < 120
+    assert seen("") == {}
 
 
 def test_warc(spark):

@@ -1,20 +1,22 @@
 """Toxicity by weak supervision.
 
 Voters look at a text: given word lists, lists induced from labelled rows (a list for each family of words of one stem),
-and patterns. A list votes once for any word of its and once more for several different ones. A generative label model
-holds each class as a mixture of parts, in each of which a voter votes at a rate of its own: so voters may correlate within
-a class as they like (all those of one language, say). The annotators' mark is one more voter, with a reliability for each
-class. EM estimates shares, rates and reliabilities over labelled and unlabelled rows at once. The posterior labels that
-train the classifier come from the voters alone: the mark's evidence is left out of them. The classifier is logistic on
-tokens and votes and scores every text.
-
-Labels induce the lists and are the mark. Fitting takes `max_fit` labelled documents at
-most and as many unlabelled ones (those of smallest hash); lists and classifier know `n_tokens` induced tokens (those that
-tell the classes apart best), so what reaches the driver is bounded. Scoring reads whole texts.
-
-Defined cases: null text is empty and scored like one; of rows that share a doc_id the smallest text is fitted on, and
-rows with a null id aren't; repeated rows are scored alike; without labelled rows of both classes the given word lists
-alone decide; other columns are ignored.
+and patterns. A list votes for one, for two and for four different words of its. Voters that never vote on the fitted rows,
+or always together with another, are left out. A generative label model estimates, over labelled and unlabelled rows at
+once (EM), how often each voter votes on toxic and on clean texts, its correlations with the others in each class, and how
+reliable the annotators' mark is; rows without a mark weigh 0.3 of one with, so that they refine what marks anchor. A vote
+depends on the class and on one other voter: the pairs with most in common given the class make a tree (maximum spanning
+tree of conditional mutual information). Directions are anchored too: whatever its neighbour in the tree says, a vote is
+never likelier on clean texts. The posterior labels, which the marks take part in as one voter of estimated reliability,
+train the classifier: logistic on tokens and votes. It scores every text.
+
+Labels induce the lists and are the mark. Fitting takes `max_fit` labelled documents at most and as many unlabelled ones
+(those of smallest hash); lists and classifier know the tokens that tell the classes apart with a likelihood gain of GAIN,
+`n_tokens` at most, so what reaches the driver is bounded. Scoring reads whole texts.
+
+Defined cases: null text is empty and scored like one; long texts are scored whole; of rows that share a doc_id the smallest
+text is fitted on, and rows with a null id aren't; repeated rows are scored alike; without labelled rows of both classes, or
+tokens that tell them apart, the given word lists alone decide; an empty table gives no scores; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import each_text, one_text_each, sample, texts
 
 LETTERS = re.compile(r"[^\W\d_]+")
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 #: Insults by language.
 INSULTS = {
     "en": "idiot moron stupid loser scum trash pathetic worthless disgusting clown imbecile bastard dumb filth vermin",
@@ -47,18 +49,21 @@ PATTERNS = {
     "shouted": r"(?:\b[^\W\d_a-zß-öø-ÿ]{3,}\b[ ,]*){3}!",
     "hate": r"(?i)\b(?:shut\s+up|go\s+to\s+hell|hate\s+you|kill\s+yourself)\b",
 }
-#: So many different words of a list are several; so many induced lists there are at most, the others' tokens being in the classifier only.
-SEVERAL, LISTS = 3, 16
+#: A list votes for so many different words of its.
+LEVELS = (1, 2, 4)
+#: Natural log of how much likelier a token makes the labels, at least.
+GAIN = 8.0
 
 
 @dataclass
 class Model:
-    """Weights by token (words, and stems written with a leading ^), of the voters, and the bias."""
+    """Weights by token (words, and stems written with a leading ^), of the voters in `live`, and the bias."""
 
     tokens: dict[str, int]
     weights: np.ndarray
     bias: float
     voters: list[tuple[list[int], list[int]]] = field(default_factory=list)
+    live: list[int] = field(default_factory=list)
     label_model: LabelModel | None = field(default=None, repr=False, compare=False)
 
 
@@ -134,70 +139,98 @@ def mine(rows: DataFrame, n_tokens: int, least: int) -> list[tuple[str, float]]:
     top = (
         rows.select("text", "y").mapInArrow(count, "token string, a long, b long").groupBy("token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         .where(F.col("a") + F.col("b") >= least)
-        .select("token", odds.alias("odds"), gain.alias("gain"))
+        .select("token", odds.alias("odds"), gain.alias("gain")).where(F.col("gain") >= GAIN)
         .orderBy(F.desc("gain"), "token").limit(n_tokens).collect()
     )
     return [(r["token"], r["odds"]) for r in top]
 
 
 def build_voters(mined: list[tuple[str, float]], tokens: dict[str, int]) -> list[tuple[list[int], list[int]]]:
-    """(stems, words) by number: the given lists, then one for each of the first LISTS families of induced toxic tokens."""
+    """(stems, words) by number: the given lists, then one for each family of induced toxic tokens."""
     families: dict[str, list[str]] = {}
     for t, odds in mined:
         if odds > 1.0:
             families.setdefault(t.lstrip("^")[: STEMS[0]], []).append(t)
-    lists = [words.split() for words in INSULTS.values()] + list(families.values())[:LISTS]
+    lists = [words.split() for words in INSULTS.values()] + list(families.values())
     return [([tokens[t] for t in x if t[0] == "^"], [tokens[t] for t in x if t[0] != "^"]) for x in lists]
 
 
 def votes_of(counts: dict[int, int], text: str, voters: list[tuple[list[int], list[int]]]) -> list[int]:
-    """For each list whether it has any word, then for each whether several, then the patterns."""
+    """For each list whether it has so many words as a level asks for, then the patterns."""
     hits = [0] * len(voters)
     if counts:
         for k, (stems, words) in enumerate(voters):
             hits[k] = max([sum(i in counts for i in words), *(counts.get(i, 0) for i in stems)])
-    return [int(h > 0) for h in hits] + [int(h >= SEVERAL) for h in hits] + pattern_votes(text)
+    return [int(h >= n) for h in hits for n in LEVELS] + pattern_votes(text)
 
 
 class LabelModel:
-    """A mixture of `parts` for each class, fitted to votes (0 or 1) and marks (1, 0, or -1 without one) by EM.
+    """Voters that depend on the class and, in a tree, on one another; fitted to votes (0 or 1) and marks (1, 0, or -1) by EM.
 
-    post: by row the probability of toxic by the voters alone; accuracy: by voter, of the texts it votes for how many are
-    toxic; mark: how often a toxic and a clean text is marked; share, rate: of each part (the toxic ones first) its share of
-    texts and how often each voter votes.
+    share: of toxic texts; rate: by class and voter, how often it votes; parent: by voter its neighbour towards the root,
+    -1 at a root; given: by class and neighbour's vote, how often it votes; mark: how often a clean and a toxic text is
+    marked; accuracy: by voter, of the texts it votes for how many are toxic; alone, post: by row the probability of toxic
+    by the voters, and with the mark.
     """
 
-    def __init__(self, votes: np.ndarray, marks: np.ndarray, parts: int = 6, rounds: int = 60, weight: float = 5.0):
-        toxic = np.arange(2 * parts) < parts
-        v, has, rng = votes.astype(float), marks >= 0, np.random.default_rng(0)
-        # To begin with: what is marked, or without a mark what three voters vote for; parts at random.
-        start = np.choose(marks + 1, [np.where(votes.sum(1) >= 3, 0.7, 0.05), 0.05, 0.9])[:, None]
-        resp = np.hstack([rng.dirichlet(np.full(parts, 0.3), len(v)) * p for p in (start, 1 - start)])
-        for _ in range(rounds):
-            size, hits, post = resp.sum(0), resp.T @ v, resp[:, toxic].sum(1)
-            self.share = (size + 1) / (size.sum() + len(size))
-            self.rate = np.empty_like(hits)
-            for c in (toxic, ~toxic):  # a small part falls back on its class
-                of_class = (hits[c].sum(0) + 0.5) / (size[c].sum() + 1)
-                self.rate[c] = (hits[c] + weight * of_class) / (size[c][:, None] + weight)
-            self.mark = [float((w[has] @ (marks[has] == 1) + 1) / (w[has].sum() + 2)) for w in (post, 1 - post)]
-            alone = np.log(self.share) + v @ (np.log(self.rate) - np.log(1 - self.rate)).T + np.log(1 - self.rate).sum(1)
-            a, b = self.mark
-            z = alone + np.choose(marks + 1, [0.0, np.log((1 - a) / (1 - b)), np.log(a / b)])[:, None] * toxic
-            resp = np.exp(z - z.max(1, keepdims=True))
-            resp /= resp.sum(1, keepdims=True)
-        e = np.exp(alone - alone.max(1, keepdims=True))
-        self.post = e[:, toxic].sum(1) / e.sum(1)
+    def __init__(self, votes: np.ndarray, marks: np.ndarray, rounds: int = 60, weight: float = 4.0, least: float = 3.0, unmarked: float = 0.3):
+        v, has = votes.astype(float), marks >= 0
+        self.post = np.choose(marks + 1, [0.02 + 0.28 * v.any(1), 0.02, 0.9])
+        for k in range(rounds):
+            by_class = np.stack([1 - self.post, self.post]) * np.where(has, 1.0, unmarked)
+            if k in (0, 5):  # then it stays, so that EM converges
+                self.parent = self.tree(v, by_class, least)
+                neighbour = np.where(self.parent >= 0, v[:, np.maximum(self.parent, 0)], 0.0)
+            size = by_class.sum(1)
+            self.share = float((size[1] + 1) / (size.sum() + 2))
+            self.rate = (by_class @ v + 0.5) / (size[:, None] + 1)
+            self.rate[1] = np.maximum(*self.rate)
+            self.given = np.empty((2, 2, v.shape[1]))
+            for c in (0, 1):
+                for said in (0, 1):  # a rare case falls back on the voter's rate
+                    w = by_class[c][:, None] * (neighbour == said)
+                    self.given[c, said] = ((w * v).sum(0) + weight * self.rate[c]) / (w.sum(0) + weight)
+            self.given[:, 1][:, self.parent < 0] = self.given[:, 0][:, self.parent < 0]
+            self.given[1] = np.maximum(*self.given)
+            self.given = self.given.clip(1e-6, 1 - 1e-6)
+            self.mark = [float((w[has] @ (marks[has] == 1) + 1) / (w[has].sum() + 2)) for w in by_class]
+            likely = lambda c: np.log(np.where(v == 1, *(np.where(neighbour == 1, f(1), f(0)) for f in (lambda s: self.given[c, s], lambda s: 1 - self.given[c, s])))).sum(1)  # noqa: B023, E731
+            z = np.log(self.share / (1 - self.share)) + likely(1) - likely(0)
+            b, a = self.mark
+            self.alone = 1 / (1 + np.exp(-z.clip(-40, 40)))
+            self.post = 1 / (1 + np.exp(-(z + np.choose(marks + 1, [0.0, np.log((1 - a) / (1 - b)), np.log(a / b)])).clip(-40, 40)))
         self.accuracy = self.post @ v / np.maximum(v.sum(0), 1e-9)
-
-    def covariances(self) -> np.ndarray:
-        """Of the voters within the toxic and within the clean class, as the parts have them."""
-        half, out = len(self.share) // 2, []
-        for c in (slice(0, half), slice(half, None)):
-            p, r = self.share[c] / self.share[c].sum(), self.rate[c]
-            off = r - p @ r
-            out.append((off * p[:, None]).T @ off)
-        return np.array(out)
+        self.correlation = np.array([self.correlated(v, w) for w in (1 - self.post, self.post)])
+
+    @staticmethod
+    def correlated(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Pairwise, within the class that w weighs the rows for."""
+        mean = w @ v / w.sum()
+        off = v - mean
+        cov = (off * w[:, None]).T @ off / w.sum()
+        sd = np.sqrt(np.diag(cov)) + 1e-9
+        return cov / np.outer(sd, sd)
+
+    @staticmethod
+    def tree(v: np.ndarray, by_class: np.ndarray, least: float) -> np.ndarray:
+        """Parents in the maximum spanning tree of the voters' mutual information given the class (edges below least: none)."""
+        n = v.shape[1]
+        shared = np.zeros((n, n))
+        for w in by_class:
+            size = w.sum()
+            one, both = (w @ v + 0.5) / (size + 1), ((v * w[:, None]).T @ v + 0.25) / (size + 1)
+            for p, q, joint in ((one, one, both), (one, 1 - one, one[:, None] - both), (1 - one, one, one - both), (1 - one, 1 - one, 1 - one[:, None] - one + both)):
+                joint = joint.clip(1e-9)
+                shared += size * joint * np.log(joint / np.outer(p, q))
+        parent, inside, best = np.full(n, -1), np.zeros(n, dtype=bool), np.full(n, -1e18)
+        for _ in range(n):
+            j = int(np.argmax(np.where(inside, -np.inf, best)))
+            inside[j] = True
+            if best[j] < least:
+                parent[j] = -1
+            nearer = ~inside & (shared[j] > best)
+            best[nearer], parent[nearer] = shared[j][nearer], j
+        return parent
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
@@ -213,18 +246,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25)
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, teach: Column, max_fit: int = 10_000, n_tokens: int = 320, least: int = 4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, teach: Column, max_fit: int = 10_000, n_tokens: int = 1000, least: int = 4) -> Model:
     """A model from the rows for which `teach` holds (a condition on doc_id)."""
     marked = labelled(docs, labels, teach, max_fit)
     mined = mine(marked, n_tokens, least)
     names = dict.fromkeys([*(w for ws in INSULTS.values() for w in ws.split()), *(t for t, _ in mined)])
     tokens = {t: i for i, t in enumerate(names)}
     voters = build_voters(mined, tokens)
-    size = len(tokens) + 2 * len(voters) + len(PATTERNS)
     if not mined:
-        given = np.zeros(size)
-        given[len(tokens) : len(tokens) + len(INSULTS)] = 4.0
-        return Model(tokens, given, -3.0, voters)
+        live = [k * len(LEVELS) for k in range(len(INSULTS))]
+        return Model(tokens, np.r_[np.zeros(len(tokens)), np.full(len(live), 4.0)], -3.0, voters, live)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen(tokens)
@@ -239,28 +270,31 @@ def fit(docs: DataFrame, labels: DataFrame, teach: Column, max_fit: int = 10_000
     data = data.sort_by("id")  # results don't hang on the order in which tasks end
     marks = data["y"].fill_null(-1).to_numpy().astype(np.int64)
     votes = np.array(data["votes"].to_pylist(), dtype=np.int64)
-    x = np.zeros((len(data), size), dtype=np.float32)
+    _, first = np.unique(votes, axis=1, return_index=True)
+    live = sorted(int(k) for k in first if votes[:, k].any())
+    x = np.zeros((len(data), len(tokens) + len(live)), dtype=np.float32)
     for i, (at, times) in enumerate(zip(data["tokens"].to_pylist(), data["times"].to_pylist(), strict=True)):
         x[i, at] = np.log2(np.add(times, 1))
-    x[:, len(tokens) :] = votes
-    model = LabelModel(votes, marks)
+    x[:, len(tokens) :] = votes[:, live]
+    model = LabelModel(votes[:, live], marks)
     weights, bias = logistic(x, model.post)
-    return Model(tokens, weights, bias, voters, model)
+    return Model(tokens, weights, bias, voters, live, model)
 
 
 def score_text(text: str, model: Model, seen: Seen) -> float:
     counts = seen(text)
     z = model.bias + sum(model.weights[i] * np.log2(n + 1) for i, n in counts.items())
-    z += float(np.dot(model.weights[len(model.tokens) :], votes_of(counts, text, model.voters)))
+    votes = votes_of(counts, text, model.voters)
+    z += float(np.dot(model.weights[len(model.tokens) :], [votes[k] for k in model.live]))
     return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
 def scored(text: Column, model: Model) -> Column:
     """The score of a text, 0 to 1. Only texts go to Python, and only scores come back."""
-    tokens, weights, bias, voters = model.tokens, model.weights, model.bias, model.voters
+    tokens, weights, bias, voters, live = model.tokens, model.weights, model.bias, model.voters, model.live
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = Model(tokens, weights, bias, voters)
+        own = Model(tokens, weights, bias, voters, live)
         seen = Seen(tokens)
         for b in batches:
             yield pa.array((score_text(t, own, seen) for t in each_text(b)), pa.float64(), size=len(b))

@@ -70,17 +70,18 @@ def elastic_net(n: float, st: np.ndarray, alpha: float, l1: float, rounds: int =
     return np.r_[my - mx @ beta, beta]
 
 
-def solved(df: DataFrame, alpha: Column | float, least: float, scaled: bool = False, l1: float | None = None) -> DataFrame:
+def solved(df: DataFrame, alpha: Column | float, least: float, scaled: bool = False, l1: Column | float | None = None) -> DataFrame:
     """df with the coefficients `beta` where there are enough rows; one Arrow UDF over a row a date and setting."""
 
     @F.pandas_udf("array<double>")
-    def solve(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for n, st, a in batches:
-            one = lambda n, s, a: ridge(n, np.asarray(s), a, scaled) if l1 is None else elastic_net(n, np.asarray(s), a, l1)
-            yield pd.Series([one(*v) for v in zip(n, st, a, strict=True)])
+    def solve(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            one = lambda n, s, a, b: ridge(n, np.asarray(s), a, scaled) if plain else elastic_net(n, np.asarray(s), a, b)
+            yield pd.Series([one(*v) for v in zip(*batch, strict=True)])
 
-    a = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
-    return df.where(F.col("n") >= least).withColumn("beta", solve("n", "st", a)).drop("st")
+    plain = l1 is None
+    a, b = (x if isinstance(x, Column) else F.lit(float(x or 0.0)) for x in (alpha, l1))
+    return df.where(F.col("n") >= least).withColumn("beta", solve("n", "st", a, b)).drop("st")
 
 
 def predicted(df: DataFrame, betas: DataFrame, xs: list[str], *by: str) -> DataFrame:
@@ -106,13 +107,36 @@ def walk_forward_by_regime(df: DataFrame, factors: dict[str, list[str]], y: str,
     return out
 
 
-def model_grid(df: DataFrame, xs: list[str], y: str, windows: list[int], alphas: list[float], least: int) -> DataFrame:
-    """Predictions for each window and penalty; the dates' sums are made once for a window."""
-    parts = None
-    for days in windows:
-        w = windowed(df, xs, y, days).withColumn("days", F.lit(days)).withColumn("alpha", F.explode(F.array(*map(F.lit, map(float, alphas)))))
-        parts = w if parts is None else parts.unionByName(w)
-    return predicted(df, solved(parts, F.col("alpha"), least), xs)
+def windowed_many(df: DataFrame, xs: list[str], y: str, windows: list[int], *by: str) -> DataFrame:
+    """windowed() for several windows at once, with the column days: one scan, the dates' sums exploded by window."""
+    p = len(xs)
+    size = 2 * p + 2 + p * p
+    # One pass: dates without complete rows have null sums.
+    full = F.lit(True)
+    for c in (*xs, y):
+        full = full & F.col(c).isNotNull()
+    one = lambda c: F.sum(F.when(full, c))
+    parts = [one(F.col(x)) for x in xs] + [one(F.col(y))] + [one(F.col(a) * F.col(b)) for a in xs for b in xs] + [one(F.col(a) * F.col(y)) for a in xs] + [one(F.col(y) * F.col(y))]
+    daily = df.groupBy(*by, "date").agg(F.count_if(full).cast("double").alias("n"), *(c.alias(f"_{k}") for k, c in enumerate(parts)))
+    each = daily.withColumn("days", F.explode(F.array(*map(F.lit, windows))))
+    # A frame's width is a constant, so each window's sums come from its own frame, and a row takes that of its own.
+    frame = lambda days: Window.partitionBy(*by, "days").orderBy(F.unix_date("date")).rangeBetween(-days, -1)
+
+    def total(c: str) -> Column:
+        out = F.lit(None).cast("double")
+        for days in windows:
+            out = F.when(F.col("days") == days, F.sum(c).over(frame(days))).otherwise(out)
+        return F.coalesce(out, F.lit(0.0))
+
+    return each.select(*by, "date", "days", total("n").alias("n"), F.array(*(total(f"_{k}") for k in range(size))).alias("st"))
+
+
+def model_grid(df: DataFrame, xs: list[str], y: str, windows: list[int], alphas: list[float], least: int, l1s: list[float] | None = None) -> DataFrame:
+    """Predictions for each window and penalty (and l1 share); the dates' sums are made once."""
+    parts = windowed_many(df, xs, y, windows).withColumn("alpha", F.explode(F.array(*map(F.lit, map(float, alphas)))))
+    if l1s is None:
+        return predicted(df, solved(parts, F.col("alpha"), least), xs)
+    return predicted(df, solved(parts.withColumn("l1", F.explode(F.array(*map(F.lit, map(float, l1s))))), F.col("alpha"), least, l1=F.col("l1")), xs)
 
 
 def model_grid_by_regime(df: DataFrame, factors: dict[str, list[str]], y: str, windows: list[int], alphas: list[float], least: int = 800) -> DataFrame:
@@ -197,16 +221,6 @@ def diagnostics(daily: DataFrame, *by: str, few: int = 15) -> DataFrame:
     )
 
 
-def boosted(train: DataFrame, test: DataFrame, xs: list[str], y: str, trees: int = 200, rate: float = 0.05, depth: int = 3, seed: int = 7) -> DataFrame:
-    """M7: gradient boosting of squared error."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    put = VectorAssembler(inputCols=xs, outputCol="_x")
-    model = GBTRegressor(featuresCol="_x", labelCol=y, predictionCol="y_pred", maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed).fit(put.transform(train.dropna(subset=[*xs, y])))
-    return model.transform(put.transform(test.dropna(subset=xs))).drop("_x")
-
-
 def scenario_rows(parameters: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """A row for every setting; those without predictions have no metrics and 0 days."""
     return parameters.join(found, keys, "left").withColumn("n_days", F.coalesce("n_days", F.lit(0).cast("long")))

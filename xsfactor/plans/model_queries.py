@@ -9,6 +9,7 @@ from ..operators import cross as X
 from ..operators import models as M
 from ..operators import portfolio as P
 from ..operators import stats as S
+from ..operators import walk as W
 from . import sql_models as Q
 from .catalog import query, r6, rounded
 from .factor_queries import GAUSS, KEY, PRED, Z, momenta, predictions
@@ -58,14 +59,25 @@ def m3(s: SparkSession, d: str) -> DataFrame:
 
 
 query("m4_scaled_ridge", f"WITH {FS}, {Q.walk_forward('fs', XS, 'fwd', DAYS, 1.0, max(LEAST, 15 * len(XS)), scaled=True)} SELECT entity, date, {r6('p', 'y_pred')} FROM pp")(lambda s, d: rounded(M.walk_forward(standard(s, d), XS, "fwd", DAYS, 1.0, max(LEAST, 15 * len(XS)), scaled=True).select(*KEY, "y_pred")))
+#: The same model by a factory, fitted on rows: the SQL is that of m4_scaled_ridge.
+query("m4_any_model", f"WITH {FS}, {Q.walk_forward('fs', XS, 'fwd', DAYS, 1.0, max(LEAST, 15 * len(XS)), scaled=True)} SELECT entity, date, {r6('p', 'y_pred')} FROM pp")(lambda s, d: rounded(W.walk_forward(standard(s, d), XS, "fwd", DAYS, W.Ridge, LEAST).select(*KEY, "y_pred")))
+query("m4_robust")(lambda s, d: rounded(W.walk_forward(standard(s, d), XS, "fwd", DAYS, W.Huber, LEAST)))
+query("m4_robust_by_regime")(lambda s, d: rounded(W.walk_forward(standard(s, d, True), OWN, "fwd", DAYS, W.Huber, 100, by="regime")))
 query("m5_elastic_net")(lambda s, d: rounded(M.walk_forward(standard(s, d), XS, "fwd", DAYS, 0.01, LEAST, l1=0.5).select(*KEY, "y_pred")))
 query("m6_ridge_interactions", f"WITH {FX}, {Q.walk_forward('fx', CROSSED, 'fwd', DAYS, 1.0, LEAST)} SELECT entity, date, {r6('p', 'y_pred')} FROM pp")(lambda s, d: rounded(M.walk_forward(X.interactions(standard(s, d), [("mom3_std", "vr_std"), ("mom3_std", "amp_std")]), [*XS, "mom3_std_x_vr_std", "mom3_std_x_amp_std"], "fwd", DAYS, 1.0, LEAST).select(*KEY, "y_pred")))
 
 
+@query("m5_elastic_grid")
+def m5(s: SparkSession, d: str) -> DataFrame:
+    """Penalties x l1 shares, graded as portfolios."""
+    p = M.model_grid(standard(s, d), XS, "fwd", [DAYS], [0.001, 0.01, 0.1], LEAST, [0.1, 0.3, 0.5, 0.7])
+    p = p.select(*KEY, "alpha", "l1", F.round("y_pred", 9).alias("y_pred"), F.col("fwd").alias("y_true"))
+    return rounded(M.graded(p, "alpha", "l1", cost_bps=5.0, year=12.0))
+
+
 @query("m7_boosting")
 def m7(s: SparkSession, d: str) -> DataFrame:
-    rows = standard(s, d).select(*KEY, "fwd", *XS)
-    return rounded(M.boosted(rows.where("date < '2000-01-01'"), rows.where("date >= '2000-01-01'"), XS, "fwd", trees=200).select(*KEY, "y_pred"))
+    return rounded(W.boosted_walk_forward(standard(s, d), XS, "fwd", DAYS, LEAST))
 
 
 SLOPES = f"{XY}, sl AS (SELECT date, count(*) AS n, covar_pop(x, y) / var_pop(x) AS beta, avg(y) - covar_pop(x, y) / var_pop(x) * avg(x) AS alpha, covar_pop(x, y) * covar_pop(x, y) / nullif(var_pop(x) * var_pop(y), 0) AS r2 FROM xy WHERE y IS NOT NULL GROUP BY date HAVING count(*) >= 10 AND var_pop(x) > 0)"

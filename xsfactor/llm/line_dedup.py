@@ -9,6 +9,7 @@ in a sorted part a line that follows another document's is that document's first
 part's largest document. The parts' counts make the keys' verdicts, which go back to parts, never to all rows of a key.
 What comes out is a bitmap of kept lines for each document with a dropped line: words of 64 lines, of which only those
 with a dropped line are stored. Texts meet their bitmaps where they are needed; those without a dropped line don't move.
+Joins are merge joins at every size, as neither side of any is bounded.
 
 Defined cases: null and empty texts are one empty line; rows that share a doc_id are one document (it counts once; their
 lines go or stay alike); lines of a row with a null doc_id neither count nor go; equal lines within a document count once and
@@ -63,8 +64,8 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) ->
     streamed = lines.select(*part, DOC, "pos").repartitionByRange(*part).withColumn("first", first)
     counts = durable(streamed.groupBy(*part).agg(F.sum(F.col("first").cast("long")).alias("n"), F.max(DOC).alias("largest")), "line-counts")
     shared = counts.groupBy("h", "h2").agg(F.sum("n").alias("n"), F.max("largest").alias("keeper")).where(F.col("n") >= least_docs)
-    verdicts = counts.select(*part).join(shared.select("h", "h2", "keeper"), ["h", "h2"])
-    dropped = lines.join(verdicts, part).where(F.col(DOC) != F.col("keeper")).select(DOC, ROW, "pos")
+    verdicts = counts.select(*part).join(shared.select("h", "h2", "keeper").hint("merge"), ["h", "h2"])
+    dropped = lines.join(verdicts.hint("merge"), part).where(F.col(DOC) != F.col("keeper")).select(DOC, ROW, "pos")
     # Rows that are equal have the same bitmap: bits are or-ed, then counted.
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos").bitwiseAND(63))
     words = dropped.groupBy(DOC, ROW, F.shiftright("pos", 6).alias("word")).agg(F.bit_or(bit).alias("gone"))
@@ -103,7 +104,7 @@ def dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, n_lines:
     count = (F.char_length(whole(F.col("text"))) - F.char_length(F.replace(whole(F.col("text")), F.lit("\n"), F.lit(""))) + 1).cast("long")
     still = marked.where(~F.col(flag)).drop(flag).withColumns({n_lines: count, n_dropped: F.lit(0).cast("long"), "text": whole(F.col("text"))})
     on = (F.col(DOC) == F.col(inner[DOC])) & (F.xxhash64(whole(F.col("text"))) == F.col(inner[ROW]))
-    moved = marked.where(flag).drop(flag).join(maps, on, "left")
+    moved = marked.where(flag).drop(flag).join(maps.hint("merge"), on, "left")
     text = F.when(F.col(inner[KEEP]).isNull(), whole(F.col("text"))).otherwise(kept_text(whole(F.col("text")), F.col(inner[KEEP])))
     moved = moved.withColumns({n_lines: count, n_dropped: F.coalesce(n_dropped, F.lit(0).cast("long")), "text": text})
     return still.unionByName(moved.select(*taken, n_lines, n_dropped))

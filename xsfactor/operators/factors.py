@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import lag, lead, rolling, series
 from ..schemas import ratio
+from .scan import moving_average
 
 YEAR = math.sqrt(252.0)
 TINY = 1e-12
@@ -139,17 +140,8 @@ def eligible(df: DataFrame, bars: int = 40) -> DataFrame:
 
 
 def ewma(df: DataFrame, x: str, span: int, out: str) -> DataFrame:
-    """s = a x + (1 - a) s from the entity's first value on; a fold over its values in order of date."""
-    a = 2.0 / (span + 1)
-    rows = F.array_sort(F.collect_list(F.struct("date", F.col(x).alias("x"))))
-    step = lambda s, v: F.struct(
-        F.coalesce(a * v["x"] + (1 - a) * s["s"], v["x"], s["s"]).alias("s"),
-        F.concat(s["out"], F.array(F.struct(v["date"].alias("date"), F.coalesce(a * v["x"] + (1 - a) * s["s"], v["x"], s["s"]).alias(out)))).alias("out"),
-    )
-    kind = dict(df.dtypes)["date"]
-    zero = F.struct(F.lit(None).cast("double").alias("s"), F.array().cast(f"array<struct<date:{kind},{out}:double>>").alias("out"))
-    folded = df.groupBy("entity").agg(F.aggregate(rows, zero, step)["out"].alias("v"))
-    return df.join(folded.select("entity", F.inline("v")), ["entity", "date"])
+    """s = a x + (1 - a) s from the entity's first value on."""
+    return moving_average(df, x, 2.0 / (span + 1), out)
 
 
 def drawdown(x: Column, w: object) -> Column:

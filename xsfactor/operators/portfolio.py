@@ -1,24 +1,22 @@
 """Long/short portfolios from scores (date, entity, y_pred, y_true): policies, their series, and metrics.
 
 Holdings are rows (date, side, entity); sides 'long' and 'short'. Policies whose holdings hang on those of the day before
-are folds over one entry a date (the few best and worst names), so their state is one list of names a side. All settings of
-a grid are folded at once, a group each; costs come after.
+are scans over stretches of dates (see scan.py). All settings of a grid are scanned at once; costs come after.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import durable
 from ..functions.windows import indexed
 from .cross import membership
 from .factors import ewma
-
-HELD = "date date, side string, entity long"
+from .scan import Setting, holdings
 
 
 def legs(scores: DataFrame, top: int, bottom: int, score: str = "y_pred") -> DataFrame:
@@ -112,55 +110,42 @@ def low_frequency(scores: DataFrame, top: int, bottom: int, k: int, cost_bps: fl
     return with_cost(day.withColumn("turnover", (1 - F.col("overlap_long")) + (1 - F.col("overlap_short"))), cost_bps)
 
 
-def hysteresis(scores: DataFrame, n: int, delta: int, score: str = "y_pred") -> DataFrame:
-    """E4 holdings: names stay while they are within n + delta of their end; free places go to the best others.
+def policy_rule(policy: str, n: int, x: object) -> Callable[[set, list, int], Iterable]:
+    """rule(held, ranked names of the side, number of the date) -> names."""
+    rules = {
+        "low_freq": lambda: lambda held, ranked, at: held if at % int(x) else ranked[:n],
+        "hysteresis": lambda: banded(n, int(x)),
+        "combo": lambda: banded(n, int(x[1])),
+        "swap_cap": lambda: swap_capped(n, x),
+    }
+    return rules.get(policy, lambda: lambda held, ranked, at: ranked[:n])()
 
-    The fold sees n + delta names a side and date: no name beyond them can stay or enter.
-    """
-    wide = n + delta
-    m = membership(scores, score, wide, wide)
-    pick = lambda flag, place: F.transform(F.array_sort(F.collect_list(F.when(F.col(flag), F.struct(F.col(place).alias("k"), "entity")))), lambda x: x["entity"])
-    day = m.where("in_long or in_short").groupBy("date").agg(pick("in_long", "place").alias("long"), pick("in_short", "from_end").alias("short"))
-    kind = dict(scores.dtypes)["entity"]
-    none = F.array().cast(f"array<{kind}>")
-    state = F.struct(none.alias("long"), none.alias("short"), F.array().cast(f"array<struct<date:date,long:array<{kind}>,short:array<{kind}>>>").alias("out"))
 
-    def hold(held: Column, ranked: Column) -> Column:
-        stay = F.array_intersect(ranked, held)
-        return F.concat(stay, F.slice(F.array_except(F.slice(ranked, 1, n), stay), 1, F.lit(n) - F.size(stay)))
+def setting(at: int, policy: str, x: object, n: int) -> Setting:
+    variant = {"ema": lambda: f"ema{int(x)}", "combo": lambda: f"ema{int(x[0])}", "swap_cap": lambda: "tracked"}.get(policy, lambda: "plain")()
+    beyond = int(x[1]) if policy == "combo" else int(x) if policy == "hysteresis" else 0
+    return Setting(at, variant, policy_rule(policy, n, x), n + beyond, policy == "swap_cap")
 
-    def step(s: Column, v: Column) -> Column:
-        new = {x: hold(s[x], v[x]) for x in ("long", "short")}
-        entry = F.struct(v["date"].alias("date"), new["long"].alias("long"), new["short"].alias("short"))
-        return F.struct(new["long"].alias("long"), new["short"].alias("short"), F.concat(s["out"], F.array(entry)).alias("out"))
 
-    folded = day.groupBy().agg(F.aggregate(F.array_sort(F.collect_list(F.struct("date", "long", "short"))), state, step)["out"].alias("v"))
-    return folded.select(F.inline("v")).select("date", F.explode(F.create_map(F.lit("long"), "long", F.lit("short"), "short")).alias("side", "held")).select("date", "side", F.explode("held").alias("entity"))
+def ranking(scores: DataFrame, variant: str, score: str = "y_pred") -> DataFrame:
+    return scores.select(F.lit(variant).alias("variant"), "date", "entity", F.col(score).alias("s"))
 
 
-def folded(scores: DataFrame, keys: list[str], rule: Callable[[set, list, tuple], set], score: str = "y_pred") -> DataFrame:
-    """Holdings of any rule(held, ranked names of the side, key) -> names, a fold over dates for each key: E6 and its like."""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scores.select(*keys).schema)
+def hysteresis(scores: DataFrame, n: int, delta: int, score: str = "y_pred") -> DataFrame:
+    """E4 holdings: names stay while they are within n + delta of their end; free places go to the best others."""
+    return holdings(ranking(scores, "plain", score), [setting(0, "hysteresis", delta, n)]).drop("id")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["date", "s", "entity"], ascending=[True, False, True])
-        out, held = [], {"long": set(), "short": set()}
-        for date, day in rows.groupby("date", sort=True):
-            names = day["entity"].tolist()
-            for side, ranked in (("long", names), ("short", names[::-1])):
-                held[side] = rule(held[side], ranked, key)
-                out += [(*key, date, side, e) for e in sorted(held[side])]
-        return pd.DataFrame(out, columns=[*keys, "date", "side", "entity"])
 
-    few = scores.select(*keys, "date", "entity", F.col(score).alias("s"))
-    return few.groupBy(*keys).applyInPandas(run, f"{kinds}, {HELD}")
+def capped(scores: DataFrame, n: int, share: float) -> DataFrame:
+    """E6 holdings."""
+    return holdings(ranking(scores, "tracked"), [setting(0, "swap_cap", share, n)]).drop("id")
 
 
 def swap_capped(n: int, share: float) -> Callable:
     """At most a share of the names go a day (those not quoted last, the worst first) and as many come, the best first;
     places still free are filled from the target."""
 
-    def rule(held: set, ranked: list, key: tuple) -> set:
+    def rule(held: set, ranked: list, at: int) -> set:
         cap = math.ceil(min(max(share, 0.0), 1.0) * n)
         place = {e: i for i, e in enumerate(ranked)}
         target = ranked[:n]
@@ -178,20 +163,15 @@ def swap_capped(n: int, share: float) -> Callable:
 
 
 def banded(n: int, delta: int) -> Callable:
-    """E4 as a rule for folded()."""
+    """E4."""
 
-    def rule(held: set, ranked: list, key: tuple) -> set:
+    def rule(held: set, ranked: list, at: int) -> set:
         stay = [e for e in ranked[: n + delta] if e in held]
         return set(stay + [e for e in ranked[:n] if e not in held][: n - len(stay)])
 
     return rule
 
 
-def seen(scores: DataFrame, n: int) -> DataFrame:
-    """The rows of names that are among the best or the worst n on any date: no other can be held, whatever the rule's state."""
-    return scores.join(legs(scores, n, n).select("entity").distinct(), "entity", "left_semi").select(*scores.columns)
-
-
 def smoothed(scores: DataFrame, span: int) -> DataFrame:
     """E5: scores as moving averages of the entity."""
     return ewma(scores, "y_pred", span, "y_score")
@@ -213,7 +193,7 @@ POLICIES: dict[str, Callable] = {
     "low_freq": lambda s, n, p: every(s, n, n, int(p)),
     "hysteresis": lambda s, n, p: hysteresis(s, n, int(p)),
     "ema": lambda s, n, p: legs(smoothed(s, int(p)), n, n, "y_score"),
-    "swap_cap": lambda s, n, p: folded(seen(s, n).withColumn("k", F.lit(0)), ["k"], swap_capped(n, p)).drop("k"),
+    "swap_cap": lambda s, n, p: capped(s, n, p),
     "combo": lambda s, n, p: hysteresis(smoothed(s, int(p[0])), n, int(p[1]), "y_score"),
 }
 
@@ -225,42 +205,18 @@ def run_policy(scores: DataFrame, policy: str, n: int, parameter: object = None,
     return with_drawdown(series(POLICIES[policy](scores, n, parameter), scores, cost_bps))
 
 
-def listed(scores: DataFrame, wide: int, variant: str, score: str = "y_pred") -> DataFrame:
-    """Rows (variant, date, long, short): the best and the worst names of a date, in order."""
-    m = membership(scores, score, wide, wide)
-    pick = lambda flag, place: F.transform(F.array_sort(F.collect_list(F.when(F.col(flag), F.struct(F.col(place).alias("k"), "entity")))), lambda x: x["entity"])
-    return m.where("in_long or in_short").groupBy("date").agg(pick("in_long", "place").alias("long"), pick("in_short", "from_end").alias("short")).withColumn("variant", F.lit(variant))
-
-
 def grid_holdings(scores: DataFrame, settings: list[tuple[str, object, int]]) -> DataFrame:
-    """Rows (id, date, side, entity) for the settings by their position: one fold over short lists of names, a group a setting.
+    """Rows (id, date, side, entity) for the settings by their position: one scan for all of them.
 
-    Each ranking (plain, a moving average a span, and for swap caps that of all names ever seen) is made once, and of a date
-    only as many names as the widest setting looks at go on.
+    Scores are written once; each ranking (plain, with the places of held names, and a moving average a span) is made once.
     """
-    n_most = max(n for _, _, n in settings)
-    wide = n_most + max([0, *(int(x[1]) if p == "combo" else int(x) for p, x, _ in settings if p in ("hysteresis", "combo"))])
-    of = {"ema": lambda x: f"ema{int(x)}", "combo": lambda x: f"ema{int(x[0])}", "swap_cap": lambda x: "seen"}
-    variants = [of.get(p, lambda x: "plain")(x) for p, x, _ in settings]
+    scores = durable(scores.select("date", "entity", "y_pred"), "scores")
+    own = [setting(i, *x) for i, x in enumerate(settings)]
     lists = None
-    for v in dict.fromkeys(variants):
-        part = listed(seen(scores, n_most), 1 << 30, v) if v == "seen" else listed(smoothed(scores, int(v[3:])), wide, v, "y_score") if v != "plain" else listed(scores, wide, v)
+    for v in dict.fromkeys(x.variant for x in own):
+        part = ranking(smoothed(scores, int(v[3:])), v, "y_score") if v.startswith("ema") else ranking(scores, v)
         lists = part if lists is None else lists.unionByName(part)
-    plan = scores.sparkSession.createDataFrame(list(enumerate(variants)), "id int, variant string")
-    kind = dict(scores.dtypes)["entity"]
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        policy, x, n = settings[key[0]]
-        rule = {"hysteresis": lambda: banded(n, int(x)), "combo": lambda: banded(n, int(x[1])), "swap_cap": lambda: swap_capped(n, x)}.get(policy, lambda: lambda held, ranked, _: set(ranked[:n]))()
-        out, held = [], {"long": set(), "short": set()}
-        for at, row in enumerate(rows.sort_values("date").itertuples(index=False)):
-            for side in held:
-                if policy != "low_freq" or at % int(x) == 0:
-                    held[side] = rule(held[side], list(getattr(row, side)), key)
-                out += [(key[0], row.date, side, e) for e in sorted(held[side])]
-        return pd.DataFrame(out, columns=["id", "date", "side", "entity"])
-
-    return lists.join(F.broadcast(plan), "variant").select("id", "date", "long", "short").groupBy("id").applyInPandas(run, f"id int, date date, side string, entity {kind}")
+    return holdings(lists, own)
 
 
 def grid(scores: DataFrame, settings: list[tuple[str, object, int]], costs: list[float]) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..durable import durable
+from ..functions.windows import indexed
 from ..operators import cross as X
 from ..operators import models as M
 from ..operators import portfolio as P
 from ..operators import stats as S
 from ..operators import walk as W
+from ..operators.scan import Setting, holdings
 from . import sql_models as Q
 from .catalog import query, r6, rounded
 from .factor_queries import GAUSS, KEY, PRED, Z, momenta, predictions
@@ -170,14 +173,14 @@ CASES = [(days, start) for days in SPANS for start in STARTS]
     f"mo_{k} AS (SELECT entity, date, round(p, 9) AS y_pred, y AS y_true FROM pp WHERE y IS NOT NULL AND days = {days} AND date >= DATE '{start}'), " + tagged(f"{bands(SCORES, 2)}, {SERIES.format(index='hy', held='hy')}", f"mo_{k}", f"_{k}") for k, (days, start) in enumerate(CASES)
 ) + " " + " UNION ALL ".join(f"SELECT '{start}' AS start, {days} AS days, * EXCLUDE (cost_bps) FROM ({costed(f'_{k}', [5])})" for k, (days, start) in enumerate(CASES)))
 def m18(s: SparkSession, d: str) -> DataFrame:
-    out = None
-    for days in SPANS:
-        p = modelled(s, d, days)
-        for start in STARTS:
-            part = p.where(F.col("date") >= F.lit(start).cast("date"))
-            m = P.metrics(P.with_drawdown(P.series(P.hysteresis(part, 5, 2), part, 5.0))).withColumns({"start": F.lit(start), "days": F.lit(days)})
-            out = m if out is None else out.unionByName(m)
-    return rounded(out)
+    """Models are fitted once for all windows, and all cases' bands are one scan."""
+    p = M.model_grid(scores(s, d), ["x"], "y", list(SPANS), [1.0], LEAST).where("y is not null").select(*KEY, "days", F.round("y_pred", 9).alias("s"), F.col("y").alias("y_true"))
+    p = durable(p.withColumn("start", F.explode(F.array(*map(F.lit, STARTS)))).where(F.col("date") >= F.col("start").cast("date")), "cases")
+    variant = lambda days, start: F.concat_ws("|", F.col(days).cast("string"), F.col(start))
+    held = holdings(p.select(variant("days", "start").alias("variant"), "date", "entity", "s"), [Setting(i, f"{days}|{start}", P.banded(5, 2), 7) for i, (days, start) in enumerate(CASES)])
+    day = P.series(held, p.select("date", "entity", "y_true").distinct(), 5.0, "id", index=indexed(p))
+    cases = s.createDataFrame([(i, days, start) for i, (days, start) in enumerate(CASES)], "id int, days int, start string")
+    return rounded(P.metrics(P.with_drawdown(day, "id"), "id").join(F.broadcast(cases), "id").drop("id"))
 
 
 @query("m19_zscore_vs_rank", f"""WITH {GAUSS}, pr AS (SELECT date, round({Z.format(x='mom')}, 9) AS x, fwd AS y FROM m WHERE mom IS NOT NULL), {ic_sql('pr', 'date', 'y', name='iz')}, rk AS (SELECT date, round(g, 9) AS x, fwd AS y FROM gg), {ic_sql('rk', 'date', 'y', name='ir')},

@@ -71,7 +71,9 @@ def vocabulary(docs: DataFrame, least_chars: int = 7, least_n: int = 2) -> DataF
         yield out()
 
     rows = docs.select(F.col("doc_id").cast("string"), "text").mapInArrow(count, "word string, n long")
-    return rows.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_n)
+    # Tasks have counted already, and the words' keys are work for more tasks than their bytes would make.
+    spread = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    return spread.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_n)
 
 
 def bigram_counts(words: DataFrame) -> dict[str, int]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import inspect
 import itertools
 import math
 
@@ -113,20 +114,36 @@ def test_model_grid_by_regime_trains_on_the_regime(spark):
 
 
 def test_boosting_has_200_trees(spark, sf, monkeypatch):
-    used = []
-    monkeypatch.setattr(model_queries.M, "boosted", lambda train, test, xs, y, trees=200, rate=0.05, **more: used.append((trees, rate)) or test.withColumn("y_pred", F.lit(0.0)))
+    used, real = [], inspect.signature(model_queries.W.boosted_walk_forward)
+
+    def called(*args, **more):
+        used.append(real.bind(*args, **more))
+        used[-1].apply_defaults()
+        return args[0].withColumn("y_pred", F.lit(0.0))
+
+    monkeypatch.setattr(model_queries.W, "boosted_walk_forward", called)
     registry.QUERIES["m7_boosting"](spark, sf)
-    assert used == [(200, 0.05)]
+    assert [(u.arguments["trees"], u.arguments["rate"], u.arguments["depth"]) for u in used] == [(200, 0.05, 3)]
 
 
 def test_bootstrap_refuses_small_groups(spark, sf, monkeypatch):
-    ics = spark.createDataFrame([(g, math.sin(i)) for g, n in (("A", 29), ("B", 30)) for i in range(n)], "regime string, ic double")
+    ics = spark.createDataFrame([(g, dt.date(2020, 1, 1) + dt.timedelta(days=i), math.sin(i)) for g, n in (("A", 29), ("B", 30)) for i in range(n)], "regime string, date date, ic double")
     monkeypatch.setattr(ic_queries, "regime_ics", lambda s, d: ics)
     drawn, real = [], stats.bootstrap
     monkeypatch.setattr(ic_queries.S, "bootstrap", lambda df, x, g, samples=1000, **more: drawn.append(samples) or real(df, x, g, samples, **more))
     assert [r["regime"] for r in registry.QUERIES["i13_bootstrap"](spark, sf).collect()] == ["B"] and drawn == [1000]
 
 
+def test_bootstrap_does_not_hang_on_partitions(spark):
+    rng = np.random.default_rng(0)
+    rows = [("A", dt.date(2020, 1, 1) + dt.timedelta(days=int(i) // 2), float(v)) for i, v in enumerate(rng.normal(0.1, 1, 200).round(2))]
+    df = spark.createDataFrame(rows, "g string, date date, x double")
+    one, four, turned = (stats.bootstrap(d, "x", "g").first() for d in (df.coalesce(1), df.repartition(4), df.orderBy(F.desc("x"))))
+    assert (one["low"], one["high"]) == (four["low"], four["high"]) == (turned["low"], turned["high"])
+    mean, half = np.mean([r[2] for r in rows]), 1.96 * np.std([r[2] for r in rows]) / 200**0.5
+    assert abs(one["low"] - (mean - half)) < 0.03 and abs(one["high"] - (mean + half)) < 0.03
+
+
 def test_mann_whitney_has_every_pair(spark):
     rng = np.random.default_rng(2)
     data = {"A": rng.normal(size=20).round(1), "B": rng.normal(0.5, 1, 25).round(1), "C": rng.normal(size=6)}

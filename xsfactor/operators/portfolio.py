@@ -239,6 +239,17 @@ def by_regime(scores: DataFrame, regimes: DataFrame, top: int, bottom: int, cost
     return series(held, scores, cost_bps, "regime", index=index.select("date", "idx"))
 
 
+def contributions(day: DataFrame, year: float = 252.0) -> DataFrame:
+    """What each regime adds to the mean return of a day, and its shares of days and of the whole return."""
+    m = F.avg("ls_net")
+    by = day.groupBy("regime").agg(F.count(F.lit(1)).alias("days"), m.alias("ls_mean"), (m * year).alias("ls_ann"), F.avg((F.col("ls_net") > 0).cast("double")).alias("win_rate"), F.sum("ls_net").alias("_sum"))
+    w = Window.partitionBy(F.lit(0))  # a row a regime
+    return by.select(
+        "regime", "days", (F.col("days") / F.sum("days").over(w)).alias("share_of_days"), "ls_mean", "ls_ann", "win_rate",
+        (F.col("_sum") / F.sum("days").over(w)).alias("contribution"), (F.col("_sum") / F.nullif(F.sum("_sum").over(w), F.lit(0.0))).alias("share_of_return"),
+    )
+
+
 def peers(ranked: DataFrame, n: int = 10) -> DataFrame:
     """The best and the worst n names of each date and category."""
     w = Window.partitionBy("date", "industry")

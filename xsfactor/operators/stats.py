@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import special
 
 
+#: The distribution of Poisson(1), P(k <= 0), P(k <= 1) ...
+POISSON = (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+
+
 def ic_summary(ics: DataFrame, *by: str) -> DataFrame:
     """Moments of correlations, information ratio, win rate and t statistic."""
     m, sd, n = F.avg("ic"), F.stddev_samp("ic"), F.count("ic")
@@ -145,16 +149,19 @@ def adjusted(df: DataFrame, p: str, order: str) -> DataFrame:
     return raw.withColumn("fdr", F.least(F.lit(1.0), F.min("_q").over(back))).drop("_k", "_q")
 
 
-def bootstrap(df: DataFrame, x: str, g: str, samples: int = 1000, seed: int = 7, least: int = 30) -> DataFrame:
+def bootstrap(df: DataFrame, x: str, g: str, samples: int = 1000, seed: int = 7, least: int = 30, key: tuple[str, ...] = ("date",)) -> DataFrame:
     """95 % interval of a group's mean by the Poisson bootstrap: each value counts a hashed Poisson(1) number of times.
 
-    Values meet their sample numbers in one pass; sums combine before the shuffle.
+    A value's draws hang on its group, its key and, among values that share these, its place by size: not on partitioning or
+    the order of rows. Values meet their sample numbers in one pass; sums combine before the shuffle.
     """
-    known = df.where(F.col(x).isNotNull()).select(g, x, F.monotonically_increasing_id().alias("_id"))
+    known = df.where(F.col(x).isNotNull())
+    place = F.row_number().over(Window.partitionBy(g, *key).orderBy(x))
+    known = known.select(g, x, F.concat_ws("|", *(F.col(c).cast("string") for c in (g, *key)), place.cast("string")).alias("_id"))
     drawn = known.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    u = (F.pmod(F.xxhash64("_id", "_b", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cuts = [0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
-    times = sum((F.when(u > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", "_id", F.col("_b").cast("string"), F.lit(str(seed))).cast("binary")), 1, 7), 16, 10).cast("long")
+    u = (hashed + 0.5) / float(1 << 28)
+    times = sum((F.when(u > c, 1).otherwise(0) for c in POISSON), F.lit(0))
     means = drawn.withColumn("_t", times).groupBy(g, "_b").agg((F.sum(F.col("_t") * F.col(x)) / F.nullif(F.sum("_t"), F.lit(0))).alias("m"))
     ci = means.groupBy(g).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     n = known.groupBy(g).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean")).where(F.col("n") >= least)

@@ -165,7 +165,11 @@ WITH {IC}, z AS (SELECT factor, round(exp(-abs(avg(ic) / (stddev_samp(ic) / sqrt
 k AS (SELECT *, row_number() OVER (ORDER BY p, factor) AS k, count(*) OVER () AS m FROM z)
 SELECT factor, {r6('p', 'p')}, {r6('least(1.0, p * m)', 'bonferroni')}, {r6('least(1.0, min(p * m / k) OVER (ORDER BY k DESC))', 'fdr')} FROM k""")(
     lambda s, d: rounded(S.adjusted(S.ic_summary(ics(s, d), "factor").select("factor", F.round(F.exp(-F.abs("t")), 9).alias("p")), "p", "factor")))
-query("i13_bootstrap")(lambda s, d: rounded(S.bootstrap(regime_ics(s, d), "ic", "regime", 1000, least=30)))
+TIMES = " + ".join(f"(u > {c})::INT" for c in S.POISSON)
+query("i13_bootstrap", f"""WITH {RIC}, bk AS (SELECT regime, ic, concat_ws('|', regime, CAST(date AS VARCHAR), row_number() OVER (PARTITION BY regime, date ORDER BY ic)) AS id FROM ic),
+bd AS (SELECT regime, ic, b, (CAST(concat('0x', substr(md5(concat_ws('|', id, b, '7')), 1, 7)) AS BIGINT) + 0.5) / 268435456 AS u FROM bk, range(1000) t(b)),
+bm AS (SELECT regime, b, sum(({TIMES}) * ic) / nullif(sum({TIMES}), 0) AS m FROM bd GROUP BY regime, b), bc AS (SELECT regime, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM bm GROUP BY regime)
+SELECT regime, n, {r6('mean', 'mean')}, {r6('low', 'low')}, {r6('high', 'high')}, low <= 0 AND high >= 0 AS contains_zero FROM (SELECT regime, count(*) AS n, avg(ic) AS mean FROM ic GROUP BY regime HAVING count(*) >= 30) JOIN bc USING (regime)""")(lambda s, d: rounded(S.bootstrap(regime_ics(s, d), "ic", "regime", 1000, least=30)))
 query("i14_ljung_box", f"""
 WITH {IC}, tl AS (SELECT factor, date, ic - avg(ic) OVER (PARTITION BY factor) AS c FROM (SELECT * FROM ic QUALIFY row_number() OVER (PARTITION BY factor ORDER BY date DESC) <= 100)),
 l AS (SELECT factor, c, {', '.join(f'c * lag(c, {k}) OVER w AS l{k}' for k in range(1, 11))} FROM tl WINDOW w AS (PARTITION BY factor ORDER BY date)),

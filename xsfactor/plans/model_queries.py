@@ -183,21 +183,43 @@ def m18(s: SparkSession, d: str) -> DataFrame:
     return rounded(P.metrics(P.with_drawdown(day, "id"), "id").join(F.broadcast(cases), "id").drop("id"))
 
 
-@query("m19_zscore_vs_rank", f"""WITH {GAUSS}, pr AS (SELECT date, round({Z.format(x='mom')}, 9) AS x, fwd AS y FROM m WHERE mom IS NOT NULL), {ic_sql('pr', 'date', 'y', name='iz')}, rk AS (SELECT date, round(g, 9) AS x, fwd AS y FROM gg), {ic_sql('rk', 'date', 'y', name='ir')},
-z AS (SELECT 'zscore' AS kind, {SUMMARY} FROM iz UNION ALL SELECT 'rank', {SUMMARY} FROM ir) SELECT kind, {SUMMED} FROM z""")
+FIGURES = ["ic_mean", "ic_std", "ic_median", "ic_ir", "win_rate", "abs_ic", "n", "t", "n_days", "long_mean", "short_mean", "ls_mean", "ls_ann", "ls_ir", "ls_win_rate", "avg_turnover", "max_drawdown"]
+
+
+def compared(kinds: dict[str, DataFrame], n: int = 5, cost_bps: float = 5.0, year: float = 12.0) -> DataFrame:
+    """For two kinds of scores (entity, date, y_pred, y_true) correlations and portfolio figures, and the second less the first."""
+    out = None
+    for kind, p in kinds.items():
+        ic = S.ic_summary(X.daily_ic(p, "y_pred", "y_true")).withColumn("kind", F.lit(kind))
+        day = P.with_drawdown(P.series(P.legs(p, n, n), p, cost_bps))
+        part = rounded(ic.join(P.metrics(day, year=year).withColumn("kind", F.lit(kind)), "kind"))
+        out = part if out is None else out.unionByName(part)
+    a, b = kinds
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    less = out.agg(F.lit(f"{b} - {a}").alias("kind"), *((of(b, c) - of(a, c)).alias(c) for c in FIGURES))
+    return rounded(out.unionByName(less))
+
+
+def compared_sql(tables: str, a: tuple[str, str], b: tuple[str, str]) -> str:
+    """(kind, its table of scores) twice; tables ends with both."""
+    ic = ", ".join(f"qi{k} AS (SELECT date, y_pred AS x, y_true AS y FROM {t}), {ic_sql(f'qi{k}', 'date', 'y', name=f'ic{k}')}" for k, (_, t) in enumerate((a, b)))
+    books = ", ".join(book(t, 5, 5, f"_{k}") for k, (_, t) in enumerate((a, b)))
+    each = ", ".join(f"z{k} AS (SELECT '{kind}' AS kind, i.*, m.* EXCLUDE (cost_bps) FROM (SELECT {SUMMED} FROM (SELECT {SUMMARY} FROM ic{k})) i, ({costed(f'_{k}', [5], 12)}) m)" for k, (kind, _) in enumerate((a, b)))
+    less = ", ".join(f"round(z1.{c} - z0.{c}, 6) + 0.0 AS {c}" if c not in ("n", "n_days") else f"z1.{c} - z0.{c} AS {c}" for c in FIGURES)
+    return f"WITH {tables}, {ic}, {books}, {each} SELECT kind, {', '.join(FIGURES)} FROM z0 UNION ALL SELECT kind, {', '.join(FIGURES)} FROM z1 UNION ALL SELECT z1.kind || ' - ' || z0.kind AS kind, {less} FROM z0, z1"
+
+
+@query("m19_zscore_vs_rank", compared_sql(f"""{GAUSS}, kz AS (SELECT entity, date, round({Z.format(x='mom')}, 9) AS y_pred, fwd AS y_true FROM m WHERE mom IS NOT NULL),
+sz AS (SELECT * FROM kz WHERE y_pred IS NOT NULL AND y_true IS NOT NULL), sr AS (SELECT entity, date, round(g, 9) AS y_pred, fwd AS y_true FROM gg WHERE g IS NOT NULL AND fwd IS NOT NULL), pd AS (SELECT * FROM sz)""", ("zscore", "sz"), ("rank", "sr")))
 def m19(s: SparkSession, d: str) -> DataFrame:
-    z = predictions(s, d)
     g = X.rank_gauss(momenta(s, d), "mom", "y_pred").select(*KEY, F.round("y_pred", 9).alias("y_pred"), F.col("fwd").alias("y_true")).where("y_pred is not null and y_true is not null")
-    m = lambda df, name: S.ic_summary(X.daily_ic(df, "y_pred", "y_true")).withColumn("kind", F.lit(name))
-    return rounded(m(z, "zscore").unionByName(m(g, "rank")))
+    return compared({"zscore": predictions(s, d), "rank": g})
 
 
-@query("m20_neutral_vs_baseline", f"""WITH {PRED}, q AS (SELECT date, y_pred AS x, y_true AS y FROM pd), {ic_sql('q', 'date', 'y', name='ib')}, nq AS (SELECT date, round(y_pred - avg(y_pred) OVER (PARTITION BY date, industry), 9) AS x, y_true AS y FROM pd WHERE industry IS NOT NULL), {ic_sql('nq', 'date', 'y', name='iq')},
-z AS (SELECT 'baseline' AS kind, {SUMMARY} FROM ib UNION ALL SELECT 'neutral', {SUMMARY} FROM iq) SELECT kind, {SUMMED} FROM z""")
+@query("m20_neutral_vs_baseline", compared_sql(f"{PRED}, nq AS (SELECT entity, date, round(y_pred - avg(y_pred) OVER (PARTITION BY date, industry), 9) AS y_pred, y_true FROM pd WHERE industry IS NOT NULL)", ("baseline", "pd"), ("neutral", "nq")))
 def m20(s: SparkSession, d: str) -> DataFrame:
     z = predictions(s, d)
-    m = lambda df, name: S.ic_summary(X.daily_ic(df, "y_pred", "y_true")).withColumn("kind", F.lit(name))
-    return rounded(m(z, "baseline").unionByName(m(X.neutralised(z, ["y_pred"]).withColumn("y_pred", F.round("y_pred", 9)), "neutral")))
+    return compared({"baseline": z, "neutral": X.neutralised(z, ["y_pred"]).withColumn("y_pred", F.round("y_pred", 9))})
 
 
 @query("m21_scenarios")
@@ -207,10 +229,11 @@ def m21(s: SparkSession, d: str) -> DataFrame:
     crossed = X.interactions(base, [("mom3_std", "vr_std"), ("mom3_std", "amp_std")])
     more = [*XS, "mom3_std_x_vr_std", "mom3_std_x_amp_std"]
     kinds = {"ridge": (base, XS, {}), "scaled": (base, XS, {"scaled": True}), "net": (base, XS, {"l1": 0.5}), "interactions": (crossed, more, {})}
+    found = {name: M.walk_forward(rows, xs, "fwd", DAYS, 0.1, LEAST, **extra).withColumn("y_true", F.col("fwd")) for name, (rows, xs, extra) in kinds.items()}
+    found |= {"boosting": W.boosted_walk_forward(base, XS, "fwd", DAYS, LEAST), "robust": W.walk_forward(base, XS, "fwd", DAYS, W.Huber, LEAST)}
     out = None
-    for name, (rows, xs, extra) in kinds.items():
-        p = M.walk_forward(rows, xs, "fwd", DAYS, 0.1, LEAST, **extra)
-        p = p.select(*KEY, F.round("y_pred", 9).alias("y_pred"), F.col("fwd").alias("y_true"), F.lit(name).alias("scenario"))
+    for name, p in found.items():
+        p = p.select(*KEY, F.round("y_pred", 9).alias("y_pred"), "y_true", F.lit(name).alias("scenario"))
         out = p if out is None else out.unionByName(p)
     found = M.graded(out, "scenario", year=12.0)
     plain = F.max(F.when(F.col("scenario") == "ridge", F.col("ic_ir"))).over(Window.partitionBy(F.lit(0)))  # a row a scenario

@@ -117,16 +117,24 @@ query("e10_dispatch", f"WITH RECURSIVE {PRED}, {EMA}, {bands(SMOOTH, 2)}, {SERIE
 PARAMETERS = {"baseline": [None], "low_freq": [3, 6, 12], "hysteresis": [0, 2, 4], "ema": [3, 5, 10], "swap_cap": [0.2, 0.4, 0.6], "combo": [(a, b) for a in (3, 4, 6) for b in (1, 2, 3)]}
 SETTINGS = [(policy, x, n) for policy, xs in PARAMETERS.items() for x in xs for n in (N, 2 * N, 4 * N)]
 query("e11_policy_grid")(lambda s, d: rounded(P.grid(predictions(s, d), SETTINGS, [0, 5, 10])))
-query("e12_regime_attribution", f"""
-WITH {MK}, pr AS (SELECT entity, date, CASE WHEN stddev_samp(mo) OVER w > 1e-12 THEN round((mo - avg(mo) OVER w) / stddev_samp(mo) OVER w, 9) END AS y_pred, fw AS y_true
+REGIME_DAYS = f"""WITH {MK}, pr AS (SELECT entity, date, CASE WHEN stddev_samp(mo) OVER w > 1e-12 THEN round((mo - avg(mo) OVER w) / stddev_samp(mo) OVER w, 9) END AS y_pred, fw AS y_true
   FROM (SELECT entity, date, lag(close, 2) OVER e / nullif(lag(close, 4) OVER e, 0) - 1 AS mo, lead(r) OVER e AS fw FROM p1 WINDOW e AS (PARTITION BY entity ORDER BY date)) WHERE mo IS NOT NULL WINDOW w AS (PARTITION BY date)),
 pd AS (SELECT * FROM pr WHERE y_pred IS NOT NULL AND y_true IS NOT NULL), {LEGS.format(scores=SCORES)},
 dx AS (SELECT date, regime, row_number() OVER (PARTITION BY regime ORDER BY date) AS idx FROM (SELECT DISTINCT date FROM sc) JOIN rg USING (date)),
 hh AS (SELECT lg.*, regime, idx FROM lg JOIN dx USING (date)),
 hk AS (SELECT a.*, b.entity IS NOT NULL AS kept, y_true FROM hh a LEFT JOIN hh b ON a.regime = b.regime AND a.side = b.side AND a.entity = b.entity AND a.idx = b.idx + 1 LEFT JOIN pd ON pd.date = a.date AND pd.entity = a.entity),
-dy AS (SELECT regime, date, avg(y_true) FILTER (side = 'long') - avg(y_true) FILTER (side = 'short') AS ls_gross, 2 - count(*) FILTER (side = 'long' AND kept) / greatest(1, count(*) FILTER (side = 'long')) - count(*) FILTER (side = 'short' AND kept) / greatest(1, count(*) FILTER (side = 'short')) AS turnover FROM hk GROUP BY regime, date)
-SELECT regime, count(*) AS n, {r6('avg(ls_gross)', 'ls_gross')}, {r6('avg(turnover)', 'turnover')} FROM dy WHERE ls_gross IS NOT NULL GROUP BY regime""")(
+dy AS (SELECT regime, date, avg(y_true) FILTER (side = 'long') - avg(y_true) FILTER (side = 'short') AS ls_gross, 2 - count(*) FILTER (side = 'long' AND kept) / greatest(1, count(*) FILTER (side = 'long')) - count(*) FILTER (side = 'short' AND kept) / greatest(1, count(*) FILTER (side = 'short')) AS turnover FROM hk GROUP BY regime, date)"""
+query("e12_regime_attribution", f"{REGIME_DAYS} SELECT regime, count(*) AS n, {r6('avg(ls_gross)', 'ls_gross')}, {r6('avg(turnover)', 'turnover')} FROM dy WHERE ls_gross IS NOT NULL GROUP BY regime")(
     lambda s, d: rounded(P.by_regime(predictions(s, d), regimes(s, d), N, N).groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.avg("ls_gross").alias("ls_gross"), F.avg("turnover").alias("turnover"))))
+
+
+@query("a22_regime_contribution", f"""{REGIME_DAYS}, ne AS (SELECT regime, ls_gross - 5.0 / 10000 * turnover AS ls_net FROM dy WHERE ls_gross IS NOT NULL)
+SELECT regime, count(*) AS days, {r6('count(*) / sum(count(*)) OVER ()', 'share_of_days')}, {r6('avg(ls_net)', 'ls_mean')}, {r6('avg(ls_net) * 12', 'ls_ann')}, {r6('avg((ls_net > 0)::INT)', 'win_rate')},
+  {r6('sum(ls_net) / sum(count(*)) OVER ()', 'contribution')}, {r6('sum(ls_net) / nullif(sum(sum(ls_net)) OVER (), 0)', 'share_of_return')} FROM ne GROUP BY regime""")
+def a22(s: SparkSession, d: str) -> DataFrame:
+    return rounded(P.contributions(P.by_regime(predictions(s, d), regimes(s, d), N, N, 5.0), 12.0))
+
+
 query("e13_entity_series", f"""
 WITH {PRED}, m2 AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY y_pred DESC, entity) <= 5 AS in_long, row_number() OVER (PARTITION BY date ORDER BY y_pred, entity DESC) <= 5 AS in_short,
   1 - (rank() OVER (PARTITION BY date, industry ORDER BY y_pred DESC) - 1) / (count(*) OVER (PARTITION BY date, industry))::DOUBLE AS pct FROM pd)

@@ -40,7 +40,7 @@ query("s11_json_source", "SELECT event_id, CAST(json_extract(props, '$.k') AS BI
 query("s21_settings")(lambda s, d: files.snapshot(s, {"policy": "hysteresis", "delta": 15, "top_n": 40, "cost_bps": 5.0}, "default"))
 query("p2_coerce", "SELECT p_partkey, TRY_CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS DOUBLE) AS num, TRY_CAST(p_brand AS DOUBLE) AS none FROM part")(
     lambda s, d: q_part(s, d).select("p_partkey", F.regexp_extract("p_brand", "([0-9]+)", 1).try_cast("double").alias("num"), F.col("p_brand").try_cast("double").alias("none")))
-query("p4_range", "SELECT p_partkey FROM part WHERE p_retailprice >= 1000 AND p_size BETWEEN 10 AND 20")(lambda s, d: U.screen(q_part(s, d), {"p_retailprice": 1000}, {"p_size": (10, 20)}).select("p_partkey"))
+query("p4_range", "SELECT p_partkey FROM part WHERE p_retailprice >= 950 AND p_size BETWEEN 10 AND 20")(lambda s, d: U.screen(q_part(s, d), {"p_retailprice": 950}, {"p_size": (10, 20)}).select("p_partkey"))
 query("p5_name_exclude", "SELECT p_partkey FROM part WHERE NOT coalesce(p_type ILIKE '%EEL%', false)")(lambda s, d: U.screen(q_part(s, d), {}, without={"p_type": "eel"}).select("p_partkey"))
 query("p7_last_days", "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) >= (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) - 90")(
     lambda s, d: table(s, d, "orders").where(F.to_date("o_orderdate") >= F.date_sub(F.lit(table(s, d, "orders").agg(F.max(F.to_date("o_orderdate")).alias("m")).first()["m"]), 90)).select("o_orderkey"))
@@ -96,7 +96,7 @@ def j11(s: SparkSession, d: str) -> DataFrame:
     return rounded(g.select("date", F.sum("n").over(w).alias("n"), (F.sum("s").over(w) / F.sum("n").over(w)).alias("mean")).where("n is not null"))
 
 
-query("j12_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")(lambda s, d: table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"))
+query("j12_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")(lambda s, d: table(s, d, "customer").join(table(s, d, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"))
 query("j13_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")(lambda s, d: table(s, d, "customer").join(table(s, d, "orders").where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey"))
 
 # Aggregates --------------------------------------------------------------------------------------------------------------

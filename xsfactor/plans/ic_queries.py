@@ -10,6 +10,7 @@ from ..operators import cross as X
 from ..operators import factors as T
 from ..operators import regimes as R
 from ..operators import stats as S
+from ..sources.panels import table
 from .catalog import E_, over, query, r6, rounded
 from .factor_queries import KEY, MOM, PRED, panel, predictions
 from .factor_queries import R as RET
@@ -207,6 +208,8 @@ def x9(s: SparkSession, d: str) -> DataFrame:
     return rounded(X.aligned(factor_panel(s, d), ics(s, d), ["vol6"], 30).select(*KEY, "vol6"))
 
 
-query("special_functions")(lambda s, d: rounded(s.range(1, 40).select((F.col("id") / 10.0).alias("x")).select(
-    "x", special.arrow(lambda x: special.t_two_sided(x, 10), "x").alias("t10"), special.arrow(lambda x: special.f_upper(x, 2, 30), "x").alias("f"),
-    special.arrow(lambda x: special.chi2_upper(x, 3), "x").alias("chi2"), special.arrow(special.normal_two_sided, "x").alias("z"))))
+Q_X = "SELECT l_quantity / 10 AS x, count(*) AS n FROM lineitem GROUP BY l_quantity"
+query("special_functions", f"""SELECT x, n, {r6(t_two_sided('x', '10'), 't10')}, {r6('pow(1 + 2 * x / 30, -15)', 'f')}, {r6('exp(-x / 2) * (1 + x / 2)', 'chi2')}, round(2 * (1 - {normal_cdf('x')}), 4) + 0.0 AS z FROM ({Q_X})""")(
+    lambda s, d: rounded(table(s, d, "lineitem").groupBy((F.col("l_quantity") / 10).alias("x")).agg(F.count(F.lit(1)).alias("n")).select(
+        "x", "n", special.arrow(lambda x: special.t_two_sided(x, 10), "x").alias("t10"), special.arrow(lambda x: special.f_upper(x, 2, 30), "x").alias("f"),
+        special.arrow(lambda x: special.chi2_upper(x, 4), "x").alias("chi2"), special.arrow(special.normal_two_sided, "x").alias("z")), z=4))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..durable import shared_folder
 from ..operators import portfolio as P
 from ..operators import universe as U
 from ..sources import files
@@ -37,7 +40,16 @@ def s19(s: SparkSession, d: str) -> DataFrame:
 
 
 query("s11_json_source", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")(lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k")))
-query("s21_settings")(lambda s, d: files.snapshot(s, {"policy": "hysteresis", "delta": 15, "top_n": 40, "cost_bps": 5.0}, "default"))
+@query("s21_settings", "SELECT 'default' AS run, 'hysteresis' AS policy, count(DISTINCT l_suppkey) AS entities, CAST(min(CAST(l_shipdate AS DATE)) AS VARCHAR) AS first, count(DISTINCT l_suppkey) // 5 AS top_n FROM lineitem", dates=())
+def s21(s: SparkSession, d: str) -> DataFrame:
+    """Settings that follow the panel are saved as a run's snapshot, and read back."""
+    seen = table(s, d, "lineitem").agg(F.countDistinct("l_suppkey").alias("n"), F.min(F.to_date("l_shipdate")).cast("string").alias("first")).first()
+    path = f"{shared_folder(s)}/settings-{uuid.uuid4().hex}"
+    files.save(files.snapshot(s, {"policy": "hysteresis", "entities": seen["n"], "first": seen["first"], "top_n": seen["n"] // 5}, "default"), path, "json")
+    back = s.read.schema("run string, settings string").json(path)
+    return back.select("run", F.from_json("settings", "policy string, entities long, first string, top_n long").alias("x")).select("run", "x.*")
+
+
 query("p2_coerce", "SELECT p_partkey, TRY_CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS DOUBLE) AS num, TRY_CAST(p_brand AS DOUBLE) AS none FROM part")(
     lambda s, d: q_part(s, d).select("p_partkey", F.regexp_extract("p_brand", "([0-9]+)", 1).try_cast("double").alias("num"), F.col("p_brand").try_cast("double").alias("none")))
 query("p4_range", "SELECT p_partkey FROM part WHERE p_retailprice >= 950 AND p_size BETWEEN 10 AND 20")(lambda s, d: U.screen(q_part(s, d), {"p_retailprice": 950}, {"p_size": (10, 20)}).select("p_partkey"))

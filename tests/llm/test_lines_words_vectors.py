@@ -1,4 +1,4 @@
-"""Line dedup, spelling groups and whitened embeddings against plain Python, numpy and their SQL."""
+"""Line dedup, spelling groups and whitened embeddings against plain Python, numpy and their SQL; archives and near vectors on tables that have some."""
 
 from __future__ import annotations
 
@@ -219,3 +219,47 @@ def test_whitening_of_odd_rows(spark, monkeypatch, parts):
     assert len(same) == 6 and same[["whitened", "explained", "identity_error"]].isna().all().all() and (same.deviation == 0).all()
     huge = whitening.whiten(spark.createDataFrame([(i, [float(2**50) * i]) for i in range(3)], "vec_id long, embedding array<double>")).toPandas()
     assert huge.deviation.isna().tolist() == [True, False, True] or huge.sort_values("vec_id").deviation.isna().tolist() == [True, False, True]
+
+
+def by_sql(spark, folder, name, tables):
+    """The registered query's rows and its SQL's, on tables of a folder of our own."""
+    df = entry.queries()[name](spark, str(folder))
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    ref = con.execute(entry.oracle_sql()[name])
+    names = [c[0] for c in ref.description]
+    assert sorted(names) == sorted(df.columns)
+    got, want = [r.asDict() for r in df.collect()], [dict(zip(names, r, strict=True)) for r in ref.fetchall()]
+    key = lambda rows: Counter(tuple(r[c] for c in names) for r in rows)
+    assert key(got) == key(want)
+    return got
+
+
+def test_near_vectors_of_the_sql(spark, tmp_path):
+    """64 dimensions: a group of a third of all rows, pairs, chains whose ends are far apart, copies, scaled copies, odd vectors."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1200, 64))
+    x[:400] = x[0] + rng.normal(size=(400, 64)) * 0.3
+    for k in range(400, 480, 2):
+        x[k + 1] = x[k] + rng.normal(size=64) * 0.3
+    for k in range(500, 560):  # each is near the one before it
+        x[k] = x[k - 1] / np.linalg.norm(x[k - 1]) * 8 + rng.normal(size=64) * 0.35
+    x[600:650] = x[600]
+    x[650:700] = x[650] * rng.uniform(0.1, 9, (50, 1))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(2000, [0.0] * 64, 1), (2001, None, 1), (2002, [float("nan")] + [1.0] * 63, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: r for r in by_sql(spark, tmp_path, "op9_cover_tree", ["embeddings"])}
+    assert got[0]["n_links"] > 200 and got[559]["component_id"] < 540 and got[649]["n_links"] == 49 and got[699]["component_id"] == 650
+    assert got[400]["n_links"] >= 1 and not got[401]["kept"] and all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (2000, 2001, 2002))
+
+
+def test_repeated_pages_of_the_sql(spark, tmp_path):
+    """A payload that a third of all pages share, pairs, short ones, and texts that differ in their last character only."""
+    rng = random.Random(3)
+    page = lambda k, n=300: f"<html>{k} " + "x" * n + "</html>"
+    rows = [(i, f"http://a/{i}", page("hot")) for i in range(0, 900, 3)] + [(i, f"http://a/{i}", page(i // 6)) for i in range(1, 900, 3)]
+    rows += [(i, None if i % 4 else f"http://b/{i}", rng.choice([None, "", "short", "y" * 99, "y" * 100, "é" * 50, page("end") + str(i % 7)])) for i in range(2, 900, 3)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in by_sql(spark, tmp_path, "op5_warc", ["pages"])}
+    assert sum(r["record_type"] == "revisit" for r in got.values()) > 450 and got[3]["refers_to"] == 0 and got[0]["record_type"] == "response"

@@ -178,6 +178,12 @@ def test_policy_grid_has_all_policies(spark, sf, monkeypatch):
 
 def test_robustness_has_windows(spark, sf, monkeypatch):
     days = []
-    monkeypatch.setattr(model_queries, "modelled", lambda s, d, n: days.append(n) or s.range(20).select(F.lit("2000-01-01").cast("date").alias("date"), F.col("id").alias("entity"), F.col("id").cast("double").alias("y_pred"), F.lit(1.0).alias("y_true")))
+
+    def grid(df, xs, y, windows, alphas, least):
+        days.extend(windows)
+        rows = spark.range(20).select(F.lit("2000-01-01").cast("date").alias("date"), F.col("id").alias("entity"), F.col("id").cast("double").alias("y_pred"), F.lit(1.0).alias("y"))
+        return rows.withColumn("days", F.explode(F.array(*map(F.lit, windows))))
+
+    monkeypatch.setattr(model_queries.M, "model_grid", grid)
     got = registry.QUERIES["m18_robustness"](spark, sf)
     assert len(set(days)) == 3 and got.select("start", "days").distinct().count() == 9

@@ -21,7 +21,8 @@ more pairs than a few a document are given only where the ones before were no li
 
 Defined cases: null or empty text has no shingles and links with nothing; fewer words than a shingle are one shingle;
 rows that share a doc_id are one vertex; a null doc_id links with nothing and has a null component; an empty table gives
-an empty result; other columns are ignored (and kept by one_of_each()).
+an empty result; texts are shingled whole, however long; pairs at the very threshold link, and of a group the smallest doc_id
+names the class; other columns are ignored (and kept by one_of_each()).
 """
 
 from __future__ import annotations

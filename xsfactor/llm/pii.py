@@ -11,7 +11,9 @@ hold it still, the others still don't. Phone numbers are those of North America,
 those that begin with 0 as in France and Germany; bare groups of digits as in Spain are left alone, being numbers as often.
 
 Defined cases: null text stays null, empty text empty; other candidates that fail their validation stay as they are;
-repeated rows get equal results; an empty table stays empty; other columns pass through untouched.
+repeated rows get equal results; an empty table stays empty; texts are searched whole, however long; of candidates that begin at
+one place the kind listed first counts; dates as 1.2.2020 come back with two-digit days and months; other columns pass through
+untouched.
 """
 
 from __future__ import annotations

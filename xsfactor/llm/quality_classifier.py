@@ -10,7 +10,7 @@ reads whole texts.
 
 Defined cases: null text is empty and has no n-grams, so it gets the score of the bias; rows without a label or with a
 null id don't teach; repeated rows are scored alike; with labels of one class only, every score is that class's share;
-other columns are ignored.
+an empty table gives no scores; texts are scored whole, however long; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ documents. A document is kept if it passes the base rules and its host isn't rej
 as its moments say, but at least one and at most MAX_STRENGTH.
 
 Defined cases: null or empty text has no words and fails the base; a null source is a host of its own; repeated rows are
-each judged and each count for their host; an empty table gives an empty result; other columns pass through untouched.
+each judged and each count for their host; an empty table gives an empty result; texts are judged whole, however long; a rate at
+the very limit is no failure; other columns pass through untouched.
 """
 
 from __future__ import annotations

@@ -175,28 +175,29 @@ class LabelModel:
     """
 
     def __init__(self, votes: np.ndarray, marks: np.ndarray, rounds: int = 60, weight: float = 4.0, least: float = 3.0, unmarked: float = 0.3):
-        v, has = votes.astype(float), marks >= 0
+        v, has = votes.astype(np.float32), marks >= 0
         self.post = np.choose(marks + 1, [0.02 + 0.28 * v.any(1), 0.02, 0.9])
         for k in range(rounds):
             by_class = np.stack([1 - self.post, self.post]) * np.where(has, 1.0, unmarked)
             if k in (0, 5):  # then it stays, so that EM converges
                 self.parent = self.tree(v, by_class, least)
-                neighbour = np.where(self.parent >= 0, v[:, np.maximum(self.parent, 0)], 0.0)
+                neighbour = np.where(self.parent >= 0, v[:, np.maximum(self.parent, 0)], np.float32(0))
+                both = v * neighbour
             size = by_class.sum(1)
             self.share = float((size[1] + 1) / (size.sum() + 2))
-            self.rate = (by_class @ v + 0.5) / (size[:, None] + 1)
+            said = [by_class @ m for m in (v, neighbour, both)]
+            self.rate = (said[0] + 0.5) / (size[:, None] + 1)
             self.rate[1] = np.maximum(*self.rate)
-            self.given = np.empty((2, 2, v.shape[1]))
-            for c in (0, 1):
-                for said in (0, 1):  # a rare case falls back on the voter's rate
-                    w = by_class[c][:, None] * (neighbour == said)
-                    self.given[c, said] = ((w * v).sum(0) + weight * self.rate[c]) / (w.sum(0) + weight)
+            # How often a voter votes while its neighbour doesn't, and does; a rare case falls back on the voter's rate.
+            hits, of = (said[0] - said[2], said[2]), (size[:, None] - said[1], said[1])
+            self.given = np.stack([(h + weight * self.rate) / (n + weight) for h, n in zip(hits, of, strict=True)], axis=1)
             self.given[:, 1][:, self.parent < 0] = self.given[:, 0][:, self.parent < 0]
             self.given[1] = np.maximum(*self.given)
             self.given = self.given.clip(1e-6, 1 - 1e-6)
             self.mark = [float((w[has] @ (marks[has] == 1) + 1) / (w[has].sum() + 2)) for w in by_class]
-            likely = lambda c: np.log(np.where(v == 1, *(np.where(neighbour == 1, f(1), f(0)) for f in (lambda s: self.given[c, s], lambda s: 1 - self.given[c, s])))).sum(1)  # noqa: B023, E731
-            z = np.log(self.share / (1 - self.share)) + likely(1) - likely(0)
+            # Log-likelihood ratios, in terms of votes, neighbours' votes and both.
+            yes, no = np.log(self.given[1]) - np.log(self.given[0]), np.log1p(-self.given[1]) - np.log1p(-self.given[0])
+            z = np.log(self.share / (1 - self.share)) + no[0].sum() + v @ (yes[0] - no[0]) + neighbour @ (no[1] - no[0]) + both @ (yes[1] - no[1] - yes[0] + no[0])
             b, a = self.mark
             self.alone = 1 / (1 + np.exp(-z.clip(-40, 40)))
             self.post = 1 / (1 + np.exp(-(z + np.choose(marks + 1, [0.0, np.log((1 - a) / (1 - b)), np.log(a / b)])).clip(-40, 40)))
@@ -207,9 +208,8 @@ class LabelModel:
     def correlated(v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Pairwise, within the class that w weighs the rows for."""
         mean = w @ v / w.sum()
-        off = v - mean
-        cov = (off * w[:, None]).T @ off / w.sum()
-        sd = np.sqrt(np.diag(cov)) + 1e-9
+        cov = (v * w[:, None].astype(np.float32)).T @ v / w.sum() - np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-9
         return cov / np.outer(sd, sd)
 
     @staticmethod
@@ -219,7 +219,7 @@ class LabelModel:
         shared = np.zeros((n, n))
         for w in by_class:
             size = w.sum()
-            one, both = (w @ v + 0.5) / (size + 1), ((v * w[:, None]).T @ v + 0.25) / (size + 1)
+            one, both = (w @ v + 0.5) / (size + 1), ((v * w[:, None].astype(np.float32)).T @ v + 0.25) / (size + 1)
             for p, q, joint in ((one, one, both), (one, 1 - one, one[:, None] - both), (1 - one, one, one - both), (1 - one, 1 - one, 1 - one[:, None] - one + both)):
                 joint = joint.clip(1e-9)
                 shared += size * joint * np.log(joint / np.outer(p, q))
@@ -267,23 +267,25 @@ def fit(docs: DataFrame, labels: DataFrame, teach: Column, max_fit: int = 10_000
         seen = Seen(tokens)
         for b in batches:
             got = [(seen(t), t) for t in texts(b)]
-            lists = ([list(s) for s, _ in got], [list(s.values()) for s, _ in got], [votes_of(s, t, voters) for s, t in got])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.list_(pa.int32())) for x in lists)], names=["id", "y", "tokens", "times", "votes"])
+            lists = ([list(s) for s, _ in got], [[min(n, 32_767) for n in s.values()] for s, _ in got], [votes_of(s, t, voters) for s, t in got])
+            kinds = (pa.int16(), pa.int16(), pa.int8())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.list_(k)) for x, k in zip(lists, kinds, strict=True))], names=["id", "y", "tokens", "times", "votes"])
 
     rows = marked.select("id", "y", "text").unionByName(unlabelled(docs, labels, teach, max_fit).select("id", "y", "text"))
     rows = rows.withColumn("id", F.col("id").cast("string"))
-    data = rows.mapInArrow(look, "id string, y int, tokens array<int>, times array<int>, votes array<int>").toArrow()
+    data = rows.mapInArrow(look, "id string, y int, tokens array<smallint>, times array<smallint>, votes array<tinyint>").toArrow()
     data = data.sort_by("id")  # results don't hang on the order in which tasks end
     marks = data["y"].fill_null(-1).to_numpy().astype(np.int64)
     whole = lambda c: data[c].combine_chunks()
-    votes = whole("votes").flatten().to_numpy().reshape(len(data), -1).astype(np.int8)
+    votes = whole("votes").flatten().to_numpy().reshape(len(data), -1)
     _, first = np.unique(votes, axis=1, return_index=True)
     live = sorted(int(k) for k in first if votes[:, k].any())
     x = np.zeros((len(data), len(tokens) + len(live)), dtype=np.float32)
     row = np.repeat(np.arange(len(data)), whole("tokens").value_lengths().to_numpy())
-    x[row, whole("tokens").flatten().to_numpy()] = np.log2(whole("times").flatten().to_numpy() + 1)
-    x[:, len(tokens) :] = votes[:, live]
-    model = LabelModel(votes[:, live], marks)
+    x[row, whole("tokens").flatten().to_numpy()] = np.log2(whole("times").flatten().to_numpy().astype(np.float32) + 1)
+    x[:, len(tokens) :] = votes = votes[:, live]
+    del data, row
+    model = LabelModel(votes, marks)
     weights, bias = logistic(x, model.post)
     return Model(tokens, weights, bias, voters, live, model)
 

@@ -6,14 +6,18 @@ once whatever the number of windows, and only a p x p system a date (and setting
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cross import daily_ic, order
+from ..durable import durable
 from .stats import ic_summary
 
 
@@ -131,12 +135,17 @@ def windowed_many(df: DataFrame, xs: list[str], y: str, windows: list[int], *by:
     return each.select(*by, "date", "days", total("n").alias("n"), F.array(*(total(f"_{k}") for k in range(size))).alias("st"))
 
 
-def model_grid(df: DataFrame, xs: list[str], y: str, windows: list[int], alphas: list[float], least: int, l1s: list[float] | None = None) -> DataFrame:
-    """Predictions for each window and penalty (and l1 share); the dates' sums are made once."""
+def grid_betas(df: DataFrame, xs: list[str], y: str, windows: list[int], alphas: list[float], least: int, l1s: list[float] | None = None) -> DataFrame:
+    """Coefficients for each date, window and penalty (and l1 share); the dates' sums are made once."""
     parts = windowed_many(df, xs, y, windows).withColumn("alpha", F.explode(F.array(*map(F.lit, map(float, alphas)))))
     if l1s is None:
-        return predicted(df, solved(parts, F.col("alpha"), least), xs)
-    return predicted(df, solved(parts.withColumn("l1", F.explode(F.array(*map(F.lit, map(float, l1s))))), F.col("alpha"), least, l1=F.col("l1")), xs)
+        return solved(parts, F.col("alpha"), least)
+    return solved(parts.withColumn("l1", F.explode(F.array(*map(F.lit, map(float, l1s))))), F.col("alpha"), least, l1=F.col("l1"))
+
+
+def model_grid(df: DataFrame, xs: list[str], y: str, windows: list[int], alphas: list[float], least: int, l1s: list[float] | None = None) -> DataFrame:
+    """Predictions for each window and penalty (and l1 share)."""
+    return predicted(df, grid_betas(df, xs, y, windows, alphas, least, l1s), xs)
 
 
 def model_grid_by_regime(df: DataFrame, factors: dict[str, list[str]], y: str, windows: list[int], alphas: list[float], least: int = 800) -> DataFrame:
@@ -148,18 +157,72 @@ def model_grid_by_regime(df: DataFrame, factors: dict[str, list[str]], y: str, w
     return out
 
 
-def graded(p: DataFrame, *by: str, top: int = 30, bottom: int = 30, cost_bps: float = 0.0, year: float = 252.0) -> DataFrame:
-    """For each setting, rank correlations by date and the returns of the best names over the worst, less costs.
+def average_ranks(v: np.ndarray) -> np.ndarray:
+    """Ranks from 1, ties at their mean."""
+    at = np.argsort(v, kind="stable")
+    begins = np.flatnonzero(np.r_[True, v[at][1:] != v[at][:-1]]) if len(v) else np.zeros(0, dtype=np.int64)
+    size = np.diff(np.r_[begins, len(v)])
+    out = np.empty(len(v))
+    out[at] = np.repeat(begins + (size + 1) / 2.0, size)
+    return out
 
-    Turnover is against the setting's last date before; dates with less than half a leg have no returns.
+
+def correlation(a: np.ndarray, b: np.ndarray) -> float | None:
+    """Of average ranks, whose means are exact; none where a side doesn't vary."""
+    a, b = a - a.mean(), b - b.mean()
+    size = np.sqrt(a @ a) * np.sqrt(b @ b)
+    return float(a @ b / size) if size > 0 else None
+
+
+def marked(p: DataFrame, keys: list[str], top: int, bottom: int, score: str) -> DataFrame:
+    """Rows (keys, k, side, entity, y_true, ic, n): of each group and prediction k its rank correlation (side 'ic') and its legs.
+
+    score: one prediction (null: ranked last), or an array of them (null: the row isn't of that setting). Rows move once,
+    whatever the number of predictions, and a task holds the names of one date.
     """
+    listed, kind = dict(p.dtypes)[score].startswith("array"), dict(p.dtypes)["entity"]
+    rows = p.select(*keys, "entity", F.col("y_true").cast("double").alias("y_true"), (F.col(score) if listed else F.array(score)).alias("_s"))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + f", k int, side string, entity {kind}, y_true double, ic double, n long"
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [("entity", "ascending")]))
+        y, flat = table["y_true"].combine_chunks(), table["_s"].combine_chunks().flatten()
+        known = y.is_valid().to_numpy(zero_copy_only=False)
+        y = y.to_numpy(zero_copy_only=False)
+        there = flat.is_valid().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+        scores = flat.to_numpy(zero_copy_only=False).reshape(len(table), -1)
+        real = average_ranks(y[known])
+        out, names = [], table.select([*keys, "entity", "y_true"])
+        for k in range(scores.shape[1]):
+            mine = np.flatnonzero(there[:, k]) if listed else np.arange(len(table))
+            if not len(mine):
+                continue
+            told = there[mine, k] & known[mine]
+            s = np.where(there[mine, k], scores[mine, k], -np.inf)
+            both = mine[told]
+            ic = correlation(average_ranks(s[told]), real if len(both) == len(real) else average_ranks(y[both])) if len(both) else None
+            out.append(part(names.slice(0, 1), k, "ic", ic, len(both)))
+            if len(mine) >= max(1, top // 2, bottom // 2):
+                best = mine[np.argsort(-s, kind="stable")]
+                for side, leg in (("long", best[:top]), ("short", best[::-1][:bottom])):
+                    out.append(part(names.take(pa.array(leg)), k, side, None, len(mine)))
+        return pa.concat_tables(out) if out else part(names.slice(0, 0), 0, "ic", None, 0)
+
+    def part(names: pa.Table, k: int, side: str, ic: float | None, n: int) -> pa.Table:
+        m = len(names)
+        columns = [names[c] for c in keys] + [pa.array([k] * m, pa.int32()), pa.array([side] * m, pa.string()), names["entity"], names["y_true"], pa.array([ic] * m, pa.float64()), pa.array([n] * m, pa.int64())]
+        return pa.table(columns, names=[*keys, "k", "side", "entity", "y_true", "ic", "n"])
+
+    return durable(rows.groupBy(*keys).applyInArrow(run, schema), "marked")
+
+
+def figures(rows: DataFrame, *by: str, cost_bps: float = 0.0, year: float = 252.0) -> DataFrame:
+    """The summary of marked(): by group, correlations and the returns of the legs less costs."""
     keys = [*by, "date"]
-    ic = ic_summary(daily_ic(p, "y_pred", "y_true", tuple(keys), 2), *by).select(*by, "ic_mean", "ic_std", "ic_ir", F.col("win_rate").alias("ic_win_rate"), F.col("n").alias("n_days"))
-    w = Window.partitionBy(*keys)
-    ranked = p.select(*keys, "entity", "y_true", F.count(F.lit(1)).over(w).alias("_n"), *(F.row_number().over(w.orderBy(*order("y_pred", b))).alias(n) for n, b in (("_up", True), ("_down", False))))
-    ranked = ranked.where(F.col("_n") >= max(1, top // 2, bottom // 2))
-    sides = F.array_compact(F.array(F.when(F.col("_up") <= top, F.lit("long")), F.when(F.col("_down") <= bottom, F.lit("short"))))
-    held = ranked.where((F.col("_up") <= top) | (F.col("_down") <= bottom)).select(*keys, "entity", "y_true", F.explode(sides).alias("side"))
+    daily = rows.where("side = 'ic' and n >= 2 and ic is not null").withColumn("ic", F.round("ic", 12))
+    ic = ic_summary(daily, *by).select(*by, "ic_mean", "ic_std", "ic_ir", F.col("win_rate").alias("ic_win_rate"), F.col("n").alias("n_days"))
+    held = rows.where("side != 'ic'").select(*keys, "entity", "y_true", "side")
     held = held.join(held.select(*keys).distinct().withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("date"))), keys)
     was = held.select(*by, "side", "entity", (F.col("_i") + 1).alias("_i"), F.lit(1).alias("_kept"))
     legs = held.join(was, [*by, "side", "entity", "_i"], "left").groupBy(*keys).pivot("side", ["long", "short"]).agg(F.avg("y_true").alias("r"), F.avg(F.coalesce("_kept", F.lit(0))).alias("kept"))
@@ -169,6 +232,49 @@ def graded(p: DataFrame, *by: str, top: int = 30, bottom: int = 30, cost_bps: fl
     return ic.join(out, list(by), "left")
 
 
+def graded(p: DataFrame, *by: str, top: int = 30, bottom: int = 30, cost_bps: float = 0.0, year: float = 252.0) -> DataFrame:
+    """For each setting, rank correlations by date and the returns of the best names over the worst, less costs.
+
+    Turnover is against the setting's last date before; dates with less than half a leg have no returns.
+    """
+    return figures(marked(p, [*by, "date"], top, bottom, "y_pred").drop("k"), *by, cost_bps=cost_bps, year=year)
+
+
+def graded_grid(
+    df: DataFrame, factors: list[str] | dict[str, list[str]], y: str, windows: list[int], alphas: list[float], least: int, l1s: list[float] | None = None,
+    top: int = 30, bottom: int = 30, cost_bps: float = 0.0, year: float = 252.0,
+) -> DataFrame:
+    """graded() of model_grid(), or of model_grid_by_regime() for factors by regime, by days, alpha (and l1); predictions to nine digits.
+
+    A panel row is not repeated by setting: it gets one array of predictions, from its date's coefficients of all settings.
+    """
+    names = ["days", "alpha"] if l1s is None else ["days", "alpha", "l1"]
+    lists = [list(windows), list(map(float, alphas)), *([] if l1s is None else [list(map(float, l1s))])]
+    place = F.lit(0)
+    for name, values in zip(names, lists, strict=True):
+        place = place * len(values) + (F.array_position(F.array(*map(F.lit, values)), F.col(name)) - 1)
+    settings = list(itertools.product(*lists))
+    parts = []
+    for g, xs in sorted(factors.items()) if isinstance(factors, dict) else [(None, factors)]:
+        own = df if g is None else df.where(F.col("regime") == g)
+        betas = grid_betas(own, xs, y, windows, alphas, least, l1s).withColumn("_k", place.cast("int"))
+        one = betas.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("_k", "beta"))).alias("_b"))  # an entry a setting
+
+        def told(b: Column, xs: list[str] = xs) -> Column:
+            s = b[0]
+            for i, x in enumerate(xs):
+                s = s + b[i + 1] * F.col(x)
+            return F.round(s, 9)
+
+        s = F.transform(F.array(*map(F.lit, range(len(settings)))), lambda k: told(F.try_element_at("_b", k)))
+        parts.append(own.dropna(subset=xs).join(one, "date").select("entity", "date", F.col(y).alias("y_true"), s.alias("y_pred")))
+    # A date may have rows of several regimes, so they are ranked together.
+    rows = marked(functools.reduce(DataFrame.unionByName, parts), ["date"], top, bottom, "y_pred")
+    spark = df.sparkSession
+    known = spark.createDataFrame([(k, *v) for k, v in enumerate(settings)], "k int, days int, alpha double" + (", l1 double" if l1s is not None else ""))
+    return figures(rows.join(F.broadcast(known), "k").drop("k"), *names, cost_bps=cost_bps, year=year)
+
+
 def daily_ols(df: DataFrame, xs: list[str], y: str, least: int = 10, *by: str) -> DataFrame:
     """M8: by date, intercept and slopes, their t values, R2 and adjusted R2; rows (by, date, n, coef, t, r2, adj_r2)."""
 

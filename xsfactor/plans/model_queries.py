@@ -10,6 +10,7 @@ from ..functions.windows import indexed
 from ..operators import cross as X
 from ..operators import models as M
 from ..operators import portfolio as P
+from ..operators import regimes as R
 from ..operators import stats as S
 from ..operators import walk as W
 from ..operators.scan import Setting, holdings
@@ -27,9 +28,13 @@ FX = f"{FS}, fy AS (SELECT *, mom3_std * vr_std AS ab0, mom3_std * amp_std AS ac
 RS = f"{MK}, fs AS (SELECT entity, date, regime, fwd, {', '.join(f'{Z.format(x=x)} AS {x}_std' for x in ('mom3', 'vr', 'amp'))} FROM rp)"
 
 
-def standard(spark: SparkSession, sf_dir: str, regime: bool = False) -> DataFrame:
-    base = regime_panel(spark, sf_dir) if regime else factor_panel(spark, sf_dir)
-    return X.standardised(base, "mom3", "vr", "amp")
+def standard(spark: SparkSession, sf_dir: str, regime: bool | str = False) -> DataFrame:
+    """Standardised factors, made once however often they are read. regime: rows with one; "all": others too, with null."""
+    z = durable(X.standardised(factor_panel(spark, sf_dir), "mom3", "vr", "amp").select(*KEY, "fwd", "r", *XS), "standard")
+    if not regime:
+        return z.drop("r")
+    m = R.with_regime(R.with_volatility(R.market(z), 6, 12.0)).select("date", "regime")
+    return z.drop("r").join(m, "date", "left" if regime == "all" else "inner")
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +78,7 @@ query("m6_ridge_interactions", f"WITH {FX}, {Q.walk_forward('fx', CROSSED, 'fwd'
 @query("m5_elastic_grid")
 def m5(s: SparkSession, d: str) -> DataFrame:
     """Penalties x l1 shares, graded as portfolios."""
-    p = M.model_grid(standard(s, d), XS, "fwd", [DAYS], [0.001, 0.01, 0.1], LEAST, [0.1, 0.3, 0.5, 0.7])
-    p = p.select(*KEY, "alpha", "l1", F.round("y_pred", 9).alias("y_pred"), F.col("fwd").alias("y_true"))
-    return rounded(M.graded(p, "alpha", "l1", cost_bps=5.0, year=12.0))
+    return rounded(M.graded_grid(standard(s, d), XS, "fwd", [DAYS], [0.001, 0.01, 0.1], LEAST, [0.1, 0.3, 0.5, 0.7], cost_bps=5.0, year=12.0).drop("days"))
 
 
 @query("m7_boosting")
@@ -125,16 +128,15 @@ def m15_one(s: SparkSession, d: str) -> DataFrame:
 @query("m14_grid_use_regime")
 def m14(s: SparkSession, d: str) -> DataFrame:
     """With training rows of the date's regime only, and with all: windows x penalties each."""
-    base, windows, alphas = standard(s, d, True), [504, 756], [0.5, 1.0, 2.0, 5.0]
-    own = M.model_grid_by_regime(base, dict.fromkeys(OWN, XS), "fwd", windows, alphas, 1000).drop("regime").withColumn("use_regime", F.lit(True))
-    pooled = M.model_grid(standard(s, d), XS, "fwd", windows, alphas, 1000).select(*KEY, "days", "alpha", F.col("fwd").alias("y_true"), "y_pred").withColumn("use_regime", F.lit(False))
-    return rounded(M.graded(own.unionByName(pooled).withColumn("y_pred", F.round("y_pred", 9)), "use_regime", "days", "alpha", year=12.0))
+    base, windows, alphas = standard(s, d, "all"), [504, 756], [0.5, 1.0, 2.0, 5.0]
+    own = M.graded_grid(base, dict.fromkeys(OWN, XS), "fwd", windows, alphas, 1000, year=12.0).select(F.lit(True).alias("use_regime"), "*")
+    pooled = M.graded_grid(base.drop("regime"), XS, "fwd", windows, alphas, 1000, year=12.0).select(F.lit(False).alias("use_regime"), "*")
+    return rounded(own.unionByName(pooled))
 
 
 @query("m15_regime_specific_grid")
 def m15(s: SparkSession, d: str) -> DataFrame:
-    p = M.model_grid_by_regime(standard(s, d, True), OWN, "fwd", WINDOWS, PENALTIES)
-    return rounded(M.graded(p.withColumn("y_pred", F.round("y_pred", 9)), "days", "alpha", cost_bps=5.0, year=12.0))
+    return rounded(M.graded_grid(standard(s, d, True), OWN, "fwd", WINDOWS, PENALTIES, 800, cost_bps=5.0, year=12.0))
 
 
 def modelled(s: SparkSession, d: str, days: int = DAYS, alpha: float = 1.0) -> DataFrame:

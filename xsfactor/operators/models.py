@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..durable import durable
+from .cross import average_ranks, correlation
 from .stats import ic_summary
 
 
@@ -157,23 +158,6 @@ def model_grid_by_regime(df: DataFrame, factors: dict[str, list[str]], y: str, w
     return out
 
 
-def average_ranks(v: np.ndarray) -> np.ndarray:
-    """Ranks from 1, ties at their mean."""
-    at = np.argsort(v, kind="stable")
-    begins = np.flatnonzero(np.r_[True, v[at][1:] != v[at][:-1]]) if len(v) else np.zeros(0, dtype=np.int64)
-    size = np.diff(np.r_[begins, len(v)])
-    out = np.empty(len(v))
-    out[at] = np.repeat(begins + (size + 1) / 2.0, size)
-    return out
-
-
-def correlation(a: np.ndarray, b: np.ndarray) -> float | None:
-    """Of average ranks, whose means are exact; none where a side doesn't vary."""
-    a, b = a - a.mean(), b - b.mean()
-    size = np.sqrt(a @ a) * np.sqrt(b @ b)
-    return float(a @ b / size) if size > 0 else None
-
-
 def marked(p: DataFrame, keys: list[str], top: int, bottom: int, score: str) -> DataFrame:
     """Rows (keys, k, side, entity, y_true, ic, n): of each group and prediction k its rank correlation (side 'ic') and its legs.
 

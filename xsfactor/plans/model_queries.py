@@ -214,14 +214,15 @@ def compared_sql(tables: str, a: tuple[str, str], b: tuple[str, str]) -> str:
 @query("m19_zscore_vs_rank", compared_sql(f"""{GAUSS}, kz AS (SELECT entity, date, round({Z.format(x='mom')}, 9) AS y_pred, fwd AS y_true FROM m WHERE mom IS NOT NULL),
 sz AS (SELECT * FROM kz WHERE y_pred IS NOT NULL AND y_true IS NOT NULL), sr AS (SELECT entity, date, round(g, 9) AS y_pred, fwd AS y_true FROM gg WHERE g IS NOT NULL AND fwd IS NOT NULL), pd AS (SELECT * FROM sz)""", ("zscore", "sz"), ("rank", "sr")))
 def m19(s: SparkSession, d: str) -> DataFrame:
-    g = X.rank_gauss(momenta(s, d), "mom", "y_pred").select(*KEY, F.round("y_pred", 9).alias("y_pred"), F.col("fwd").alias("y_true")).where("y_pred is not null and y_true is not null")
-    return compared({"zscore": predictions(s, d), "rank": g})
+    base = durable(momenta(s, d), "momenta")
+    g = X.rank_gauss(base, "mom", "y_pred").select(*KEY, F.round("y_pred", 9).alias("y_pred"), F.col("fwd").alias("y_true")).where("y_pred is not null and y_true is not null")
+    return compared({"zscore": predictions(s, d, base), "rank": durable(g, "rank")})
 
 
 @query("m20_neutral_vs_baseline", compared_sql(f"{PRED}, nq AS (SELECT entity, date, round(y_pred - avg(y_pred) OVER (PARTITION BY date, industry), 9) AS y_pred, y_true FROM pd WHERE industry IS NOT NULL)", ("baseline", "pd"), ("neutral", "nq")))
 def m20(s: SparkSession, d: str) -> DataFrame:
     z = predictions(s, d)
-    return compared({"baseline": z, "neutral": X.neutralised(z, ["y_pred"]).withColumn("y_pred", F.round("y_pred", 9))})
+    return compared({"baseline": z, "neutral": durable(X.neutralised(z, ["y_pred"]).withColumn("y_pred", F.round("y_pred", 9)), "neutral")})
 
 
 @query("m21_scenarios")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -85,14 +86,24 @@ em AS (SELECT entity, date, i, y_pred AS y, y_true FROM qi WHERE i = 1 UNION ALL
 SMOOTH = "SELECT date, entity, round(y, 9) AS s, y_true FROM em"
 
 
-def smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.smoothed(predictions(spark, sf_dir), 3).withColumn("y_score", F.round("y_score", 9))
+def smooth(p: DataFrame) -> DataFrame:
+    return P.smoothed(p, 3).withColumn("y_score", F.round("y_score", 9))
+
+
+def of_predictions(held: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The series of what is held on predictions, which are made once for holdings and returns."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        p = predictions(s, d)
+        return rounded(P.series(held(p), p, 5.0).select(*SHOWN))
+
+    return run
 
 
 query("e4_hysteresis", f"WITH RECURSIVE {PRED}, {bands(SCORES, 2)}, {SERIES.format(index='hy', held='hy')} SELECT date, {OUT}, {NET} FROM se")(
-    lambda s, d: rounded(P.series(P.hysteresis(predictions(s, d), N, 2), predictions(s, d), 5.0).select(*SHOWN)))
+    of_predictions(lambda p: P.hysteresis(p, N, 2)))
 query("e5_ema", f"WITH RECURSIVE {PRED}, {EMA}, {LEGS.format(scores=SMOOTH)}, {SERIES.format(index='lg', held='lg')} SELECT date, {OUT}, {NET} FROM se")(
-    lambda s, d: rounded(P.series(P.legs(smooth(s, d), N, N, "y_score"), predictions(s, d), 5.0).select(*SHOWN)))
+    of_predictions(lambda p: P.legs(smooth(p), N, N, "y_score")))
 SWAP = f"""rl AS (SELECT date, list(entity ORDER BY place) AS top, list(entity ORDER BY ends) AS low FROM mb GROUP BY date), ri AS (SELECT *, row_number() OVER (ORDER BY date) AS i FROM rl),
 fo AS (SELECT 0::BIGINT AS i, NULL::DATE AS date, []::BIGINT[] AS l, []::BIGINT[] AS s UNION ALL
   SELECT i, date, list_concat(nl, list_slice(list_filter(list_slice(top, 1, {N}), lambda e: NOT list_contains(nl, e)), 1, {N} - len(nl))), list_concat(ns, list_slice(list_filter(list_slice(low, 1, {N}), lambda e: NOT list_contains(ns, e)), 1, {N} - len(ns))) FROM
@@ -102,7 +113,7 @@ fo AS (SELECT 0::BIGINT AS i, NULL::DATE AS date, []::BIGINT[] AS l, []::BIGINT[
 hy AS (SELECT date, 'long' AS side, unnest(l) AS entity FROM fo WHERE i > 0 UNION ALL SELECT date, 'short', unnest(s) FROM fo WHERE i > 0)"""
 query("e6_swap_cap", f"WITH RECURSIVE {PRED}, {LEGS.format(scores=SCORES)}, {SWAP}, {SERIES.format(index='hy', held='hy')}, {DRAW} SELECT date, {OUT}, {NET}, {r6('drawdown', 'drawdown')} FROM dr")(lambda s, d: rounded(P.run_policy(predictions(s, d), "swap_cap", N, 0.4, 5.0).select(*SHOWN, "drawdown")))
 query("e7_combo", f"WITH RECURSIVE {PRED}, {EMA}, {bands(SMOOTH, 2)}, {SERIES.format(index='hy', held='hy')} SELECT date, {OUT}, {NET} FROM se")(
-    lambda s, d: rounded(P.series(P.hysteresis(smooth(s, d), N, 2, "y_score"), predictions(s, d), 5.0).select(*SHOWN)))
+    of_predictions(lambda p: P.hysteresis(smooth(p), N, 2, "y_score")))
 SPELL = f"{PRED}, {LEGS.format(scores=SCORES)}, dx AS (SELECT date, row_number() OVER (ORDER BY date) AS idx FROM (SELECT DISTINCT date FROM lg)), sp AS (SELECT side, entity, idx - row_number() OVER (PARTITION BY side, entity ORDER BY idx) AS run FROM lg JOIN dx USING (date)), sl AS (SELECT side, entity, count(*) AS days FROM sp GROUP BY side, entity, run)"
 query("t28_half_life", f"WITH {SPELL} SELECT side, median(days) AS half_life FROM sl GROUP BY side")(lambda s, d: P.half_life(P.legs(predictions(s, d), N, N)))
 query("e8_spells", f"WITH {SPELL} SELECT side, entity, days, count(*) AS n FROM sl GROUP BY ALL")(lambda s, d: P.spells(P.legs(predictions(s, d), N, N)).groupBy("side", "entity", "days").agg(F.count(F.lit(1)).alias("n")))

@@ -77,14 +77,15 @@ def chosen(panel: DataFrame, factors: list[str], dates: int, p: float = 0.05) ->
 
 def scored(panel: DataFrame, own: dict[str, list[str]], days: int, alpha: float, least: int) -> DataFrame:
     """Models fitted walk-forward on the regime's own dates and factors: (entity, date, y_pred, y_true)."""
-    z = X.standardised(panel, *sorted({f for fs in own.values() for f in fs}))
+    names = sorted({f for fs in own.values() for f in fs})
+    z = durable(X.standardised(panel, *names).select(*KEY, "regime", "fwd", *(f"{f}_std" for f in names)), "scored")  # sums and predictions of each regime read it
     told = M.walk_forward_by_regime(z, {g: [f"{f}_std" for f in fs] for g, fs in own.items()}, "fwd", days, alpha, least)
     return told.where("y_true is not null").select(*KEY, F.round("y_pred", 9).alias("y_pred"), "y_true")
 
 
 def full_run(panel: DataFrame, factors: list[str], n: int, delta: int, cost_bps: float, days: int, least: int, dates: int, alpha: float = 1.0, p: float = 0.05, year: float = 252.0) -> DataFrame:
     """S24 in one plan: from a panel (entity, date, regime, fwd, factors) to the metrics of a portfolio that a band of `delta` holds."""
-    scores = scored(panel, chosen(panel, factors, dates, p), days, alpha, least)
+    scores = durable(scored(panel, chosen(panel, factors, dates, p), days, alpha, least), "scores")
     return P.metrics(P.with_drawdown(P.series(P.hysteresis(scores, n, delta), scores, cost_bps)), year=year)
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from xsfactor.operators import cross, models
+from xsfactor.operators import cross, models, walk
 
 
 def panel(spark, n_dates=24, names=14):
@@ -42,3 +42,14 @@ def test_a_grid_in_arrays_is_the_grid_by_rows(spark, by_regime):
     plain = {(r["days"], r["alpha"]): r for r in models.graded(p, "days", "alpha", top=3, bottom=3, cost_bps=5.0).collect()}
     for k, r in got.items():
         assert {c: pytest.approx(v, abs=1e-9) for c, v in r.asDict().items()} == plain[k].asDict()
+
+
+def test_models_of_sums_move_no_windows(spark):
+    df = panel(spark)
+    plan = lambda p: p._jdf.queryExecution().toString()
+    by_sums = walk.walk_forward(df, ["a", "b"], "y", 9, walk.Ridge, 12, 1)
+    by_rows = walk.walk_forward(df, ["a", "b"], "y", 9, type("Rows", (walk.Ridge,), {"of_sums": None}), 12, 1)
+    assert "FlatMapCoGroups" not in plan(by_sums) and "FlatMapCoGroups" in plan(by_rows)
+    got, want = ({(r["date"], r["entity"]): r for r in p.collect()} for p in (by_sums, by_rows))
+    assert set(got) == set(want) and len(got) > 100
+    assert all(abs(r["y_pred"] - want[k]["y_pred"]) < 1e-9 and r["n_train"] == want[k]["n_train"] for k, r in got.items())

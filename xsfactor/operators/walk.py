@@ -4,6 +4,8 @@ Time is cut in stretches. A stretch's test dates need the training rows from `da
 its last, so a training row goes to the few stretches whose windows hold it (days / stretch + 2 at most), where neighbouring
 dates share it. A task holds one stretch's window, whatever the length of the history, and fits a model a date. A model
 from a factory is anything with fit(X, y) and predict(X).
+
+Models with of_sums(n, sums, scaled) don't need rows: they get the window's sums (see models.py), so no task holds a window.
 """
 
 from __future__ import annotations
@@ -11,10 +13,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import durable
+from .models import predicted, ridge, windowed
+
 
 class Ridge:
     """Squared error with a penalty on the slopes."""
@@ -31,6 +37,10 @@ class Ridge:
     def predict(self, x: np.ndarray) -> np.ndarray:
         return self.my + (x - self.mx) @ self.beta
 
+    def of_sums(self, n: float, st: np.ndarray, scaled: bool) -> np.ndarray:
+        """Intercept and slopes from a window's sums."""
+        return ridge(n, st, self.alpha, scaled)
+
 
 class ElasticNet(Ridge):
     """Half the mean squared error, with l1 * alpha on absolute and (1 - l1) * alpha / 2 on squared slopes; coordinate descent on rows."""
@@ -38,6 +48,8 @@ class ElasticNet(Ridge):
     def __init__(self, alpha: float = 1.0, l1: float = 0.5, rounds: int = 5000, tol: float = 1e-10):
         self.alpha, self.l1, self.rounds, self.tol = alpha, l1, rounds, tol
 
+    of_sums = None  # fitted on rows
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> ElasticNet:
         self.mx, self.my = x.mean(0), y.mean()
         c, rest, n = x - self.mx, y - self.my, len(x)
@@ -61,6 +73,8 @@ class Huber(Ridge):
     def __init__(self, width: float = 1.345, alpha: float = 1e-6, rounds: int = 50, tol: float = 1e-10):
         self.width, self.alpha, self.rounds, self.tol = width, alpha, rounds, tol
 
+    of_sums = None  # weights hang on each row
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> Huber:
         w, self.beta = np.ones(len(y)), np.full(x.shape[1], np.inf)
         for _ in range(self.rounds):
@@ -122,6 +136,8 @@ def walk_forward(
     rows = df.select("entity", "date", *keys, F.col(y).cast("double").alias("y_true"), *(F.col(x).cast("double").alias(x) for x in xs))
     if isinstance(factors, dict):
         rows = rows.where(F.col(by).isin([g for g, fs in factors.items() if fs]))
+    if getattr(factory(), "of_sums", None):
+        return from_sums(rows, factors, xs, days, factory, least, per_factor, by, scaled)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("entity", "date", *keys)) + ", y_true double, y_pred double, n_train long"
 
@@ -148,10 +164,31 @@ def walk_forward(
         out = test.select(["entity", "date", *keys, "y_true"]).append_column("y_pred", pa.array(guess)).append_column("n_train", pa.array(n_train))
         return out.filter(done)
 
-    train = rows.dropna(subset=["y_true"])
+    train = rows.dropna(subset=["y_true"]).drop("entity")
     return met(train, rows, keys, days, stretch or max(1, days // 4), run, schema)
 
 
+def from_sums(rows: DataFrame, factors: list[str] | dict[str, list[str]], xs: list[str], days: int, factory: Callable, least: int, per_factor: int, by: str | None, scaled: bool) -> DataFrame:
+    """walk_forward() for models that a window's sums determine: rows are added up by date where they are read."""
+
+    @F.pandas_udf("array<double>")
+    def solve(n: pd.Series, st: pd.Series) -> pd.Series:
+        return pd.Series([factory().of_sums(k, np.asarray(s), scaled) for k, s in zip(n, st, strict=True)])
+
+    finite = lambda x: F.when((F.abs(x) < float("inf")) & ~F.isnan(x), F.col(x)).alias(x)
+    keys = [by] if by else []
+    rows = durable(rows.select("entity", "date", *keys, F.col("y_true"), *map(finite, xs)), "rows")  # sums and predictions read it
+    out = None
+    for g, own in sorted((g, fs) for g, fs in factors.items() if fs) if isinstance(factors, dict) else [(None, factors)]:
+        mine = rows.where(F.col(by) == g) if isinstance(factors, dict) else rows
+        known = mine.withColumn("_y", finite("y_true"))
+        sums = windowed(known, own, "_y", days, *keys).where(F.col("n") >= max(least, per_factor * len(own), 1))
+        told = predicted(mine, sums.select(*keys, "date", "n", solve("n", "st").alias("beta")), own, *keys)
+        told = told.select("entity", "date", *keys, "y_true", "y_pred", F.col("n_train").cast("long").alias("n_train"))
+        out = told if out is None else out.unionByName(told)
+    return out if out is not None else rows.select("entity", "date", *keys, "y_true", F.lit(None).cast("double").alias("y_pred"), F.lit(0).cast("long").alias("n_train")).limit(0)
+
+
 class Booster:
     """Squared error boosting on binned features, from cells: rows with equal bins, of which only count and sum of labels matter.
 

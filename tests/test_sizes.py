@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from xsfactor import registry
 from xsfactor.operators import cross, models, walk
 
 
@@ -53,3 +54,9 @@ def test_models_of_sums_move_no_windows(spark):
     got, want = ({(r["date"], r["entity"]): r for r in p.collect()} for p in (by_sums, by_rows))
     assert set(got) == set(want) and len(got) > 100
     assert all(abs(r["y_pred"] - want[k]["y_pred"]) < 1e-9 and r["n_train"] == want[k]["n_train"] for k, r in got.items())
+
+
+@pytest.mark.parametrize("name", ["i9_kruskal", "e5_ema"])
+def test_queries_read_back_what_was_made_once(spark, sf, name):
+    files = registry.QUERIES[name](spark, sf).inputFiles()
+    assert files and not any("lineitem" in f for f in files)

@@ -119,6 +119,32 @@ def test_join_of_hot_tokens(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == classes(rows, 5, 80, 100)
 
 
+def records_moved(plan):
+    """Rows that the exchanges of a finished plan wrote."""
+    name, kids = plan.nodeName(), plan.children()
+    if name == "AdaptiveSparkPlan":
+        return records_moved(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return records_moved(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+    return own + sum(records_moved(kids.apply(k)) for k in range(kids.size()))
+
+
+def test_points_without_a_shared_token_stay_where_they_are(spark):
+    found = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(256).cast("long").alias("n"), F.lit(np.ones(256, "<u2").tobytes()).alias("vec"))
+    members = spark.createDataFrame([(1, 7), (1, 8), (2, 90)], "bucket long, doc long")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = jaccard_join.candidates(members, found, 90, 100)
+        assert [tuple(r) for r in pairs.collect()] == [(7, 8)]
+        assert 0 < records_moved(pairs._jdf.queryExecution().executedPlan()) < 100
+        sets = spark.createDataFrame([(i, [i]) for i in range(50)], "id long, set array<long>")
+        assert {7, 8} <= {r["id"] for r in jaccard_join.sets_of_pairs(sets, pairs).collect()} < set(range(50))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_tree_finds_all_pairs_and_drops_nodes():
     rng = np.random.default_rng(3)
     n = 3000

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 from xsfactor.operators import models as M
+from xsfactor.operators import passes
 from xsfactor.operators import walk as W
 
 DAY0 = dt.date(2000, 1, 1)
@@ -147,3 +148,36 @@ def test_boosting_finds_what_lines_cannot():
     y = np.where((cells[:, 0] > 7) == (cells[:, 1] > 3), 1.0, -1.0)
     model = W.Booster(16, 60, 0.2).fit(cells, np.ones(2000), y)
     assert np.abs(model.predict(cells) - y).mean() < 0.05
+
+
+@pytest.mark.parametrize("by", [None, "regime"])
+def test_robust_models_move_no_windows(spark, by, monkeypatch):
+    monkeypatch.setattr(passes, "NAMED", 4)  # so that bounds close in, and ties fill single cells
+    pdf = made_up(24, 10, 7)
+    pdf["y"] = pdf.y.round(0 if by is None else 3)
+    own = ["a", "b"] if by is None else {"up": ["a", "b"], "down": ["b"]}
+    held = type("Held", (W.Huber,), {"in_passes": False})
+    got, want = (W.walk_forward(frame(spark, pdf), own, "y", 90, f, 30, 5, by=by) for f in (W.Huber, held))
+    plan = lambda p: p._jdf.queryExecution().toString()
+    assert "FlatMapCoGroups" not in plan(got) and "FlatMapCoGroups" in plan(want)
+    got, want = ({(r["date"], r["entity"]): r for r in p.collect()} for p in (got, want))
+    assert set(got) == set(want) and len(got) > 100
+    assert all(abs(r["y_pred"] - want[k]["y_pred"]) < 1e-8 and r["n_train"] == want[k]["n_train"] for k, r in got.items())
+
+
+@pytest.mark.parametrize("values", [[3.0], [0.0, 0.0, 5.0], [1.0, 2.0], [2.0] * 40, [1.0] * 20 + [7.0] * 20, list(np.random.default_rng(1).exponential(size=501)), [0.5, np.inf, np.inf]])
+@pytest.mark.parametrize("bounds", [(0.0, 1.0), (1.0, 1.5), (40.0, 50.0), (0.0, 5e-324)])
+def test_bounds_close_in_on_the_median(monkeypatch, values, bounds):
+    monkeypatch.setattr(passes, "NAMED", 8)
+    values, now = np.array(values), tuple(map(passes.bits, bounds))
+    for _ in range(40):
+        halves = [passes.Tally((0, 0, "median", None, None, (0.0, np.zeros(0)), np.inf, now, len(values))) for _ in range(2)]
+        for part, k in zip(halves, (slice(0, 3), slice(3, None)), strict=True):
+            if len(values[k]):
+                part.add(np.zeros((0, len(values[k]))), values[k])
+        near = None if any(p.row()[4] is None for p in halves) else np.concatenate([p.row()[4] for p in halves])
+        found, closer = passes.middle(len(values), now, sum(p.counts for p in halves), min(p.above for p in halves), near)
+        if closer is None:
+            break
+        now = tuple(closer)
+    assert found == np.median(values)

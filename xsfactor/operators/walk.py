@@ -6,6 +6,7 @@ dates share it. A task holds one stretch's window, whatever the length of the hi
 from a factory is anything with fit(X, y) and predict(X).
 
 Models with of_sums(n, sums, scaled) don't need rows: they get the window's sums (see models.py), so no task holds a window.
+Robust ones (in_passes) weigh rows where they are, pass by pass (see passes.py), and hold none either.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..durable import durable
 from .models import predicted, ridge, windowed
+from .passes import fitted, numbers, ordinals
 
 
 class Ridge:
@@ -73,7 +75,7 @@ class Huber(Ridge):
     def __init__(self, width: float = 1.345, alpha: float = 1e-6, rounds: int = 50, tol: float = 1e-10):
         self.width, self.alpha, self.rounds, self.tol = width, alpha, rounds, tol
 
-    of_sums = None  # weights hang on each row
+    of_sums, in_passes = None, True  # weights hang on each row
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Huber:
         w, self.beta = np.ones(len(y)), np.full(x.shape[1], np.inf)
@@ -108,14 +110,6 @@ def met(train: DataFrame, test: DataFrame, keys: list[str], days: int, stretch:
     return t.groupBy(*keys, "_stretch").cogroup(s.groupBy(*keys, "_stretch")).applyInArrow(sorted_run, schema)
 
 
-def numbers(t: pa.Table, columns: list[str]) -> np.ndarray:
-    return np.column_stack([t[c].to_numpy(zero_copy_only=False).astype(np.float64) for c in columns]) if columns else np.zeros((len(t), 0))
-
-
-def ordinals(t: pa.Table) -> np.ndarray:
-    return t["date"].cast(pa.int32()).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def windows(have: np.ndarray, dates: np.ndarray, days: int) -> Iterator[tuple[slice, slice]]:
     """For each different test date its training rows (days before it, not itself) and its own rows; both sorted by date."""
     for d in np.unique(dates):
@@ -138,6 +132,8 @@ def walk_forward(
         rows = rows.where(F.col(by).isin([g for g, fs in factors.items() if fs]))
     if getattr(factory(), "of_sums", None):
         return from_sums(rows, factors, xs, days, factory, least, per_factor, by, scaled)
+    if getattr(factory(), "in_passes", False):
+        return from_passes(rows, factors, xs, days, factory, least, per_factor, by, scaled)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("entity", "date", *keys)) + ", y_true double, y_pred double, n_train long"
 
@@ -175,15 +171,40 @@ def from_sums(rows: DataFrame, factors: list[str] | dict[str, list[str]], xs: li
     def solve(n: pd.Series, st: pd.Series) -> pd.Series:
         return pd.Series([factory().of_sums(k, np.asarray(s), scaled) for k, s in zip(n, st, strict=True)])
 
-    finite = lambda x: F.when((F.abs(x) < float("inf")) & ~F.isnan(x), F.col(x)).alias(x)
     keys = [by] if by else []
     rows = durable(rows.select("entity", "date", *keys, F.col("y_true"), *map(finite, xs)), "rows")  # sums and predictions read it
-    out = None
+
+    def betas(mine: DataFrame, g: str | None, own: list[str]) -> DataFrame:
+        sums = windowed(mine.withColumn("_y", finite("y_true")), own, "_y", days, *keys).where(F.col("n") >= max(least, per_factor * len(own), 1))
+        return sums.select(*keys, "date", "n", solve("n", "st").alias("beta"))
+
+    return foretold(rows, betas, factors, by)
+
+
+def from_passes(rows: DataFrame, factors: list[str] | dict[str, list[str]], xs: list[str], days: int, factory: Callable, least: int, per_factor: int, by: str | None, scaled: bool) -> DataFrame:
+    """walk_forward() for robust models: rows are dealt evenly and sorted by date once, and read again by each pass."""
+    keys, spark = [by] if by else [], rows.sparkSession
+    rows = rows.select("entity", "date", *keys, F.col("y_true"), *map(finite, xs)).repartition(2 * spark.sparkContext.defaultParallelism, "entity", "date")
+    rows = durable(rows.sortWithinPartitions(*keys, "date"), "rows")
+    of = lambda g: factors[g] if isinstance(factors, dict) else factors
+    wanted = [(r[by] if by else None, r["date"]) for r in rows.where("date is not null").select(*keys, "date").distinct().collect()]  # a row a date
+    wanted = [(g, d, of(g), max(least, per_factor * len(of(g)))) for g, d in sorted(wanted, key=str)]
+    found = fitted(rows.select("date", *keys, "y_true", *xs), wanted, by, "y_true", days, factory(), scaled)
+    kinds = dict(rows.dtypes)
+    lines = spark.createDataFrame([((g,) if by else ()) + (d, n, line) for g, d, n, line in found], ", ".join(f"`{k}` {kinds[k]}" for k in keys) + (", " if keys else "") + "date date, n long, beta array<double>")
+    return foretold(rows, lambda mine, g, own: lines if g is None else lines.where(F.col(by) == g), factors, by)
+
+
+def finite(x: str) -> Column:
+    return F.when((F.abs(x) < float("inf")) & ~F.isnan(x), F.col(x)).alias(x)
+
+
+def foretold(rows: DataFrame, betas: Callable, factors: list[str] | dict[str, list[str]], by: str | None) -> DataFrame:
+    """Predictions of rows from betas(rows of a group, group, its factors): (keys, date, n, beta)."""
+    out, keys = None, [by] if by else []
     for g, own in sorted((g, fs) for g, fs in factors.items() if fs) if isinstance(factors, dict) else [(None, factors)]:
         mine = rows.where(F.col(by) == g) if isinstance(factors, dict) else rows
-        known = mine.withColumn("_y", finite("y_true"))
-        sums = windowed(known, own, "_y", days, *keys).where(F.col("n") >= max(least, per_factor * len(own), 1))
-        told = predicted(mine, sums.select(*keys, "date", "n", solve("n", "st").alias("beta")), own, *keys)
+        told = predicted(mine, betas(mine, g, own), own, *keys)
         told = told.select("entity", "date", *keys, "y_true", "y_pred", F.col("n_train").cast("long").alias("n_train"))
         out = told if out is None else out.unionByName(told)
     return out if out is not None else rows.select("entity", "date", *keys, "y_true", F.lit(None).cast("double").alias("y_pred"), F.lit(0).cast("long").alias("n_train")).limit(0)

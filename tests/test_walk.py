@@ -152,6 +152,7 @@ def test_boosting_finds_what_lines_cannot():
 
 @pytest.mark.parametrize("by", [None, "regime"])
 def test_robust_models_move_no_windows(spark, by, monkeypatch):
+    monkeypatch.setattr(W, "HELD", 0)
     monkeypatch.setattr(passes, "NAMED", 4)  # so that bounds close in, and ties fill single cells
     pdf = made_up(24, 10, 7)
     pdf["y"] = pdf.y.round(0 if by is None else 3)

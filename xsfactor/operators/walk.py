@@ -6,7 +6,7 @@ dates share it. A task holds one stretch's window, whatever the length of the hi
 from a factory is anything with fit(X, y) and predict(X).
 
 Models with of_sums(n, sums, scaled) don't need rows: they get the window's sums (see models.py), so no task holds a window.
-Robust ones (in_passes) weigh rows where they are, pass by pass (see passes.py), and hold none either.
+Robust ones (in_passes) weigh rows where they are, pass by pass (see passes.py), unless the whole table is HELD rows at most.
 """
 
 from __future__ import annotations
@@ -24,6 +24,10 @@ from .models import predicted, ridge, windowed
 from .passes import fitted, numbers, ordinals
 
 
+#: A table of so many rows may be a task's; that is quicker than passes, and the number doesn't grow with the input.
+HELD = 500_000
+
+
 class Ridge:
     """Squared error with a penalty on the slopes."""
 
@@ -132,7 +136,7 @@ def walk_forward(
         rows = rows.where(F.col(by).isin([g for g, fs in factors.items() if fs]))
     if getattr(factory(), "of_sums", None):
         return from_sums(rows, factors, xs, days, factory, least, per_factor, by, scaled)
-    if getattr(factory(), "in_passes", False):
+    if getattr(factory(), "in_passes", False) and rows.count() > HELD:
         return from_passes(rows, factors, xs, days, factory, least, per_factor, by, scaled)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("entity", "date", *keys)) + ", y_true double, y_pred double, n_train long"

@@ -226,6 +226,30 @@ def test_classifiers_on_held_out_rows(spark, name, label, least):
         assert (yes & said & of).sum() / (yes & of).sum() >= 0.8 and area(yes[of], both.score[of].rank()) >= 0.85, x
 
 
+def test_fitting_the_label_model_and_the_classifier_holds_few_floats():
+    """Votes that repeat are one case, and rows are dense a block at a time: 20,000 rows by 500 features would be 40 MB, their votes 15."""
+    import tracemalloc
+
+    rng, n, p = np.random.default_rng(5), 20_000, 430
+    votes = (rng.random((60, 66)) < 0.1).astype(np.int8)[rng.integers(0, 60, n)]
+    marks, sizes = np.where(np.arange(n) % 2, rng.integers(0, 2, n), -1), rng.integers(0, 20, n)
+    tokens = np.concatenate([rng.choice(p, k, replace=False) for k in sizes]).astype(np.int16)
+    values = rng.random(len(tokens)).astype(np.float32) + 1
+    tracemalloc.start()
+    x = toxicity.Features(sizes, tokens, values, p, votes)
+    model = toxicity.LabelModel(votes, marks, rounds=3)
+    weights, bias = toxicity.logistic(x, model.post, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6
+    dense = np.zeros((n, p + 66), np.float32)
+    dense[np.repeat(np.arange(n), sizes), tokens], dense[:, p:] = values, votes
+    assert np.array_equal(x[995:1500], dense[995:1500]) and np.array_equal(x[n - 3 : n + 9], dense[-3:])
+    again = toxicity.logistic(dense, model.post, rounds=2)
+    assert np.allclose(weights, again[0], atol=1e-12) and abs(bias - again[1]) < 1e-12
+    assert len(model.post) == len(model.alone) == n and len(np.unique(np.c_[votes, marks, model.post], axis=0)) == len(np.unique(np.c_[votes, marks], axis=0))
+
+
 def test_label_model_estimates_accuracies_and_correlations():
     """Made-up voters of known accuracy, one of them nearly doubled; one mark in ten is wrong, and every other row has none."""
     rng = np.random.default_rng(1)

@@ -367,6 +367,24 @@ def test_resharding_moves_what_the_flow_says_and_loses_nothing(spark, docs):
     assert key(got) == key(docs)
 
 
+def test_pieces_are_compatible_where_merging_leaves_them_and_chunks_are_remembered(monkeypatch):
+    """By the merges that each piece is known for, not by merging anew; few chunks remembered give the same as many."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, own, rng = sentencepiece.SentencePieceProcessor(model_file=path), piece_encoding.Encoder(path), random.Random(6)
+    pieces = sorted(own.merges)
+    pairs = [(rng.choice(pieces), rng.choice(pieces)) for _ in range(3000)]
+    pairs += [(p[:k], p[k:]) for p in pieces for k in range(1, len(p)) if p[:k] in own.merges and p[k:] in own.merges][:3000]
+    assert all(own.compatible(a, b) == (own.merged(a + b) == [a, b]) for a, b in pairs)
+    monkeypatch.setattr(piece_encoding, "REMEMBERED", 5)
+    for _ in range(300):
+        t = " ".join("".join(rng.choices("abenrst,.éñ漢😀\n", k=rng.randint(0, 9))) for _ in range(rng.randint(0, 30)))
+        ids = sp.encode(t, add_eos=True)
+        assert own.encoded(t) == (" ".join(map(str, ids)), sp.decode(ids)) and own.decode(own.encode(t)) == sp.decode(ids)
+    assert len(own.chunks) <= 5 and len(own.chunks.last) <= 5
+
+
 def test_long_texts_without_a_cut_are_encoded_by_backtracking():
     import sentencepiece
 

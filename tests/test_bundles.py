@@ -122,3 +122,16 @@ def test_bad_lines_come_back_and_good_ones_are_unharmed(spark, tmp_path):
     ])
     n = {r["file"].rsplit("/", 1)[1]: (r["good"], r["bad"], r["reasons"]) for r in imports.counts(spark, str(tmp_path)).collect()}
     assert n["600001.csv"] == (2, 5, {"open": 1, "close": 1, "date": 1, "cells": 2}) and n["3.csv"] == (0, 2, {"no header": 2}) and n["0000022.csv"][:2] == (2, 1)
+
+
+def test_import_judges_lines_once(spark, tmp_path, monkeypatch):
+    """s20_import reads its files for their lines and for their headers, not once more for the bad ones; cells with quotes still hold commas."""
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr("xsfactor.plans.run_queries.shared_folder", lambda s: str(tmp_path / "out"))
+    plan = entry.queries()["s20_import"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [value#") == 2
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "600001.csv").write_text('Date,close,name\n2024-01-02,1.5,"a, b"\n2024-01-04,3,plain date\n"日期",close,name\n', encoding="utf-8")
+    good, bad = imports.imported(spark, str(tmp_path / "in"))
+    assert sorted((str(r["date"]), r["close"]) for r in good.collect()) == [("2024-01-02", 1.5), ("2024-01-04", 3.0)] and bad.count() == 0

@@ -194,7 +194,7 @@ def s20(s: SparkSession, d: str) -> DataFrame:
     text = lambda c, bad, m: F.when(month == m, F.lit(bad)).otherwise(F.col(c).cast("string")).alias(c)
     bars = supplier_month(s, d).select(F.col("entity").cast("string").alias("code"), text("date", "soon", 7), "open", "high", "low", text("close", "n/a", 3), text("volume", "1 lot", 11))
     bars.write.csv(folder, header=True)
-    good, bad = imports.imported(s, folder)
-    by_entity = good.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.sum("close").alias("close")).select("entity", F.lit(None).cast("string").alias("reason"), "n", "close")
-    by_reason = bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("string").alias("entity"), "reason", "n", F.lit(None).cast("double").alias("close"))
-    return rounded(by_entity.unionByName(by_reason))
+    # Lines are judged once, for both parts.
+    good = F.col("reason").isNull()
+    found = imports.judged(s, folder).select(F.when(good, F.col("row.entity")).alias("entity"), "reason", F.when(good, F.col("row.close")).alias("close"))
+    return rounded(found.groupBy("entity", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("close").alias("close")))

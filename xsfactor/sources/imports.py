@@ -13,7 +13,9 @@ NUMBERS = [f.name for f in BARS.fields if f.name not in ("date", "entity")]
 
 
 def cells(line: Column) -> Column:
-    return F.transform(F.split(line, COMMA, -1), lambda c: F.trim(F.regexp_replace(F.trim(c), r'^"|"$', "")))
+    # Only a line with quotes needs the pattern, which looks ahead to the line's end at each comma.
+    parts = F.when(F.contains(line, F.lit('"')), F.split(line, COMMA, -1)).otherwise(F.split(line, ",", -1))
+    return F.transform(parts, lambda c: F.trim(F.regexp_replace(F.trim(c), r'^"|"$', "")))
 
 
 def canonical(name: Column) -> Column:
@@ -36,7 +38,12 @@ def judged(spark: SparkSession, folder: str) -> DataFrame:
     (cut to six), else the cell of that name, padded to six. Lines of a file that repeat its header are left out.
     """
     split = lines_of(spark, folder).withColumn("cells", cells(F.col("line"))).withColumn("names", F.transform("cells", canonical))
-    is_header = F.array_contains("names", "date")
+    # Few lines have a date column's name anywhere; only their cells' names are looked up.
+    dates = [k for k, v in BAR_ALIASES.items() if v == "date"]
+    near = F.contains(F.lower("line"), F.lit("date"))
+    for k in dates:
+        near = near | F.contains(F.col("line"), F.lit(k))
+    is_header = F.when(near, F.array_contains("names", "date")).otherwise(F.lit(False))
     # Of several headers in a file the smallest counts, which is the same whatever the order of lines.
     headers = split.where(is_header).groupBy("file").agg(F.min("names").alias("header"))
     rows = split.where(~is_header).drop("names").join(headers, "file", "left")

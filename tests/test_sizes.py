@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from xsfactor import registry
 from xsfactor.operators import cross, models, walk
+from xsfactor.plans.ic_queries import regime_panel
+from xsfactor.sources.panels import supplier_month, table
 
 
 def panel(spark, n_dates=24, names=14):
@@ -60,3 +62,20 @@ def test_models_of_sums_move_no_windows(spark):
 def test_queries_read_back_what_was_made_once(spark, sf, name):
     files = registry.QUERIES[name](spark, sf).inputFiles()
     assert files and not any("lineitem" in f for f in files)
+
+
+def test_bars_sort_lines_once_where_they_arrive(spark, sf):
+    bars = supplier_month(spark, sf)
+    below = bars._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(entity")[-1]
+    assert "FileScan" in below and "Sort" not in below
+    want = {}
+    for r in table(spark, sf, "lineitem").collect():
+        want.setdefault((r["l_suppkey"], r["l_shipdate"].date().replace(day=1)), []).append((r["l_shipdate"], r["l_extendedprice"] / r["l_quantity"]))
+    got = {(r["entity"], r["date"]): (r["open"], r["high"], r["low"], r["close"], r["ticks"]) for r in bars.collect()}
+    px = lambda v: [x[1] for x in v]
+    assert got == {k: (min(v)[1], max(px(v)), min(px(v)), max(v)[1], len(v)) for k, v in want.items()} and len(got) > 500
+
+
+def test_regime_panels_hold_what_is_asked_for(spark, sf):
+    assert regime_panel(spark, sf, "mom3", "fwd").columns == ["date", "entity", "r", "mom3", "fwd", "regime", "volatility", "market_return"]
+    assert {"vr", "amp", "industry"} <= set(regime_panel(spark, sf).columns)

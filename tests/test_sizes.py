@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from xsfactor import registry
+from xsfactor.durable import durable
 from xsfactor.operators import cross, models, walk
 from xsfactor.plans.ic_queries import regime_panel
 from xsfactor.sources.panels import supplier_month, table
@@ -79,3 +80,25 @@ def test_bars_sort_lines_once_where_they_arrive(spark, sf):
 def test_regime_panels_hold_what_is_asked_for(spark, sf):
     assert regime_panel(spark, sf, "mom3", "fwd").columns == ["date", "entity", "r", "mom3", "fwd", "regime", "volatility", "market_return"]
     assert {"vr", "amp", "industry"} <= set(regime_panel(spark, sf).columns)
+
+
+def test_regimes_share_one_pass_for_sums_and_one_for_predictions(spark):
+    mixed = panel(spark).withColumn("regime", F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit(None), F.lit("C")), (F.col("entity") % 4 + 1).cast("int")))
+    df, own = durable(mixed.withColumn("b", F.when(F.col("entity") % 5 == 0, float("nan")).otherwise(F.col("b"))), "panel"), {"A": ["a", "b"], "B": ["b"], "none": ["a"]}
+    p = models.walk_forward_by_regime(df, own, "y", 9, 1.0, 5)
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "hashpartitioning" not in plan
+    key = lambda r: (r["entity"], r["date"], r["regime"])
+    want = {key(r): r for g, xs in own.items() for r in models.walk_forward(df.where(F.col("regime") == g), xs, "y", 9, 1.0, 5).collect()}
+    got = {key(r): r for r in p.collect()}
+    assert set(got) == set(want) and {k[2] for k in got} == {"A", "B"} and len(got) > 80
+    assert all(r["y_pred"] == pytest.approx(want[k]["y_pred"], abs=1e-12) and r["y_true"] == want[k]["y"] for k, r in got.items())
+
+
+def test_standardising_in_place_moves_no_rows(spark):
+    df = durable(panel(spark).withColumn("date", F.when(F.col("date") != dt.date(2020, 1, 2), F.col("date"))).withColumn("a", F.when(F.col("date") == dt.date(2020, 1, 3), 1.0).otherwise(F.col("a"))), "panel")
+    z = cross.standardised_in_place(df, "a", "b")
+    plan = z._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
+    rows = lambda d: sorted(((r["entity"], str(r["date"]), round(r["a_std"], 9) if r["a_std"] is not None else None, round(r["b_std"], 9) if r["b_std"] is not None else None) for r in d.collect()), key=repr)
+    assert z.columns == cross.standardised(df, "a", "b").columns and rows(z) == rows(cross.standardised(df, "a", "b")) and z.count() == 24 * 14

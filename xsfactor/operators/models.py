@@ -22,11 +22,16 @@ from .cross import average_ranks, correlation
 from .stats import ic_summary
 
 
+def terms(xs: list[str], y: str) -> list[Column]:
+    """What a date's sums are of, flattened: x, y, xx', xy, yy."""
+    x, of = [F.col(c) for c in xs], F.col(y)
+    return [*x, of, *(a * b for a in x for b in x), *(a * of for a in x), of * of]
+
+
 def sums(df: DataFrame, xs: list[str], y: str, *by: str) -> DataFrame:
     """Rows (by, n, st): the sums over rows complete in label and factors, flattened: x, y, xx', xy, yy."""
     rows = df.dropna(subset=[*xs, y])
-    parts = [F.sum(x) for x in xs] + [F.sum(y)] + [F.sum(F.col(a) * F.col(b)) for a in xs for b in xs] + [F.sum(F.col(a) * F.col(y)) for a in xs] + [F.sum(F.col(y) * F.col(y))]
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.array(*parts).alias("st"))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.array(*map(F.sum, terms(xs, y))).alias("st"))
 
 
 def windowed(df: DataFrame, xs: list[str], y: str, days: int, *by: str) -> DataFrame:
@@ -34,7 +39,11 @@ def windowed(df: DataFrame, xs: list[str], y: str, days: int, *by: str) -> DataF
     p = len(xs)
     size = 2 * p + 2 + p * p
     daily = sums(df, xs, y, *by, "date").select(*by, "date", "n", *(F.col("st")[k].alias(f"_{k}") for k in range(size)))
-    dates = df.select(*by, "date").distinct().join(daily, [*by, "date"], "left")
+    return over_days(df.select(*by, "date").distinct().join(daily, [*by, "date"], "left"), size, days, *by)
+
+
+def over_days(dates: DataFrame, size: int, days: int, *by: str) -> DataFrame:
+    """windowed() from the dates' own sums n, _0, _1 ...; null on dates without complete rows."""
     w = (Window.partitionBy(*by) if by else Window).orderBy(F.unix_date("date")).rangeBetween(-days, -1)
     total = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0.0))
     return dates.select(*by, "date", total("n").alias("n"), F.array(*(total(f"_{k}") for k in range(size))).alias("st"))
@@ -104,12 +113,28 @@ def walk_forward(df: DataFrame, xs: list[str], y: str, days: int, alpha: float,
 
 
 def walk_forward_by_regime(df: DataFrame, factors: dict[str, list[str]], y: str, days: int, alpha: float, least: int = 800) -> DataFrame:
-    """M2: each regime with its own factors; complete rows are those of the regime's factors."""
-    parts = [walk_forward(df.where(F.col("regime") == g), xs, y, days, alpha, least).select("entity", "date", "regime", F.col(y).alias("y_true"), "y_pred") for g, xs in sorted(factors.items())]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """M2: each regime with its own factors; complete rows are those of the regime's factors.
+
+    Rows are read once for the sums of all regimes and once to be predicted; sums and coefficients are a row a date and regime.
+    """
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    parts, own = [], []
+    for i, (g, xs) in enumerate(sorted(factors.items())):
+        own.append(functools.reduce(Column.__and__, map(known, xs), F.col("regime") == g))
+        full = own[-1] & known(y)
+        parts += [F.count_if(full).cast("double").alias(f"_{i}_n"), *(F.sum(F.when(full, c)).alias(f"_{i}_{k}") for k, c in enumerate(terms(xs, y)))]
+    daily = durable(df.where(F.col("regime").isin(list(factors))).groupBy("regime", "date").agg(*parts), "regime-sums")
+    betas, told = [], F.lit(None).cast("double")
+    for i, (g, xs) in enumerate(sorted(factors.items())):
+        size = len(terms(xs, y))
+        mine = daily.where(F.col("regime") == g).select("regime", "date", F.col(f"_{i}_n").alias("n"), *(F.col(f"_{i}_{k}").alias(f"_{k}") for k in range(size)))
+        betas.append(solved(over_days(mine, size, days, "regime"), alpha, least).select("regime", "date", "beta"))
+        p = F.col("beta")[0]
+        for k, x in enumerate(xs):
+            p = p + F.col("beta")[k + 1] * F.col(x)
+        told = F.when(own[i], p).otherwise(told)
+    rows = df.where(functools.reduce(Column.__or__, own)).join(durable(functools.reduce(DataFrame.unionByName, betas), "betas"), ["regime", "date"])
+    return rows.select("entity", "date", "regime", F.col(y).alias("y_true"), told.alias("y_pred"))
 
 
 def windowed_many(df: DataFrame, xs: list[str], y: str, windows: list[int], *by: str) -> DataFrame:
@@ -120,8 +145,7 @@ def windowed_many(df: DataFrame, xs: list[str], y: str, windows: list[int], *by:
     full = F.lit(True)
     for c in (*xs, y):
         full = full & F.col(c).isNotNull()
-    one = lambda c: F.sum(F.when(full, c))
-    parts = [one(F.col(x)) for x in xs] + [one(F.col(y))] + [one(F.col(a) * F.col(b)) for a in xs for b in xs] + [one(F.col(a) * F.col(y)) for a in xs] + [one(F.col(y) * F.col(y))]
+    parts = [F.sum(F.when(full, c)) for c in terms(xs, y)]
     daily = df.groupBy(*by, "date").agg(F.count_if(full).cast("double").alias("n"), *(c.alias(f"_{k}") for k, c in enumerate(parts)))
     each = daily.withColumn("days", F.explode(F.array(*map(F.lit, windows))))
     # A frame's width is a constant, so each window's sums come from its own frame, and a row takes that of its own.

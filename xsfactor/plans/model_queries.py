@@ -30,10 +30,11 @@ RS = f"{MK}, fs AS (SELECT entity, date, regime, fwd, {', '.join(f'{Z.format(x=x
 
 def standard(spark: SparkSession, sf_dir: str, regime: bool | str = False) -> DataFrame:
     """Standardised factors, made once however often they are read. regime: rows with one; "all": others too, with null."""
-    z = durable(X.standardised(factor_panel(spark, sf_dir), "mom3", "vr", "amp").select(*KEY, "fwd", "r", *XS), "standard")
+    base = durable(factor_panel(spark, sf_dir).select(*KEY, "fwd", "r", "mom3", "vr", "amp"), "panel")
+    z = X.standardised_in_place(base, "mom3", "vr", "amp").select(*KEY, "fwd", "r", *XS)
     if not regime:
         return z.drop("r")
-    m = R.with_regime(R.with_volatility(R.market(z), 6, 12.0)).select("date", "regime")
+    m = R.with_regime(R.with_volatility(R.market(base), 6, 12.0)).select("date", "regime")
     return z.drop("r").join(m, "date", "left" if regime == "all" else "inner")
 
 

@@ -17,7 +17,7 @@ from ..operators.scan import Setting, holdings
 from . import sql_models as Q
 from .catalog import query, r6, rounded
 from .factor_queries import GAUSS, KEY, PRED, Z, momenta, predictions
-from .ic_queries import F0, MK, SUMMARY, SUMMED, factor_panel, ic_sql, regime_panel
+from .ic_queries import F0, MK, SUMMARY, SUMMED, factor_panel, ic_sql, month_regime_panel
 from .portfolio_queries import SCORES, SERIES, bands, book, costed, tagged
 
 DAYS, LEAST = 1095, 200
@@ -100,7 +100,7 @@ RSL = f"{MK}, rs AS (SELECT regime, date, count(*) AS n, covar_pop(mom3, fwd) /
 
 
 def regime_slopes(s: SparkSession, d: str) -> DataFrame:
-    return M.slopes(regime_panel(s, d, "mom3", "fwd"), "mom3", "fwd", 5, "regime")
+    return M.slopes(month_regime_panel(s, d, "mom3", "fwd"), "mom3", "fwd", 5, "regime")
 
 
 query("m11_conditional_fmb", f"WITH {RSL}, z AS (SELECT regime, {FMB} FROM rs GROUP BY regime HAVING count(beta) >= 6) SELECT regime, {FMB_OUT} FROM z")(lambda s, d: rounded(M.fama_macbeth(regime_slopes(s, d), "regime", least=6)))
@@ -121,7 +121,7 @@ bt AS (SELECT *, (sxy - sx * sy / n) / (sxx - sx * sx / n + alpha) AS beta FROM
 SELECT days, alpha, regime, count(*) AS n, {r6('avg(p)', 'mean_pred')}, round(avg((p - y) * (p - y)), 4) AS mse FROM pp GROUP BY ALL""")
 def m15_one(s: SparkSession, d: str) -> DataFrame:
     """Each regime with its own training rows, one factor: all windows and penalties."""
-    p = M.model_grid_by_regime(regime_panel(s, d, "mom3", "fwd"), dict.fromkeys(OWN, ["mom3"]), "fwd", WINDOWS, PENALTIES, LEAST)
+    p = M.model_grid_by_regime(month_regime_panel(s, d, "mom3", "fwd"), dict.fromkeys(OWN, ["mom3"]), "fwd", WINDOWS, PENALTIES, LEAST)
     off = F.col("y_pred") - F.col("y_true")
     return rounded(p.groupBy("days", "alpha", "regime").agg(F.count(F.lit(1)).alias("n"), F.avg("y_pred").alias("mean_pred"), F.avg(off * off).alias("mse")), mse=4)
 

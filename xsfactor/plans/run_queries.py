@@ -20,7 +20,7 @@ from ..sources.bundles import Artefact, Stages
 from ..sources.panels import SM, supplier_month, table
 from .catalog import query, r6, rounded
 from .factor_queries import KEY, predictions
-from .ic_queries import FACTORS, MK, regime_panel
+from .ic_queries import FACTORS, MK, month_regime_panel
 from .model_queries import FS, OWN, OWN_SQL, RS, XS, standard
 from .portfolio_queries import BASE, DRAW, METRIC_OUT, METRICS, N, PRED, SCORES, SERIES, bands, baseline, costed, e14, tagged
 
@@ -31,7 +31,7 @@ query("j7_event_prices", f"WITH {EVENTS} SELECT ev.entity, ev.date, event, round
 query("j8_prediction_regimes", f"""WITH {MK}, m AS (SELECT *, lag(close, 2) OVER e / nullif(lag(close, 4) OVER e, 0) - 1 AS mom, lead(r) OVER e AS fwd FROM p1 WINDOW e AS (PARTITION BY entity ORDER BY date)),
 pr AS (SELECT entity, date, CASE WHEN stddev_samp(mom) OVER w > 1e-12 THEN round((mom - avg(mom) OVER w) / stddev_samp(mom) OVER w, 9) END AS y_pred, fwd AS y_true FROM m WHERE mom IS NOT NULL WINDOW w AS (PARTITION BY date))
 SELECT pr.entity, pr.date, {r6('y_pred', 'y_pred')}, regime, {r6('volatility', 'volatility')} FROM pr LEFT JOIN rp ON rp.entity = pr.entity AND rp.date = pr.date WHERE y_pred IS NOT NULL AND y_true IS NOT NULL""", dates=("date",))(
-    lambda s, d: rounded(U.with_panel(predictions(s, d).select(*KEY, "y_pred"), regime_panel(s, d), "regime", "volatility")))
+    lambda s, d: rounded(U.with_panel(predictions(s, d).select(*KEY, "y_pred"), month_regime_panel(s, d), "regime", "volatility")))
 query("p21_discovered_factors", f"WITH {FS} " + " UNION ALL ".join(f"SELECT '{x}' AS factor, count({x}) AS n FROM fs" for x in XS if x != "amp_std"))(
     lambda s, d: (lambda z: z.unpivot(KEY, U.discovered(z, without=("amp_std",)), "factor", "x").groupBy("factor").agg(F.count("x").alias("n")))(standard(s, d)))
 query("s18_to_fetch", """WITH done AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) || '_1995-01-01_1995-01-03' AS key FROM lineitem WHERE l_shipdate >= '1995-01-01' AND l_shipdate < '1995-01-04')
@@ -138,7 +138,7 @@ MAPPING = {g: [x.removesuffix("_std") for x in xs] for g, xs in OWN.items()}
 
 def run_of(s: SparkSession, d: str, root: str, run: Run) -> dict[str, Artefact]:
     prints = [bundles.fingerprint(s, *(f"{d}/{t}.parquet" for t in ("lineitem", "supplier", "nation")))]
-    return staged_run(bundles.Stages(s, root), prints, lambda: regime_panel(s, d), run)
+    return staged_run(bundles.Stages(s, root), prints, lambda: month_regime_panel(s, d), run)
 
 
 WHOLE = Run(("mom3", "vr", "amp"), MAPPING, days=1095, least=100, n=N, delta=2, year=12.0)
@@ -156,7 +156,7 @@ def s24(s: SparkSession, d: str) -> DataFrame:
     return rounded(found["metrics"].table)
 
 
-query("s24_selected_run")(lambda s, d: rounded(full_run(regime_panel(s, d), FACTORS, N, 2, 5.0, 1095, 100, 6, year=12.0)))
+query("s24_selected_run")(lambda s, d: rounded(full_run(month_regime_panel(s, d), FACTORS, N, 2, 5.0, 1095, 100, 6, year=12.0)))
 
 
 @query("s25_bundled_runs", f"WITH {RUN}, z AS (SELECT {METRICS} FROM r2) SELECT run_id, date, {r6('r2.ls_net', 'ls_net')}, {r6('z.ls_ann', 'ls_ann')}, {r6('z.max_drawdown', 'max_drawdown')} FROM r2, z", dates=("date",))
